@@ -2,4 +2,5 @@
 
 NAMES = (
     "bitemporal",
+    "ingest",
 )

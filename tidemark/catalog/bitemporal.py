@@ -220,8 +220,6 @@ def _(t):
 
 
 @query("b14_validate_revisions", """
-    WITH batch AS (SELECT event_id AS row_id, ts AS event_at, H.available_at, H.ingested_at, H.valid_from, H.valid_to
-       FROM events JOIN revisions H ON H.row_id = event_id)
     SELECT row_id, code FROM (
       SELECT user_id AS row_id, 'duplicate_in_batch' AS code FROM events GROUP BY user_id HAVING count(*) > 1
       UNION ALL SELECT user_id, 'ingested_before_available' FROM events JOIN revisions ON row_id = event_id WHERE event_at < available_at

@@ -3,4 +3,5 @@
 NAMES = (
     "bitemporal",
     "ingest",
+    "audits",
 )

@@ -104,15 +104,17 @@ def xor_fingerprints(intervals: DataFrame, digest: Column) -> DataFrame:
 
 
 def marker_between(rows: DataFrame, markers: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   bucket: Column) -> DataFrame:
-    """Flag rows with a marker strictly between them and the previous row of their key."""
+                   bucket: Column, tie: Sequence[str] = ()) -> DataFrame:
+    """Flag rows with a marker strictly between them and the previous row of their key.
+
+    ``tie`` decides which of several rows at one position comes first.
+    """
     tagged = rows.withColumn("__kind", F.lit(1)).unionByName(
         markers.select(*keys, *order).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     counted = running(tagged, keys, [*order, "__kind"], bucket,
-                      {"__markers": F.when(F.col("__kind") == 0, 1).otherwise(0),
-                       "__same": F.lit(0)})
-    only_rows = counted.where(F.col("__kind") == 1).drop("__same")
-    linked = neighbour(only_rows, keys, order, bucket, [*order, "__markers"], "__previous")
+                      {"__markers": F.when(F.col("__kind") == 0, 1).otherwise(0)})
+    only_rows = counted.where(F.col("__kind") == 1)
+    linked = neighbour(only_rows, keys, [*order, *tie], bucket, [*order, "__markers"], "__previous")
     ties = markers.groupBy(*keys, *order).agg(F.count("*").alias("__tied"))
     joined = linked.join(ties, [*keys, *order], "left")
     # Markers at the row's own position come first in the running count but are not between.

@@ -4,4 +4,6 @@ NAMES = (
     "bitemporal",
     "ingest",
     "audits",
+    "statistics",
+    "windows",
 )

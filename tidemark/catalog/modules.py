@@ -6,4 +6,6 @@ NAMES = (
     "audits",
     "statistics",
     "windows",
+    "features",
+    "metrics",
 )

@@ -8,4 +8,6 @@ NAMES = (
     "windows",
     "features",
     "metrics",
+    "relations",
+    "scoring",
 )

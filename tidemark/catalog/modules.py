@@ -1,6 +1,7 @@
 """Catalog modules in the order of the operator inventory."""
 
 NAMES = (
+    "sources",
     "bitemporal",
     "ingest",
     "audits",

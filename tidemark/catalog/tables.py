@@ -80,6 +80,21 @@ def view_sql(sql: str, views: tuple[str, ...]) -> str:
     return f"WITH {head} {body}"
 
 
+def revisions_of(events: DataFrame) -> DataFrame:
+    """The ``revisions`` view over a batch or streaming events table."""
+    day = F.date_trunc("day", "ts")
+    valid_from = F.when(F.expr("event_id % 13 = 0"), day + F.expr("INTERVAL 48 HOURS")).otherwise(day)
+    return events.select(
+        F.col("user_id").alias("entity_id"), F.col("event_id").alias("row_id"),
+        F.expr("concat('src-', event_id % 4)").alias("source_id"), "event_type", "value",
+        F.expr("CASE WHEN event_id % 11 = 0 THEN timestampadd(HOUR, 48, ts) ELSE ts END").alias("event_at"),
+        F.expr("timestampadd(HOUR, event_id % 5, ts)").alias("available_at"),
+        F.expr("timestampadd(HOUR, event_id % 5 + event_id % 3, ts)").alias("ingested_at"),
+        valid_from.alias("valid_from"),
+        F.when(F.expr("event_id % 3 = 0"), valid_from + F.expr("INTERVAL 12 HOURS")).alias("valid_to"),
+    )
+
+
 class Tables:
     """Lazy access to the raw tables and the fixture views of one scale-factor folder."""
 
@@ -103,18 +118,7 @@ class Tables:
 
     @cached_property
     def revisions(self) -> DataFrame:
-        e = self.read("events")
-        day = F.date_trunc("day", "ts")
-        valid_from = F.when(F.expr("event_id % 13 = 0"), day + F.expr("INTERVAL 48 HOURS")).otherwise(day)
-        return e.select(
-            F.col("user_id").alias("entity_id"), F.col("event_id").alias("row_id"),
-            F.expr("concat('src-', event_id % 4)").alias("source_id"), "event_type", "value",
-            F.expr("CASE WHEN event_id % 11 = 0 THEN timestampadd(HOUR, 48, ts) ELSE ts END").alias("event_at"),
-            F.expr("timestampadd(HOUR, event_id % 5, ts)").alias("available_at"),
-            F.expr("timestampadd(HOUR, event_id % 5 + event_id % 3, ts)").alias("ingested_at"),
-            valid_from.alias("valid_from"),
-            F.when(F.expr("event_id % 3 = 0"), valid_from + F.expr("INTERVAL 12 HOURS")).alias("valid_to"),
-        )
+        return revisions_of(self.read("events"))
 
     @cached_property
     def games(self) -> DataFrame:

@@ -605,5 +605,6 @@ def _(t):
         F.to_date("ts").alias("day"), F.expr("IF(event_type = 'error', 'unknown', 'member_side')").alias("route"), F.col("user_id").cast("string").alias("source"),
         F.expr("CAST(user_id % 30 AS STRING)").alias("destination"), (F.col("value") - 5).alias("weight"), F.expr("(event_id % 7) * 1e0").alias("event_age"), F.expr("(event_id % 5) * 1e0").alias("publication_delay"))
     entities = e.where("route <> 'unknown'").select("day", F.lit("entity").alias("node_type"), F.col("source").alias("node_id")).distinct()
-    sides = e.select("day").distinct().join(F.broadcast(t.nation), F.lit(True)).select("day", F.lit("side").alias("node_type"), F.col("n_nationkey").cast("string").alias("node_id"))  # days x fixed sides
+    fixed = F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: n.cast("string")))  # the fixed side ids
+    sides = e.select("day").distinct().select("day", F.lit("side").alias("node_type"), fixed.alias("node_id"))
     return graph_audit.edge_contract(e, entities.unionByName(sides), ROUTES, ["event_age"]).drop("message")

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import tune
+
 CUTOFF = "2024-01-15 00:00:00"
 KNOWLEDGE = "2024-01-15 02:00:00"
 
@@ -99,8 +101,7 @@ class Tables:
     """Lazy access to the raw tables and the fixture views of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark = spark
+        self.spark = tune(spark)
         self.folder = folder.rstrip("/")
 
     def path(self, name: str) -> str:

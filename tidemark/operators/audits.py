@@ -227,7 +227,7 @@ def audit_transitions(rows: DataFrame, markers: DataFrame, *, require_complete:
     outs_added, bases_before, bases_after, home_before, away_before, home_after, away_after, units, complete.
     Pairs with a marker (group_id, sequence, subsequence) between them are not compared.
     """
-    from tidemark.operators.history import marker_between
+    from tidemark.operators.history import count_markers
     from tidemark.plans.ordered import neighbour
 
     col = F.col
@@ -261,12 +261,13 @@ def audit_transitions(rows: DataFrame, markers: DataFrame, *, require_complete:
 
     order = ["sequence", "subsequence"]
     bucket = F.floor(col("sequence") / 10000)
-    flagged = marker_between(rows, markers, ["group_id"], order, bucket, tie=["fact_id"])
-    carried = [*order, "period", "half", "outs_before", "outs_added", "bases_after", "home_after", "away_after", "__usable"]
-    pairs = neighbour(flagged, ["group_id"], [*order, "fact_id"], bucket, carried, "p")
+    counted = count_markers(rows, markers, ["group_id"], order, bucket)
+    carried = [*order, "period", "half", "outs_before", "outs_added", "bases_after", "home_after", "away_after", "__usable", "__through"]
+    pairs = neighbour(counted, ["group_id"], [*order, "fact_id"], bucket, carried, "p")
+    unbroken = col("__before") == col("p.__through")
     after = col("p.outs_before") + col("p.outs_added")
     later = F.struct(*order) > F.struct(col("p.sequence").alias("sequence"), col("p.subsequence").alias("subsequence"))
-    compared = pairs.where(col("p").isNotNull() & usable & col("p.__usable") & ~col("marker_between") & later & (after <= 3))
+    compared = pairs.where(col("p").isNotNull() & usable & col("p.__usable") & unbroken & later & (after <= 3))
     rolled = after == 3
     next_period = F.when(rolled & (col("p.half") == "bottom"), col("p.period") + 1).otherwise(col("p.period"))
     next_half = F.when(rolled, F.when(col("p.half") == "top", "bottom").otherwise("top")).otherwise(col("p.half"))

@@ -43,24 +43,43 @@ class Temperatures:
         return df.withColumn("probabilities", apply_temperature(F.col("probabilities"), self.column(stage)))
 
 
+def _plus(array: Column | str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
+
+
 class _Slope:
-    """Root of a rising slope inside a bracket: Newton steps, halving when one leaves the bracket."""
+    """Root of a rising slope inside a bracket: Newton steps, halving when one leaves the bracket.
+
+    An end of the bracket is tried itself before halving towards it, so an optimum
+    on the bound is settled in one pass.
+    """
 
     def __init__(self) -> None:
         self.low, self.high, self.at, self.done = 1.0 / HIGH, 1.0 / LOW, 1.0, False
-
-    def update(self, slope: float, curve: float) -> None:
+        self.untried = {self.low, self.high}
+
+    def update(self, slope: float, curve: float, tolerance: float) -> None:
+        on_low, on_high = self.at == 1.0 / HIGH, self.at == 1.0 / LOW
+        if (on_low and slope >= 0) or (on_high and slope <= 0):
+            self.done = True
+            return
+        self.untried.discard(self.at)
         if slope > 0:
             self.high = self.at
         else:
             self.low = self.at
         step = self.at - slope / curve if curve > 0 else math.nan
-        nxt = step if self.low < step < self.high else 0.5 * (self.low + self.high)
-        self.done = abs(nxt - self.at) <= 1e-12 * self.at or self.high - self.low <= 1e-12 * self.high
+        if step <= self.low and self.low in self.untried:
+            nxt = self.low
+        elif step >= self.high and self.high in self.untried:
+            nxt = self.high
+        else:
+            nxt = step if self.low < step < self.high else 0.5 * (self.low + self.high)
+        self.done = abs(nxt - self.at) <= tolerance * self.at or self.high - self.low <= tolerance * self.high
         self.at = nxt
 
 
-def fit_temperatures(df: DataFrame, stage: str | None = None, *, minimum_rows: int = 100, maximum_passes: int = 60) -> Temperatures:
+def fit_temperatures(df: DataFrame, stage: str | None = None, *, minimum_rows: int = 100, maximum_passes: int = 60, tolerance: float = 1e-10) -> Temperatures:
     """Temperatures in [0.05, 20] that minimise the weighted log loss, overall and per stage.
 
     The loss is convex in ``1 / temperature``, so each pass only sums its slope
@@ -76,28 +95,31 @@ def fit_temperatures(df: DataFrame, stage: str | None = None, *, minimum_rows: i
             F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).collect()}  # one row per stage
         fitted = {s: _Slope() for s, r in sizes.items() if stage and r["n"] >= minimum_rows and r["lo"] != r["hi"]}
         overall = _Slope()
-        for _ in range(maximum_passes):
+        for _ in range(maximum_passes):  # Newton steps: a handful in practice
             if overall.done and all(p.done for p in fitted.values()):
                 break
-            betas = {s: fitted[s].at if s in fitted else overall.at for s in sizes}
-            table = F.create_map(*[x for s, b in betas.items() for x in (F.lit(s), F.lit(b))])
+            # The trial values enter as a table, so every pass runs the same compiled plan.
+            trial = df.sparkSession.createDataFrame(
+                [(s, fitted[s].at if s in fitted else overall.at, overall.at) for s in sizes], "stage string, s double, o double")
+            placed = rows.join(F.broadcast(trial), "stage")  # one row per stage
             parts = []
-            for tag, beta in (("s", F.element_at(table, F.col("stage"))), ("o", F.lit(overall.at))):
-                scaled = F.transform("logs", lambda x, beta=beta: x * beta)
-                top = F.array_max(scaled)
-                mass = F.transform(scaled, lambda x, top=top: F.exp(x - top))
-                total = F.aggregate(mass, F.lit(0.0), lambda acc, x: acc + x)
-                first = F.aggregate(F.zip_with(mass, "logs", lambda m, x: m * x), F.lit(0.0), lambda acc, x: acc + x) / total
-                second = F.aggregate(F.zip_with(mass, "logs", lambda m, x: m * x * x), F.lit(0.0), lambda acc, x: acc + x) / total
-                parts += [F.sum(F.col("w") * (first - F.col("chosen"))).alias(f"{tag}1"),
-                          F.sum(F.col("w") * (second - first * first)).alias(f"{tag}2")]
-            sums = rows.groupBy("stage").agg(*parts).collect()  # one row per stage
+            for tag in ("s", "o"):
+                # One named column per step: nested array functions would repeat the work of the inner ones.
+                placed = placed.withColumn("x", F.zip_with("logs", F.array_repeat(F.col(tag), F.size("logs")), lambda x, b: x * b))
+                placed = placed.withColumn("top", F.array_max("x"))
+                placed = placed.withColumn("x", F.zip_with("x", F.array_repeat(F.col("top"), F.size("logs")), lambda x, t: F.exp(x - t)))
+                placed = placed.withColumns({
+                    "m0": _plus("x"), "m1": _plus(F.zip_with("x", "logs", lambda m, x: m * x)), "m2": _plus(F.zip_with("x", "logs", lambda m, x: m * x * x))})
+                placed = placed.withColumns({f"{tag}1": F.col("w") * (F.col("m1") / F.col("m0") - F.col("chosen")),
+                                             f"{tag}2": F.col("w") * (F.col("m2") / F.col("m0") - F.pow(F.col("m1") / F.col("m0"), 2))})
+                parts += [F.sum(f"{tag}1").alias(f"{tag}1"), F.sum(f"{tag}2").alias(f"{tag}2")]
+            sums = placed.groupBy("stage").agg(*parts).collect()  # one row per stage
             if not overall.done:
-                overall.update(sum(r["o1"] for r in sums), sum(r["o2"] for r in sums))
+                overall.update(sum(r["o1"] for r in sums), sum(r["o2"] for r in sums), tolerance)
             for r in sums:
                 problem = fitted.get(r["stage"])
                 if problem is not None and not problem.done:
-                    problem.update(r["s1"], r["s2"])
+                    problem.update(r["s1"], r["s2"], tolerance)
     finally:
         rows.unpersist()
     return Temperatures(1.0 / overall.at, {s: 1.0 / p.at for s, p in fitted.items()})

@@ -61,12 +61,13 @@ def rolling_state(intervals: DataFrame, keys: Sequence[str], sums: Sequence[str]
                   first_day: Column, last_day: Column, latest: Sequence[str] = ()) -> DataFrame:
     """Per key and day: sums over the live versions and the latest value of ``latest``.
 
-    Versions that share a key, event day and interval are merged first; only the
-    merged rows are expanded to days.
+    Versions that share a key, event day and interval are merged first, which
+    leaves a calendar-bounded number of rows per key.  Those are partitioned by key
+    before they are expanded, so the expanded days are summed without a shuffle.
     """
     merged = intervals.groupBy(*keys, "event_day", "active_from", "active_to").agg(
         *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest], F.count("*").alias("versions"))
-    days = days_of(merged, "active_from", "active_to", first_day, last_day)
+    days = days_of(merged.repartition(*keys), "active_from", "active_to", first_day, last_day)
     return days.groupBy("day", *keys).agg(
         *[F.sum(c).alias(c) for c in sums], F.sum("versions").alias("versions"),
         F.max("event_day").alias("last_event_day"), *[F.max(c).alias(c) for c in latest])
@@ -109,18 +110,24 @@ def marker_between(rows: DataFrame, markers: DataFrame, keys: Sequence[str], ord
 
     ``tie`` decides which of several rows at one position comes first.
     """
-    tagged = rows.withColumn("__kind", F.lit(1)).unionByName(
-        markers.select(*keys, *order).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-    counted = running(tagged, keys, [*order, "__kind"], bucket,
-                      {"__markers": F.when(F.col("__kind") == 0, 1).otherwise(0)})
-    only_rows = counted.where(F.col("__kind") == 1)
-    linked = neighbour(only_rows, keys, [*order, *tie], bucket, [*order, "__markers"], "__previous")
-    ties = markers.groupBy(*keys, *order).agg(F.count("*").alias("__tied"))
-    joined = linked.join(ties, [*keys, *order], "left")
-    # Markers at the row's own position come first in the running count but are not between.
-    between = F.col("__markers") - F.coalesce(F.col("__tied"), F.lit(0)) - F.col("__previous.__markers")
-    return joined.withColumn("marker_between", F.coalesce(between > 0, F.lit(False))).drop(
-        "__kind", "__markers", "__previous", "__tied")
+    counted = count_markers(rows, markers, keys, order, bucket)
+    linked = neighbour(counted, keys, [*order, *tie], bucket, ["__through"], "__previous")
+    between = F.col("__before") - F.col("__previous.__through")
+    return linked.withColumn("marker_between", F.coalesce(between > 0, F.lit(False))).drop("__before", "__through", "__previous")
+
+
+def count_markers(rows: DataFrame, markers: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """Attach how many markers of the key lie before (``__before``) and up to (``__through``) each row's position."""
+    at = markers.groupBy(*keys, *order).agg(F.count("*").alias("__here")).withColumn("__kind", F.lit(0))
+    tagged = rows.withColumn("__kind", F.lit(1)).unionByName(at, allowMissingColumns=True)
+    # At one position the marker row comes first and tells the rows behind it how many lie right there.
+    here = F.when(F.col("__kind") == 0, F.struct(*order, F.col("__here").alias("n")))
+    counted = running(tagged, keys, [*order, "__kind"], bucket, {"__through": F.coalesce("__here", F.lit(0))}, {"__last": here})
+    same = F.lit(True)
+    for name in order:
+        same = same & (F.col(f"__last.{name}") == F.col(name))
+    tied = F.when(F.coalesce(same, F.lit(False)), F.col("__last.n")).otherwise(0)
+    return counted.where(F.col("__kind") == 1).withColumn("__before", F.col("__through") - tied).drop("__kind", "__here", "__last")
 
 
 def band_lookup(df: DataFrame, bands: DataFrame, rate: str, on: Sequence[str], value: str = "multiplier") -> DataFrame:

@@ -127,22 +127,30 @@ def entity_nodes(intervals: DataFrame, roles: Mapping[str, str], queries: DataFr
 
     ``roles`` maps a role name to the fact column holding its entity; ``queries`` has ``(day, entity)``.
     """
-    listed = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), F.col(column).cast("string").alias("entity")) for role, column in roles.items()]))
-    rows = intervals.withColumn("__r", listed).select("event_day", "active_from", "active_to", "event_s", *FACT_VALUES, "__r.*")
-    state = rolling_state(rows, ["role", "entity"], FACT_VALUES, *_span(first_day, last_day), latest=["event_s"])
-    n = F.col("facts")
-    features = state.select("day", "entity", "role", F.struct(
-        _log_scaled(n, 500).alias("count_log"), (F.col("attempts") / n).alias("attempt_rate"), (F.col("successes") / n).alias("success_rate"),
-        (F.col("units") / n / 4).alias("units_rate"), (F.col("walks") / n).alias("walk_rate"), (F.col("strikes") / n).alias("strike_rate"),
-        (F.col("fours") / n).alias("four_rate"), _recency(window_days, tz).alias("recency")).alias("f"))
+    # A role's values go to that role's columns, and a query enters as a day without values,
+    # so one aggregate by entity covers both roles and the entities that have no history yet.
+    sums = [f"{role}_{v}" for role in roles for v in FACT_VALUES]
+    clocks = [f"{role}_event_s" for role in roles]
+    sides = []
+    for role, column in roles.items():
+        values = [(F.col(v) if r == role else F.lit(0.0)).alias(f"{r}_{v}") for r in roles for v in FACT_VALUES]
+        seen = [(F.col("event_s") if r == role else F.lit(None).cast("double")).alias(f"{r}_event_s") for r in roles]
+        sides.append(F.struct(F.col(column).cast("string").alias("entity"), *values, *seen))
+    rows = intervals.select("event_day", "active_from", "active_to", F.explode(F.array(*sides)).alias("r")).select("event_day", "active_from", "active_to", "r.*")
     first, last = _span(first_day, last_day)
-    asked = queries.select("day", F.col("entity").cast("string").alias("entity")).where(F.col("day").between(first, last))
-    blank = asked.withColumn("role", F.lit(None).cast("string")).withColumn("f", F.lit(None).cast(features.schema["f"].dataType))
-    both = features.unionByName(blank)
-    chosen = {role: F.max(F.when(F.col("role") == role, F.col("f"))) for role in roles}
-    wide = both.groupBy("day", "entity").agg(*[c.alias(f"__{role}") for role, c in chosen.items()])
-    columns = [F.coalesce(F.col(f"__{role}.{name}"), F.lit(0.0)).alias(f"{role}_{name}") for role in roles for name in ROLE_FEATURES]
-    return wide.select("day", "entity", *columns)
+    asked = queries.select(
+        F.col("day").alias("event_day"), F.col("day").alias("active_from"), F.date_add("day", 1).alias("active_to"), F.col("entity").cast("string").alias("entity"),
+        *[F.lit(0.0).alias(c) for c in sums], *[F.lit(None).cast("double").alias(c) for c in clocks])
+    state = rolling_state(rows.unionByName(asked), ["entity"], sums, first, last, latest=clocks)
+    columns = []
+    for role in roles:
+        n = F.col(f"{role}_facts")
+        recency = F.greatest(F.lit(0.0), 1.0 - (_cutoff(tz) - F.col(f"{role}_event_s")) / F.lit(window_days * DAY_SECONDS))
+        values = {"count_log": _log_scaled(n, 500), "recency": recency, "units_rate": F.col(f"{role}_units") / n / 4}
+        for name, source in (("attempt_rate", "attempts"), ("success_rate", "successes"), ("walk_rate", "walks"), ("strike_rate", "strikes"), ("four_rate", "fours")):
+            values[name] = F.col(f"{role}_{source}") / n
+        columns += [F.when(n > 0, values[name]).otherwise(0.0).alias(f"{role}_{name}") for name in ROLE_FEATURES]
+    return state.select("day", "entity", *columns)
 
 
 SIDE_FEATURES = ("games_log", "win_rate", "draw_rate", "scored_rate", "allowed_rate", "diff_rate", "home_rate", "recency")

@@ -25,17 +25,16 @@ def fit_beta_prior(df: DataFrame, by: Sequence[str] = (), *, numerator: str = "n
                    minimum_strength: float = 2.0, maximum_strength: float = 10_000.0, fallback_mean: float = 0.5) -> DataFrame:
     """Method-of-moments beta prior per cohort: pooled mean, variance between members above sampling noise.
 
-    Moments are centred on the pooled mean, which takes a second aggregate over
-    the members joined with their cohort's totals.
+    The weighted spread around the pooled mean is expanded into plain sums, so one
+    partial aggregate per cohort is enough and members never meet their cohort in a join.
     """
     members = df.select(*by, F.col(numerator).cast("double").alias("n"), F.col(denominator).cast("double").alias("d")).where("d > 0")
-    pooled = members.groupBy(*by).agg(F.sum("n").alias("sn"), F.sum("d").alias("sd"))
-    mean = clamp(F.col("sn") / F.col("sd"), EPSILON, 1.0 - EPSILON)
-    pooled = pooled.select(*by, mean.alias("m"))
-    centred = members.join(pooled, list(by)) if by else members.crossJoin(F.broadcast(pooled))  # one row without cohorts
-    moments = centred.groupBy(*by).agg(
-        F.first("m").alias("m"), F.count("*").alias("members"), F.sum("d").alias("w"), F.sum(F.col("d") * F.col("d")).alias("w2"),
-        F.sum(F.col("d") * F.pow(F.col("n") / F.col("d") - F.col("m"), 2)).alias("spread"))
+    sums = members.groupBy(*by).agg(
+        F.count("*").alias("members"), F.sum("n").alias("sn"), F.sum("d").alias("w"), F.sum(F.col("d") * F.col("d")).alias("w2"),
+        F.sum(F.col("n") * F.col("n") / F.col("d")).alias("q"))
+    mean = clamp(F.col("sn") / F.col("w"), EPSILON, 1.0 - EPSILON)
+    spread = F.col("q") - 2.0 * F.col("m") * F.col("sn") + F.col("m") * F.col("m") * F.col("w")
+    moments = sums.withColumn("m", mean).withColumn("spread", spread)
     effective = F.col("w") - F.col("w2") / F.col("w")
     observed = F.when(effective > 0, F.col("spread") / effective).otherwise(0.0)
     noise = F.col("members") * F.col("m") * (1.0 - F.col("m")) / F.col("w")

@@ -109,19 +109,28 @@ def time_decay_mean(df: DataFrame, keys: Sequence[str], clock: str, values: Mapp
                     half_lives_days: Sequence[float]) -> DataFrame:
     """Means with weight ``2 ** (-age / half_life)`` at ``as_of``; later events are an error to be filtered before.
 
-    Weights are taken relative to the newest event of each key, so old keys do
-    not underflow.
+    Ages are cut into spans of 100 half-lives and weighted inside their span; the few
+    span sums of a key are then put together relative to its newest span.  Old keys do
+    not underflow, and only span sums are joined.
     """
-    newest = df.groupBy(*keys).agg(F.max(clock).alias("__newest"))
-    joined = df.join(newest, list(keys))
-    lag_days = (F.unix_micros("__newest") - F.unix_micros(clock)) / F.lit(86_400_000_000.0)
-    aggregates = []
-    for days in half_lives_days:
-        weight = F.pow(F.lit(2.0), -lag_days / F.lit(float(days)))
-        label = f"{days:g}".replace(".", "p")
-        for name, value in values.items():
-            aggregates.append((F.sum(weight * value) / F.sum(weight)).alias(f"{name}_ewma_{label}d"))
-    return joined.groupBy(*keys).agg(*aggregates)
+    as_of = F.lit(str(as_of)).cast("timestamp")
+    age = (F.unix_micros(as_of) - F.unix_micros(clock)) / F.lit(86_400_000_000.0)
+    span = 100.0 * min(half_lives_days)
+    rows = df.withColumns({"__span": F.floor(age / span), "__rest": age - F.floor(age / span) * span})
+    labels = {days: f"{days:g}".replace(".", "p") for days in half_lives_days}
+    parts = []
+    for days, label in labels.items():
+        weight = F.pow(F.lit(2.0), -F.col("__rest") / F.lit(float(days)))
+        parts.append(F.sum(weight).alias(f"__w_{label}"))
+        parts += [F.sum(weight * value).alias(f"__{name}_{label}") for name, value in values.items()]
+    spans = rows.groupBy(*keys, "__span").agg(*parts)
+    newest = spans.groupBy(*keys).agg(F.min("__span").alias("__newest"))
+    joined = spans.join(newest, list(keys))
+    means = []
+    for days, label in labels.items():
+        factor = F.pow(F.lit(2.0), -(F.col("__span") - F.col("__newest")) * F.lit(span / float(days)))
+        means += [(F.sum(factor * F.col(f"__{name}_{label}")) / F.sum(factor * F.col(f"__w_{label}"))).alias(f"{name}_ewma_{label}d") for name in values]
+    return joined.groupBy(*keys).agg(*means)
 
 
 def events_not_before(df: DataFrame, clock: str, as_of: Any) -> DataFrame:

@@ -25,6 +25,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on in any session."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Split a skewed join side even where that costs another shuffle for the aggregate behind it.
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -14,6 +14,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 LOW, HIGH = 0.05, 20.0
 
 
@@ -163,7 +165,7 @@ def _log_features(df: DataFrame, models: Sequence[str], classes: int) -> DataFra
 
 def _stack(df: DataFrame, ridge: float) -> LogisticRegressionModel:
     step = LogisticRegression(featuresCol="__features", labelCol="__label", weightCol="weight", family="multinomial", regParam=ridge,
-                              elasticNetParam=0.0, standardization=True, maxIter=200, tol=1e-9, probabilityCol="__probability")
+                              elasticNetParam=0.0, standardization=True, maxIter=100, tol=1e-7, probabilityCol="__probability")
     return step.fit(df.withColumn("__label", F.col("label").cast("double")))
 
 
@@ -187,7 +189,7 @@ def stack_out_of_fold(df: DataFrame, models: Sequence[str], classes: int, folds:
     ``folds`` is the time order.  Stage temperatures come from the out-of-fold
     predictions, the final model from all rows.
     """
-    rows = _log_features(df, models, classes)
+    rows = _log_features(cut_lineage(df), models, classes)  # every fold trains on it again
     crossed = None
     for at in range(1, len(folds)):
         model = _stack(rows.where(F.col(fold).isin(list(folds[:at]))), ridge)

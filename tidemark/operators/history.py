@@ -121,12 +121,12 @@ def count_markers(rows: DataFrame, markers: DataFrame, keys: Sequence[str], orde
     at = markers.groupBy(*keys, *order).agg(F.count("*").alias("__here")).withColumn("__kind", F.lit(0))
     tagged = rows.withColumn("__kind", F.lit(1)).unionByName(at, allowMissingColumns=True)
     # At one position the marker row comes first and tells the rows behind it how many lie right there.
-    here = F.when(F.col("__kind") == 0, F.struct(*order, F.col("__here").alias("n")))
+    here = F.when(F.col("__kind") == 0, F.struct(*order, F.col("__here").alias("__n")))
     counted = running(tagged, keys, [*order, "__kind"], bucket, {"__through": F.coalesce("__here", F.lit(0))}, {"__last": here})
     same = F.lit(True)
     for name in order:
         same = same & (F.col(f"__last.{name}") == F.col(name))
-    tied = F.when(F.coalesce(same, F.lit(False)), F.col("__last.n")).otherwise(0)
+    tied = F.when(F.coalesce(same, F.lit(False)), F.col("__last.__n")).otherwise(0)
     return counted.where(F.col("__kind") == 1).withColumn("__before", F.col("__through") - tied).drop("__kind", "__here", "__last")
 
 

@@ -9,18 +9,21 @@ from tidemark.catalog.bitemporal import framed_sql
 from tidemark.functions.clocks import day_clocks
 from tidemark.operators import ingest
 
-REDUCED_SQL = """reduced AS (SELECT group_id, ordinal,
-    first(pre_state ORDER BY step) AS pre_state, last(post_state ORDER BY step) AS post_state, last(outcome ORDER BY step) AS outcome,
-    CASE WHEN last(outcome ORDER BY step) = 'RF'
-         THEN coalesce(last(member_id ORDER BY step) FILTER (WHERE pre_state < 25), first(member_id ORDER BY step))
-         ELSE last(member_id ORDER BY step) END AS member_id,
-    last(counterpart_id ORDER BY step) AS counterpart_id
+# Rows of one step are told apart by their state and outcome.
+AT = "step, pre_state, coalesce(outcome, '')"
+REDUCED_SQL = f"""reduced AS (SELECT group_id, ordinal,
+    first(pre_state ORDER BY {AT}) AS pre_state, last(post_state ORDER BY {AT}) AS post_state, last(outcome ORDER BY {AT}) AS outcome,
+    CASE WHEN last(outcome ORDER BY {AT}) = 'RF'
+         THEN coalesce(last(member_id ORDER BY {AT}) FILTER (WHERE pre_state < 25), first(member_id ORDER BY {AT}))
+         ELSE last(member_id ORDER BY {AT}) END AS member_id,
+    last(counterpart_id ORDER BY {AT}) AS counterpart_id
     FROM raw_rows GROUP BY group_id, ordinal)"""
 
 
 def reduced(t):
+    rows = t.raw_rows.withColumn("told_apart", F.coalesce("outcome", F.lit("")))
     return ingest.reduce_ordered_group(
-        t.raw_rows, ["group_id", "ordinal"], ["step"], first={"pre_state": "pre_state"},
+        rows, ["group_id", "ordinal"], ["step", "pre_state", "told_apart"], first={"pre_state": "pre_state"},
         last={"post_state": "post_state", "outcome": "outcome", "counterpart_id": "counterpart_id"},
         attribution=ingest.Attribution("member_id", "outcome", "RF", F.col("pre_state") < 25))
 

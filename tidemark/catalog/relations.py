@@ -494,7 +494,7 @@ def _(t):
         F.count_if(F.col("source") != F.col("new_source")).alias("moved"))
     return daily.groupBy("route").agg(
         F.sum("edges").alias("edges"), F.bool_and(F.col("source") == F.col("new_source")).alias("sources_kept"),
-        F.bool_and(F.col("destination") == F.col("new_destination")).alias("destinations_kept"), F.bool_and(F.col("moved") > 0).alias("some_changed"))
+        F.bool_and(F.col("destination") == F.col("new_destination")).alias("destinations_kept"), F.bool_and((F.col("moved") > 0) | (F.col("source") == 1)).alias("some_changed"))
 
 
 @query("g28_control_permute_attributes", f"""

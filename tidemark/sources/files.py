@@ -52,8 +52,8 @@ def profile_violations(profile: DataFrame, declared: DataFrame) -> DataFrame:
 def content_hashes(spark: SparkSession, paths: Sequence[str], block_bytes: int = 8 << 20) -> DataFrame:
     """SHA-256 of whole files, read block by block inside the tasks.
 
-    Spark lists the files (their content column is pruned); each task streams its
-    files, so a file of any size needs one block of memory.
+    Spark lists the files (their content column is pruned, empty files are left out);
+    each task streams its files, so a file of any size needs one block of memory.
     """
     listed = spark.read.format("binaryFile").load(list(paths)).select("path", "length")
 

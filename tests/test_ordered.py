@@ -161,3 +161,14 @@ def test_model_may_not_know_the_future():
     stats.check_model_cutoff("2024-01-01", "2024-01-01")
     with pytest.raises(ValueError):
         stats.check_model_cutoff("2024-01-02", "2024-01-01")
+
+
+def test_spread_follows_the_size(spark):
+    from tidemark.plans.ordered import spread
+
+    df = spark.range(3000).withColumn("k", F.lit("hot"))
+    assert df.select(spread(df, F.col("id")).alias("b")).distinct().count() == 1
+    sizes = [r["count"] for r in df.groupBy(spread(df, F.col("id"), rows_per_bucket=100).alias("b")).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 301
+    placed = numbered(df, ["k"], ["id"], spread(df, F.col("id"), rows_per_bucket=100))
+    assert placed.where(F.col("position") != F.col("id") + 1).isEmpty()

@@ -9,6 +9,7 @@ from tidemark.catalog.tables import CUTOFF, KNOWLEDGE
 from tidemark.functions.clocks import day_clocks
 from tidemark.functions.digests import row_digest, table_digest
 from tidemark.operators import history, temporal
+from tidemark.plans.ordered import spread
 
 KEY = ["entity_id"]
 KNOWN = f"available_at <= TIMESTAMP '{CUTOFF}' AND ingested_at <= TIMESTAMP '{KNOWLEDGE}'"
@@ -302,7 +303,7 @@ def _(t):
     rows = t.events.select(F.col("event_id").alias("row_id"), F.col("user_id").alias("entity_id"), "ts", "event_type")
     flagged = history.marker_between(
         rows.where("event_type <> 'error'").select("row_id", "entity_id", "ts"),
-        rows.where("event_type = 'error'"), KEY, ["ts"], F.to_date("ts"))
+        rows.where("event_type = 'error'"), KEY, ["ts"], spread(t.events, F.col("ts")))
     return flagged.select("row_id", "marker_between")
 
 

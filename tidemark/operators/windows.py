@@ -164,8 +164,8 @@ def before_day(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str
         *keys, day, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("prior_rows"),
         *[F.coalesce(F.sum(n).over(earlier), zero).alias(f"prior_{n}") for n in names])
     if recent:
-        month = F.trunc(day, "month")
-        prefix = running(rows, list(keys), [day, *order], month,
+        # A day of a key is the largest piece one task holds.
+        prefix = running(rows, list(keys), [day, *order], F.col(day),
                          {"__position": F.lit(1), **{f"__s_{n}": F.coalesce(F.col(n), zero) for n in names}})
         prefix = prefix.select(*keys, "__position", *[f"__s_{n}" for n in names])
         for n in recent:

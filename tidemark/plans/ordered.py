@@ -9,6 +9,7 @@ never one per input row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,21 @@ from pyspark.sql import functions as F
 BUCKET = "__bucket"
 
 
+def spread(df: DataFrame, column: Column, rows_per_bucket: int = 1_000_000, hottest: float = 1 / 3) -> Column:
+    """Bucket expression over a numeric or time column, as fine as the table's size asks for.
+
+    One aggregate row (low, high, count) decides the width, so that a key holding the
+    share ``hottest`` of all rows falls into buckets of about ``rows_per_bucket``; a
+    small table gets a single bucket.
+    """
+    value = column.cast("double")
+    low, high, rows = df.agg(F.min(value), F.max(value), F.count("*")).first()
+    buckets = math.ceil(rows * hottest / rows_per_bucket)
+    if buckets <= 1 or low is None or high <= low:
+        return F.lit(0)
+    return F.floor((value - F.lit(low)) * F.lit(buckets / (high - low)))
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
           rank_name: str | None = None) -> DataFrame:
     """First ``k`` rows per key.

@@ -23,8 +23,8 @@ def test_union_by_name_and_profile(spark, tmp_path):
     profile = files.profile_files(scan, "g", F.col("d"))
     assert sorted((r["rows"], r["groups"], r["years"]) for r in profile.collect()) == [(1, 1, 1), (2, 1, 1)]
     names = {r["rows"]: r["file"] for r in profile.collect()}
-    declared = spark.createDataFrame([(names[2], 2023), (names[1], 2023), ("none.parquet", 2023)], "file string, season int")
-    assert sorted(r["code"] for r in files.profile_violations(profile, declared).collect()) == ["empty_file", "outside_season"]
+    declared = spark.createDataFrame([(names[2], 2023), (names[1], 2022), ("none.parquet", 2022)], "file string, season int")
+    assert sorted(r["code"] for r in files.profile_violations(profile, declared).collect()) == ["empty_file", "outside_season", "repeated_season", "repeated_season"]
 
 
 def test_hashes_are_of_whole_files(spark, tmp_path):
@@ -95,6 +95,21 @@ def test_report_keys_are_sorted(spark):
     assert list(json.loads(text)) == ["a", "b"]
 
 
+def test_snapshot_is_published_once(spark, tmp_path):
+    spec = [temporal.SnapshotSpec("t", ("entity",), "row_id", ("entity", "row_id"))]
+    folder = str(tmp_path / "snap")
+    rows = spark.createDataFrame([revision("a", 1, 1), revision("b", 2, 1), revision("a", 3, 3)], SCHEMA)
+    run = lambda df, day: sinks.publish_snapshot(spark, {"t": df}, spec, f"2024-01-{day:02d} 00:00:00", f"2024-01-{day:02d} 00:00:00", folder)
+    assert run(rows, 2) is True
+    assert run(rows, 2) is False
+    assert run(rows.where("row_id <> 3"), 2) is False  # what was not known then does not matter
+    with pytest.raises(sinks.SnapshotConflict):
+        run(rows.where("row_id <> 2"), 2)
+    assert sinks.verify_snapshot(spark, folder, spec).isEmpty()
+    spark.createDataFrame([("a", 9)], "entity string, row_id int").write.mode("append").parquet(f"{folder}/tables/t")
+    assert [tuple(r) for r in sinks.verify_snapshot(spark, folder, spec).collect()] == [("t", 2, 3)]
+
+
 SCHEMA = "entity string, row_id int, event_at timestamp, available_at timestamp, ingested_at timestamp, valid_from timestamp, valid_to timestamp"
 
 

@@ -42,11 +42,13 @@ def profile_files(df: DataFrame, group: str, day: Column) -> DataFrame:
 
 
 def profile_violations(profile: DataFrame, declared: DataFrame) -> DataFrame:
-    """Files without rows or with days outside their declared season (``declared``: file, season)."""
+    """Files without rows, with days outside their declared season, or sharing a season (``declared``: file, season)."""
     joined = declared.join(profile, "file", "left")
+    shared = declared.groupBy("season").agg(F.count("*").alias("n")).where("n > 1").select("season")
+    again = declared.join(shared, "season", "left_semi").select("file", "season", F.lit("repeated_season").alias("code"))
     outside = (F.col("years") != 1) | (F.year("first_day") != F.col("season")) | (F.year("last_day") != F.col("season"))
     code = F.when(F.col("rows").isNull() | F.col("first_day").isNull(), "empty_file").when(outside, "outside_season")
-    return joined.select("file", "season", code.alias("code")).where("code IS NOT NULL")
+    return joined.select("file", "season", code.alias("code")).where("code IS NOT NULL").unionByName(again)
 
 
 def content_hashes(spark: SparkSession, paths: Sequence[str], block_bytes: int = 8 << 20) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.temporal import SnapshotSpec, manifest_fingerprint, snapshot_manifest, snapshot_tables
+
 
 class AppendError(ValueError):
     """Rows that may not be appended."""
@@ -109,3 +112,53 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
 
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+class SnapshotConflict(RuntimeError):
+    """A snapshot folder already holds other content."""
+
+
+def stored_fingerprint(spark: SparkSession, folder: str) -> str | None:
+    try:
+        return spark.read.text(f"{folder}/fingerprint").first()[0]
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+def publish_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], specs: Sequence[SnapshotSpec], cutoff: Any, knowledge: Any,
+                     folder: str, superseded: DataFrame | None = None) -> bool:
+    """Write a point-in-time snapshot; equal content is reused (``False``), other content in the folder is an error.
+
+    Each table is kept for the two passes over it, digest and write.  The fingerprint is
+    written last, so a reader never sees half a snapshot.
+    """
+    snapshot = {name: df.persist() for name, df in snapshot_tables(tables, specs, cutoff, knowledge, superseded).items()}
+    try:
+        manifest = snapshot_manifest(snapshot, specs).coalesce(1).persist()
+        fingerprint = manifest_fingerprint(manifest, cutoff, knowledge).first()["fingerprint"]
+        stored = stored_fingerprint(spark, folder)
+        if stored == fingerprint:
+            return False
+        if stored is not None:
+            raise SnapshotConflict(f"{folder} holds a snapshot with other content")
+        for name, df in snapshot.items():
+            write_zstd(df, f"{folder}/tables/{name}", "overwrite")
+        manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+        spark.range(1).select(F.lit(fingerprint).alias("value")).write.mode("overwrite").text(f"{folder}/fingerprint")
+        manifest.unpersist()
+        return True
+    finally:
+        for df in snapshot.values():
+            df.unpersist()
+
+
+def verify_snapshot(spark: SparkSession, folder: str, specs: Sequence[SnapshotSpec]) -> DataFrame:
+    """Tables whose stored files no longer give the row count and digest of the manifest."""
+    stored = spark.read.parquet(f"{folder}/manifest")
+    again = snapshot_manifest({s.name: spark.read.parquet(f"{folder}/tables/{s.name}") for s in specs}, specs)
+    actual = again.select("table_name", F.col("row_count").alias("actual_rows"), F.col("content_sha256").alias("actual_sha256"))
+    joined = stored.join(actual, "table_name", "full_outer")
+    same = F.col("content_sha256").eqNullSafe(F.col("actual_sha256")) & F.col("row_count").eqNullSafe(F.col("actual_rows"))
+    return joined.where(~same).select("table_name", "row_count", "actual_rows")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, quality_rules, simhash, suffix_dedup
+from tidemark.llm import decontaminate, quality_rules, simhash, suffix_dedup, token_output
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op7_token_output")
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.tokenise(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, quality_rules, simhash, suffix_dedup, token_output
+from tidemark.llm import chat, decontaminate, quality_rules, simhash, suffix_dedup, token_output
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -61,3 +61,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_output")
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenise(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_chat_format", chat.ORACLE)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(rows))

@@ -26,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def text_session(spark: SparkSession, rows: int = 500) -> None:
+    """Send texts to Python in small batches: rows may be long, and a batch is held twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lost executors cost no recomputation of it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -94,5 +99,28 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))
 
 
+def membership(df: DataFrame, key: str, bits: int = 24) -> np.ndarray:
+    """Bitmap of 2**bits cells, of fixed size whatever the table: which low bits of the long ``key`` occur in it."""
+    cell = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    words = df.groupBy(F.shiftright(cell, 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("word")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def only_members(bitmap: np.ndarray, column: int):
+    """Row filter for ``mapInArrow``: lets through what may occur in the table of a ``membership`` bitmap, before a join on it."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.uint64(len(bitmap) * 64 - 1)
+        for batch in batches:
+            at = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64) & cells
+            hit = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return keep
+
+
 def unsigned_hex(column: Column, digits: int = 16) -> Column:
     return F.lpad(F.lower(F.hex(column)), digits, "0")

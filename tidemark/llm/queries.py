@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html_text, mixing, quality_model, quality_rules, simhash, suffix_dedup, token_output
+from tidemark.llm import chat, decontaminate, html_text, mixing, quality_model, quality_rules, simhash, suffix_dedup, surrogates, token_output
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_mixing", mixing.ORACLE)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_surrogates")
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))

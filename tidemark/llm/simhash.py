@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, unsigned_hex
+from tidemark.llm.common import row_key, stored, text_session, unsigned_hex
 from tidemark.llm.components import components
 
 SEED = 42
@@ -50,16 +50,16 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fingerprint as a signed long) per row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    """(id, row_a, row_b, fingerprint as a signed long) per row."""
+    rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fingerprint"])
+            prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column(3)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints.view(np.int64))], names=["id", "row_a", "row_b", "fingerprint"])
 
-    return rows.mapInArrow(scan, f"id {kind}, fingerprint long")
+    return rows.mapInArrow(scan, f"id {kind}, row_a long, row_b long, fingerprint long")
 
 
 def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +141,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids never become a ``component_id`` unless no other id is in the component.  Repeated rows come out
     as often as they went in; an empty table gives an empty result.
     """
+    seen = _classed(docs, id_col, text_col, radius)
+    return seen.select(F.col("id").alias(id_col), unsigned_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` of the smallest id in each component, one of them where several rows have it."""
+    a, b = row_key(id_col, text_col)
+    names = ["row_a", "row_b"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    chosen = _classed(docs, id_col, text_col, radius).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_a", "row_b")).alias("row"))
+    chosen = chosen.select(F.col("row.row_a").alias(names[0]), F.col("row.row_b").alias(names[1]))
+    rows = docs.withColumns({names[0]: a, names[1]: b}).join(stored(chosen, "kept"), names, "left_semi")
+    return rows.dropDuplicates(names).select(*docs.columns)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(id, row_a, row_b, fingerprint, component, component_id) per row."""
+    text_session(docs.sparkSession)
     seen = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = seen.groupBy("fingerprint").agg(F.min("id").alias("least"))
     parts = components(links(nodes.select("fingerprint"), radius))
     named = nodes.join(parts, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(smallest, "component").select("fingerprint", "component_id"), "classes")
-    return seen.join(classes, "fingerprint").select(
-        F.col("id").alias(id_col), unsigned_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+    classes = stored(named.join(smallest, "component").select("fingerprint", "component", "component_id"), "classes")
+    return seen.join(classes, "fingerprint")

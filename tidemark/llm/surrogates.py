@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,7 +29,7 @@ _SECRETS = (
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 _CARD = re.compile(r"(?<![0-9A-Za-z+.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z\-]|\.[0-9])")
 _PHONE = re.compile(
-    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:(?! (?:[0-9]{1,3}\.){3}[0-9])[ .\-]?[0-9]{2,4}){1,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9A-Za-z])")
 _IP = re.compile(r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])")
 _SSN = re.compile(r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])")
@@ -238,20 +238,20 @@ def _found(rows: DataFrame) -> DataFrame:
     return rows.select("row_a", "row_b", "text").mapInArrow(run, "row_a long, row_b long, kind string, normal string")
 
 
-def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
+def _drawn(entities: DataFrame, key: bytes, chooser: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = [draw(key, *row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            drawn = [chooser(key, *row) for row in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], names=["kind", "normal", "attempt", "drawn"])
 
     return entities.select("kind", "normal", "attempt").mapInArrow(run, "kind string, normal string, attempt int, drawn string")
 
 
-def settled_attempts(entities: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
+def settled_attempts(entities: DataFrame, key: bytes, rounds: int = 200, chooser: Callable = draw) -> DataFrame:
     """(kind, normal, attempt) for entities whose replacement is their own only from a later draw on."""
     now = stored(entities.withColumn("attempt", F.lit(0)), "entities")
     for _ in range(rounds):
-        drawn = stored(_drawn(now, key), "drawn")
+        drawn = stored(_drawn(now, key, chooser), "drawn")
         same = Window.partitionBy("kind", "drawn").orderBy("normal")
         # A replacement that another entity has too, or that occurs in the texts itself.  Those of one draw are few.
         twice = drawn.groupBy("kind", "drawn").agg(F.count("*").alias("n")).where("n > 1").select("kind", "drawn")

@@ -140,6 +140,29 @@ def test_stream_append_matches_a_batch_append(spark, arriving, tmp_path):
     assert sorted(r["row_id"] for r in streams.read_log(spark, folder, T._parse_datatype_string(SCHEMA)).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_late_and_repeated_revisions_are_stored_once_and_counted(spark, tmp_path):
+    batches = [
+        [revision("a", 1, 20), revision("b", 2, 21)],
+        [revision("c", 3, 2), revision("a", 1, 25), revision("a", 1, 20)],  # 3 is new and weeks late, 1 comes again with another clock
+        [revision("d", 4, 22), revision("d", 4, 22), revision("e", 5, 1)],
+        [revision("c", 3, 28), revision("f", 6, 27), revision("b", 2, 3)],
+    ]
+    source, folder = tmp_path / "in", str(tmp_path / "out")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(source / f"part={i}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+    streams.append_stream(stream, folder, f"{folder}-checkpoint", "row_id").awaitTermination()
+    schema = T._parse_datatype_string(SCHEMA)
+    log = {r["row_id"]: r["available_at"].day for r in streams.read_log(spark, folder, schema).collect()}
+    assert log == {1: 20, 2: 21, 3: 2, 4: 22, 5: 1, 6: 27} and streams.read_log(spark, folder, schema).count() == 6
+    counts = {(r["batch"], r["code"]): r["rows"] for r in spark.read.option("basePath", f"{folder}/quality").parquet(f"{folder}/quality").collect()}
+    assert [counts[b, "received"] for b in range(4)] == [2, 3, 3, 3]
+    assert [counts[b, "repeated"] for b in range(4)] == [0, 2, 1, 2]
+    assert [counts[b, "late"] for b in range(4)] == [0, 1, 2, 0]
+    streams.compact_log(spark, folder, schema, f"{folder}-compact")
+    assert sorted(r["row_id"] for r in streams.read_log(spark, f"{folder}-compact", schema).collect()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_stream_state_matches_the_batch_read(spark, arriving, tmp_path):
     batches, stream = arriving
     folder = str(tmp_path / "state")

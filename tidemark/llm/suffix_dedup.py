@@ -4,12 +4,11 @@ A suffix array lists the suffixes of a text in an order that puts suffixes with
 next to each other.  Listing every byte position of 100 TB is out of reach, so the arrays here are
 sampled: a position is listed where some ``span``-byte window picks it as its anchor
 (``rolling.Windows``).  Equal windows pick the same place, so no repeat of ``span`` bytes is missed.
-An entry is ordered by the fingerprint of its first ``gram`` bytes and then by the fingerprint of its
-whole surroundings (every byte of the windows that picked it), instead of byte by byte: equal strings
-are neighbours all the same.  Entries with equal surroundings are kept once with their count.
+Entries are ordered by the fingerprint of their first ``GRAM`` bytes instead of byte by byte: suffixes
+that begin alike are neighbours all the same.  Entries of one beginning are kept once with their count.
 
-``SuffixFamily`` holds levels of geometrically growing size.  A new batch gets an array of its own, is
-merge-scanned against each level for shared beginnings, and levels of equal rank merge into the next.
+``SuffixFamily`` holds levels of geometrically growing size.  A new batch gets an array of its own, and
+a merge-scan with the level of equal rank finds shared beginnings and gives the level of the next rank.
 
 The beginnings found in that way are then judged at three grains, each only where the one before left
 doubt: all windows of an anchor together, blocks of ``BLOCK`` windows, single windows.  At each grain
@@ -28,13 +27,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_buffer, pieces, row_key, sliced, stored
+from tidemark.llm.common import byte_buffer, membership, only_members, pieces, row_key, sliced, stored, text_session
 from tidemark.llm.rolling import Hashes, Windows, mix
 
 GRAM = 64
@@ -84,44 +84,40 @@ def sampled_suffixes(docs: DataFrame, span: int, batches: int) -> DataFrame:
 
 @dataclass
 class SuffixFamily:
-    """Levels of sampled suffix arrays, at most one of each rank; a level of rank r holds 2**r batches."""
+    """Levels of sampled suffix arrays, at most one of each rank; a level of rank r holds 2**r batches.
+
+    An entry is the fingerprint of a beginning (``core``) and the number of suffixes that have it.
+    """
 
     levels: dict[int, DataFrame] = field(default_factory=dict)
-    found: list[DataFrame] = field(default_factory=list)
 
     @staticmethod
     def array(anchors: DataFrame) -> DataFrame:
-        """The sorted array of one batch: entries in fingerprint order, equal surroundings once."""
-        entries = anchors.groupBy("core", "whole").agg(F.count("*").alias("n"))
-        return entries.sortWithinPartitions("core", "whole")
+        """The sorted array of one batch."""
+        return anchors.groupBy("core").agg(F.count("*").alias("n")).sortWithinPartitions("core")
 
     @staticmethod
     def merge(one: DataFrame, other: DataFrame) -> DataFrame:
-        entries = one.unionByName(other).groupBy("core", "whole").agg(F.sum("n").alias("n"))
-        return entries.sortWithinPartitions("core", "whole")
+        """Merge-scan of two arrays: beginnings of both get a count of two or more."""
+        return one.unionByName(other).groupBy("core").agg(F.sum("n").alias("n")).sortWithinPartitions("core")
 
-    @staticmethod
-    def scan(array: DataFrame, level: DataFrame) -> DataFrame:
-        """Beginnings that both arrays list: where a match across them can start."""
-        return array.select("core").distinct().join(level.select("core").distinct(), "core")
+    def matches(self, anchors: DataFrame) -> DataFrame:
+        """Beginnings of a batch that some level lists already: where a match with earlier batches can start."""
+        array = self.array(anchors)
+        found = [array.join(level.select("core"), "core", "left_semi") for level in self.levels.values()]
+        return reduce(DataFrame.unionByName, found, array.limit(0)).select("core").distinct()
 
     def add(self, anchors: DataFrame) -> None:
-        """Index a batch: search it in itself and in every level, then merge levels of equal rank."""
-        array = stored(self.array(anchors), "suffix-array")
-        self.found.append(array.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"))
-        self.found += [self.scan(array, level) for level in self.levels.values()]
-        rank = 0
+        """Index a batch: merge its array with the levels of equal rank, one after the other."""
+        array, rank = self.array(anchors), 0
         while rank in self.levels:
-            array = stored(self.merge(array, self.levels.pop(rank)), "suffix-array")
+            array = self.merge(array, self.levels.pop(rank))
             rank += 1
-        self.levels[rank] = array
+        self.levels[rank] = stored(array, "suffix-array")
 
     def repeated(self) -> DataFrame:
-        """Beginnings that occur at least twice among all batches."""
-        out = self.found[0]
-        for more in self.found[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
+        """Beginnings that occur at least twice in all batches together."""
+        return reduce(self.merge, self.levels.values()).where("n > 1").select("core")
 
 
 _UNIT = ["row_a", "row_b", "first", "last", "anchor"]
@@ -129,21 +125,24 @@ _UNIT = ["row_a", "row_b", "first", "last", "anchor"]
 
 def _judge(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split units (core, whole, weight, ...) into condemned ones and those the next grain has to look at."""
-    wholes = units.groupBy("core", "whole").agg(
-        F.sum("weight").alias("n"), F.min(F.struct("row_a", "row_b", "first")).alias("chosen"))
+    name = F.xxhash64("row_a", "row_b", "first")
+    wholes = units.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(name).alias("chosen"))
     cores = wholes.groupBy("core").agg(F.sum("n").alias("n_core"), F.count("*").alias("n_wholes")).where("n_core > 1")
-    rated = stored(units.join(wholes, ["core", "whole"]).join(cores, "core").select(
-        *_UNIT, "weight", "n", "n_wholes", (F.struct("row_a", "row_b", "first") == F.col("chosen")).alias("chosen")), "units")
-    condemned = rated.where("n > 1").select("row_a", "row_b", "first", "last")
-    doubtful = rated.where("n_wholes > 1 AND (n = 1 OR chosen)").select(
-        *_UNIT, F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
+    # A whole needs looking at again if its core has other wholes, and condemns its units if it occurs twice.
+    classes = wholes.join(cores, "core").where("n > 1 OR n_wholes > 1").select("core", "whole", "n", "n_wholes", "chosen")
+    rated = stored(units.join(classes, ["core", "whole"]).select(
+        *_UNIT, (F.col("n") > 1).alias("twice"), ((F.col("n_wholes") > 1) & ((F.col("n") == 1) | (name == F.col("chosen")))).alias("open")), "units")
+    condemned = rated.where("twice").select("row_a", "row_b", "first", "last")
+    doubtful = rated.where("open").select(*_UNIT, F.when(F.col("twice"), 2).otherwise(1).alias("weight"))
     return condemned, doubtful
 
 
 def _finer(docs: DataFrame, units: DataFrame, span: int, block: int) -> DataFrame:
     """Cut doubtful units into blocks of ``block`` windows, aligned to the anchor, and fingerprint them."""
     asked = units.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("first", "last", "anchor", "weight")).alias("units"))
-    texts = docs.join(asked, ["row_a", "row_b"]).select("row_a", "row_b", "text", "units")
+    asked = stored(asked, "asked")
+    near = docs.mapInArrow(only_members(membership(asked, "row_a"), 0), docs.schema)
+    texts = near.join(asked, ["row_a", "row_b"]).select("row_a", "row_b", "text", "units")
     schema = "row_a long, row_b long, core long, whole long, first long, last long, anchor long, weight int"
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (maximal removed runs), ``kept`` (the remaining bytes, which need not be valid UTF-8 at the cuts)
     and ``kept_sha256``.
     """
+    text_session(docs.sparkSession)
     if span <= GRAM + BLOCK:
         raise ValueError(f"strings of more than {GRAM + BLOCK} bytes are needed, not {span}")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sliced, stored
+from tidemark.llm.common import sliced, stored, text_session
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHARD_BYTES = 4_000_000
@@ -254,6 +254,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     twice counts once; repeated documents come out as often as they went in; a null item id never
     matches by name but its phrases still count as hits.  Empty tables give empty results or no hits.
     """
+    text_session(docs.sparkSession)
     index = build_index(docs, id_col, text_col)
     return search(index, phrases(items, item_col, item_text_col, window), within).withColumnRenamed("id", id_col)
 

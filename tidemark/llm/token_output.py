@@ -20,7 +20,9 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sliced, stored
+from tidemark.llm.common import sliced, stored, text_session
 
 # (ids, bits) by selector.
 SHAPES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -131,6 +133,7 @@ def unpack(payload: bytes) -> np.ndarray:
 _WORD_START = re.compile(r"(?<=\S)(?= )")
 _SPACE_RUN = re.compile(r"\s ")
 _SPACE = re.compile(r"\s")
+_STOPS = ".,"
 
 
 class Encoder:
@@ -141,7 +144,7 @@ class Encoder:
     are remembered, and those of the texts at hand.
     """
 
-    def __init__(self, path: str, known: int = 600_000):
+    def __init__(self, path: str, known: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -149,28 +152,28 @@ class Encoder:
         self.most = known
         self.known: dict[str, bytes] = {}  # words behind a space
         self.heads: dict[str, bytes] = {}  # words at the start of a line
-        self.stops = dict(zip(",.\n", self._ids([",", ".", "\n"])))
+        self.stops = dict(zip(_STOPS + "\n", self._ids([*_STOPS, "\n"])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _atoms(self, known: dict[str, bytes], asked: set[str], before: str) -> None:
-        """Encode words; a full stop or comma after a letter is a part of its own, so the bare word is kept."""
-        new = asked.difference(known)
-        ended = [w for w in new if w[-2:-1].isalpha() and w[-1] in ",."]
-        bare = list(new.difference(ended).union([w[:-1] for w in ended]).difference(known))
-        known |= zip(bare, self._ids([before + w for w in bare]))
-        known |= [(w, known[w[:-1]] + self.stops[w[-1]]) for w in ended]
-
-    def _learn(self, asked: set[str]) -> None:
-        """Ids of words behind a space; lines are cut where a line feed stands between visible characters."""
+        """Remember words; those with a full stop or comma after a letter are put together from the bare word."""
+        ended = [w for w in asked if w[-1:] in _STOPS and w[-2:-1].isalpha()]
+        bare = [w for w in asked.difference(ended).union([w[:-1] for w in ended]) if w not in known]
+        known.update(zip(bare, self._ids([before + w for w in bare])))
+        known.update([(w, known[w[:-1]] + self.stops[w[-1]]) for w in ended])
+
+    def _learn(self, asked: set[str]) -> list[str]:
+        """Remember words behind a space; returns those with a line feed between visible characters, which hardly come again."""
         lines = {w: w.split("\n") for w in asked if "\n" in w}
-        lines = {w: parts for w, parts in lines.items() if all(p and not _SPACE.search(p) for p in parts)}
-        self._atoms(self.known, asked.difference(lines).union([parts[0] for parts in lines.values()]), " ")
-        self._atoms(self.heads, {p for parts in lines.values() for p in parts[1:]}, "")
-        feed, heads = self.stops["\n"], self.heads
-        self.known |= [(w, self.known[parts[0]] + b"".join([feed + heads[p] for p in parts[1:]])) for w, parts in lines.items()]
+        lines = {w: parts for w, parts in lines.items() if all(parts) and not any(map(_SPACE.search, parts))}
+        first = {parts[0] for parts in lines.values()}
+        self._atoms(self.known, asked.difference(lines).union(first.difference(self.known)), " ")
+        self._atoms(self.heads, {p for parts in lines.values() for p in parts[1:]}.difference(self.heads), "")
+        feed, known, heads = self.stops["\n"], self.known, self.heads
+        known.update([(w, known[parts[0]] + b"".join([feed + heads[p] for p in parts[1:]])) for w, parts in lines.items()])
+        return list(lines)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -185,11 +188,21 @@ class Encoder:
         for known in (self.known, self.heads):
             if len(known) > self.most:
                 known.clear()
-        self._learn(set().union(*(rest for _, rest in cut)).difference(self.known))
+        known = self.known
+        lines = self._learn({w for _, rest in cut for w in rest if w not in known})
         heads = list({first for first, _ in cut})
         started = dict(zip(heads, self._ids(heads)))
-        get = self.known.__getitem__
-        return [started[first] + b"".join(map(get, rest)) for first, rest in cut]
+        get = known.__getitem__
+        out = [started[first] + b"".join(map(get, rest)) for first, rest in cut]
+        for word in lines:
+            del known[word]
+        return out
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder per Python worker: its words stay known from task to task."""
+    return Encoder(path)
 
 
 def default_tokenizer() -> str:
@@ -205,13 +218,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     ``tokenizer`` is a file that every executor can open.  Null ids come first; rows of equal id follow
     each other, those with equal texts in any order.  Without a ``path`` the blocks go to the shared folder.
     """
+    text_session(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = worker_encoder(tokenizer), struct.pack("<I", end_id)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         for whole in batches:
             for batch in sliced(whole, "text", BLOCK_BYTES):

@@ -34,17 +34,53 @@ def test_hashes_are_of_whole_files(spark, tmp_path):
     hashes = files.content_hashes(spark, [str(tmp_path / "one.bin"), str(tmp_path / "two.bin")], block_bytes=1 << 20)
     found = {r["file"]: (r["length"], r["content_sha256"]) for r in hashes.collect()}
     # The file listing leaves empty files out, so a pinned empty file counts as not found.
-    assert found == {"one.bin": (len(data), hashlib.sha256(data).hexdigest())}
-    pinned = spark.createDataFrame([("one.bin", hashlib.sha256(data).hexdigest().upper()), ("two.bin", "0" * 64), ("three.bin", "1" * 64)], "file string, expected string")
+    one = f"file:{tmp_path}/one.bin"
+    assert found == {one: (len(data), hashlib.sha256(data).hexdigest())}
+    pinned = spark.createDataFrame([(one, hashlib.sha256(data).hexdigest().upper()), ("two.bin", "0" * 64), ("three.bin", "1" * 64)], "file string, expected string")
     assert sorted(r["file"] for r in files.hash_mismatches(hashes, pinned).collect()) == ["three.bin", "two.bin"]
 
 
+def test_files_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "part-0").write_bytes(b"x" * k)
+        spark.range(k).selectExpr("id AS g", "DATE '2023-05-01' AS d").coalesce(1).write.parquet(str(tmp_path / f"t{k}"))
+        next((tmp_path / f"t{k}").glob("part-*.parquet")).rename(tmp_path / f"d{k}" / "x.parquet")
+    hashes = files.content_hashes(spark, [str(tmp_path / f"d{k}" / "part-0") for k in (1, 2)]).collect()
+    assert sorted((r["file"][-9:], r["length"]) for r in hashes) == [("d1/part-0", 1), ("d2/part-0", 2)]
+    scan = spark.read.parquet(*[str(tmp_path / f"d{k}" / "x.parquet") for k in (1, 2)])
+    assert sorted(r["rows"] for r in files.profile_files(scan, "g", F.col("d")).collect()) == [1, 2]
+
+
+def test_a_document_too_large_to_parse_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(files, "LARGEST_DOCUMENT", 30)
+    documents = spark.createDataFrame([("a", '{"k": {"v": 1}}'), ("b", '{"k": {"v": "' + "x" * 40 + '"}}')], "file string, text string")
+    with pytest.raises(Exception, match="too large"):
+        files.archive_records(documents).collect()
+    records = files.archive_records(documents.where("file = 'a'"))
+    assert [tuple(r) for r in files.archive_violations(documents, records).collect()] == [("b", "too_large")]
+
+
+def test_nested_values_have_digests_of_their_own(spark):
+    from tidemark.functions.digests import row_digest, schema_digest, table_digest
+
+    values = ["array('a, b')", "array('a', 'b')", "array('ab')", "array('a', NULL)", "array('a', 'null')", "array('a')", "CAST(NULL AS ARRAY<STRING>)", "CAST(array() AS ARRAY<STRING>)"]
+    rows = spark.sql(" UNION ALL ".join(f"SELECT {v} AS x, map('k', {v}) AS m, named_struct('p', {v}, 'q', 1) AS s, X'00FF' AS b" for v in values))
+    for column in ("x", "m", "s"):
+        assert rows.select(schema_digest(rows, [column]).alias("d")).distinct().count() == len(values)
+    one, other = (spark.sql(f"SELECT map_from_arrays(array{k}, array{v}) AS m") for k, v in (("('a', 'b')", "(1, 2)"), ("('b', 'a')", "(2, 1)")))
+    assert table_digest(one, ["m"]).first() == table_digest(other, ["m"]).first()
+    plain = spark.sql("SELECT 1 AS a, 'x' AS b, CAST(NULL AS DATE) AS c")
+    assert plain.select(row_digest([F.col(c) for c in "abc"]) == schema_digest(plain, ["a", "b", "c"])).first()[0]
+
+
 def test_archive_layouts_and_duplicates(spark, tmp_path):
     texts = {"map.json": '﻿{"a": {"v": 1}, "b": {"v": [1, 2]}}', "list.json": '[{"id": "a", "contents": {"v": 1}}, {"id": "a", "contents": {"v": 2}}]',
              "twice.json": '{"a": {"v": 1}, "a": {"v": 2}}', "broken.json": "{", "odd.json": '[{"id": "z", "contents": 5}]'}
     for name, text in texts.items():
         (tmp_path / name).write_text(text, encoding="utf-8")
     documents = files.read_documents(spark, [str(tmp_path / n) for n in texts])
+    documents = documents.withColumn("file", F.element_at(F.split("file", "/"), -1))
     records = files.archive_records(documents)
     assert sorted((r["file"], r["record_id"], r["contents"]) for r in records.where("file IN ('map.json', 'list.json')").collect()) == [
         ("list.json", "a", '{"v":1}'), ("list.json", "a", '{"v":2}'), ("map.json", "a", '{"v":1}'), ("map.json", "b", '{"v":[1,2]}')]

@@ -156,3 +156,20 @@ def test_joint_success_of_sets(spark):
     sets = spark.createDataFrame([(1, "g", "a"), (1, "g", "b"), (2, "g", "a"), (3, "g", None)], "set_id int, group_id string, member_id string")
     found = {r["set_id"]: r["joint_success"] for r in scenarios.joint_success(rows, sets).collect()}
     assert found == pytest.approx({1: 1 / 3, 2: 2 / 3, 3: 1.0})
+
+
+def test_log_gamma_at_every_size(spark):
+    import math
+
+    values = [1e-8, 0.3, 1.0, 2.5, 17.0, 1e3, 123456.5, 3e9, 1e15]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(metrics.log_gamma(F.col("x")).alias("g")).collect()
+    for v, r in zip(values, got):
+        assert r["g"] == pytest.approx(math.lgamma(v), rel=1e-12, abs=1e-12)
+    row = spark.sql("SELECT 2.5e0 AS m, 3000000000 AS k, 0 AS z").select(metrics.poisson_nll(F.col("m"), F.col("k")).alias("p"), metrics.poisson_nll(F.col("m"), F.col("z")).alias("q")).first()
+    assert row["p"] == pytest.approx(2.5 - 3e9 * math.log(2.5) + math.lgamma(3e9 + 1), rel=1e-12) and row["q"] == pytest.approx(2.5)
+
+
+def test_weights_that_are_all_zero_are_named(spark):
+    rows = spark.createDataFrame([(1, 0, [0.5, 0.5], 0.0)], "query_id int, label int, probabilities array<double>, weight double")
+    with pytest.raises(Exception, match="all weights are zero"):
+        metrics.checked(rows).collect()

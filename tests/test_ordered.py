@@ -163,12 +163,23 @@ def test_model_may_not_know_the_future():
         stats.check_model_cutoff("2024-01-02", "2024-01-01")
 
 
-def test_spread_follows_the_size(spark):
+def test_spread_cuts_a_hot_key_into_steps(spark):
     from tidemark.plans.ordered import spread
 
     df = spark.range(3000).withColumn("k", F.lit("hot"))
-    assert df.select(spread(df, F.col("id")).alias("b")).distinct().count() == 1
-    sizes = [r["count"] for r in df.groupBy(spread(df, F.col("id"), rows_per_bucket=100).alias("b")).count().collect()]
-    assert sum(sizes) == 3000 and max(sizes) <= 301
-    placed = numbered(df, ["k"], ["id"], spread(df, F.col("id"), rows_per_bucket=100))
+    sizes = [r["count"] for r in df.groupBy(spread(F.col("id"), 100).alias("b")).count().collect()]
+    assert len(sizes) == 30 and set(sizes) == {100}
+    placed = numbered(df, ["k"], ["id"], spread(F.col("id"), 100))
     assert placed.where(F.col("position") != F.col("id") + 1).isEmpty()
+
+
+def test_large_k_is_ranked_in_parts_first(spark):
+    df = spark.range(5000).selectExpr("'hot' AS k", "id")
+    found = top_k(df, ["k"], [F.col("id").desc()], 1500, rank_name="r").collect()
+    assert sorted((r["id"], r["r"]) for r in found) == [(4999 - i, i + 1) for i in reversed(range(1500))]
+
+
+def test_cutoffs_are_compared_as_moments():
+    stats.check_model_cutoff("2024-01-02T00:00:00+09:00", "2024-01-01T20:00:00Z")
+    with pytest.raises(ValueError):
+        stats.check_model_cutoff("2024-01-01T20:00:01+00:00", "2024-01-02T05:00:00+09:00")

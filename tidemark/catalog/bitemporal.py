@@ -251,27 +251,26 @@ def _(t):
 
 
 @query("d2_active_on_days", """
-    WITH days AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day),
+    WITH days AS (SELECT CAST(unnest(range(DATE '2023-12-01', DATE '2024-04-01', INTERVAL 1 DAY)) AS DATE) AS day),
     eligible AS (SELECT day, entity_id, row_id, CAST(event_at AS DATE) AS event_day, valid_to,
         row_number() OVER (PARTITION BY day, entity_id ORDER BY valid_from DESC, available_at DESC, ingested_at DESC, row_id DESC) AS rn
       FROM days JOIN revisions ON available_at <= day AND ingested_at <= day AND valid_from <= day AND CAST(event_at AS DATE) < day)
     SELECT strftime(day, '%Y-%m-%d') AS day, entity_id, row_id FROM eligible
     WHERE rn = 1 AND (valid_to IS NULL OR valid_to > day) AND event_day >= day - 10""", ("revisions",))
 def _(t):
-    days = history.active_on_days(intervals(t, 10), "2024-01-01", "2024-02-09")
+    days = history.active_on_days(intervals(t, 10))
     return days.select(*day_text("day"), "entity_id", "row_id")
 
 
 @query("d3_rolling_entity_sums", f"""
-    WITH {intervals_sql(10)}, days AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day)
+    WITH {intervals_sql(10)}, days AS (SELECT CAST(unnest(range(DATE '2023-12-01', DATE '2024-04-01', INTERVAL 1 DAY)) AS DATE) AS day)
     SELECT strftime(day, '%Y-%m-%d') AS day, event_type, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS versions,
       strftime(max(event_day), '%Y-%m-%d') AS last_event_day, epoch_us(max(available_at)) AS last_available
     FROM days JOIN intervals ON day >= active_from AND (active_to IS NULL OR day < active_to) GROUP BY day, event_type""",
        ("revisions",))
 def _(t):
     state = history.rolling_state(
-        intervals(t, 10), ["event_type"], ["cents"], F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-02-09")),
-        latest=["available_at"])
+        intervals(t, 10), ["event_type"], ["cents"], latest=["available_at"])
     return state.select(*day_text("day", "last_event_day"), "event_type", "cents", "versions",
                         F.unix_micros("available_at").alias("last_available"))
 
@@ -303,7 +302,7 @@ def _(t):
     rows = t.events.select(F.col("event_id").alias("row_id"), F.col("user_id").alias("entity_id"), "ts", "event_type")
     flagged = history.marker_between(
         rows.where("event_type <> 'error'").select("row_id", "entity_id", "ts"),
-        rows.where("event_type = 'error'"), KEY, ["ts"], spread(t.events, F.col("ts")))
+        rows.where("event_type = 'error'"), KEY, ["ts"], spread(F.col("ts"), 3600))
     return flagged.select("row_id", "marker_between")
 
 

@@ -265,6 +265,6 @@ def _(t):
     SELECT run, count(*) AS epochs, arg_min(epoch, (loss, epoch)) AS best_epoch, min(loss) AS best_loss, max(epoch) AS final_epoch, arg_max(loss, epoch) AS final_loss,
       round(arg_max(loss, epoch) - min(loss), 9) AS final_minus_best, round(avg(loss) FILTER (WHERE k <= 5), 9) AS last_five_mean, min(epoch) = 1 AND max(epoch) = count(*) AS contiguous FROM r GROUP BY run""")
 def _(t):
-    placed = numbered(t.events.select(F.col("user_id").alias("run"), "ts", F.col("value").alias("loss")), ["run"], ["ts"], spread(t.events, F.col("ts")), "epoch")
+    placed = numbered(t.events.select(F.col("user_id").alias("run"), "ts", F.col("value").alias("loss")), ["run"], ["ts"], spread(F.col("ts"), 3600), "epoch")
     placed = placed.withColumn("epoch", F.expr("epoch + IF(run % 10 = 3, 1, 0)"))
     return rounded(metrics.history_summary(placed, "run", "epoch", "loss"), 9, "final_minus_best", "last_five_mean")

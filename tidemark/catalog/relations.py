@@ -512,7 +512,7 @@ def _(t):
 
 
 @query("g29_split_summary", """
-    WITH d AS (SELECT day, count(*) AS games, sum(home_score) AS home_scores FROM games GROUP BY day), s AS (SELECT *, CASE WHEN year(day) <= 1998 THEN 'train' WHEN year(day) = 1999 THEN 'validation' ELSE 'test' END AS split FROM d WHERE year(day) <= 2000)
+    WITH d AS (SELECT day, count(*) AS games, sum(home_score) AS home_scores FROM games GROUP BY day), s AS (SELECT *, CASE WHEN year(day) <= 1998 THEN 'train' WHEN year(day) = 1999 THEN 'validation' WHEN year(day) = 2000 THEN 'test' ELSE 'unassigned' END AS split FROM d)
     SELECT split, count(*) AS days, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, CASE WHEN split <> 'test' THEN CAST(sum(games) AS BIGINT) END AS games,
       CASE WHEN split <> 'test' THEN CAST(sum(home_scores) AS BIGINT) END AS home_scores FROM s GROUP BY split""", ("games",))
 def _(t):

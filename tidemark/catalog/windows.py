@@ -46,7 +46,7 @@ def series(t):
     WITH {SERIES_SQL}, r AS (SELECT event_id, sum(value) OVER w AS s, count(value) OVER w AS n FROM series WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
     SELECT event_id, round(CASE WHEN n >= 3 THEN s END, 6) AS rolling_sum, round(CASE WHEN n >= 3 THEN s / n END, 6) AS rolling_mean FROM r""")
 def _(t):
-    rolled = windows.rolling(series(t), ["user_id"], ["ts"], spread(t.events, F.col("ts")), "value", 7, 3)
+    rolled = windows.rolling(series(t), ["user_id"], ["ts"], spread(F.col("ts"), 3600), "value", 7, 3)
     return rounded(rolled, 6, "rolling_sum", "rolling_mean").select("event_id", "rolling_sum", "rolling_mean")
 
 
@@ -58,7 +58,7 @@ def _(t):
       round(CASE WHEN k >= 5 THEN n / d END, 9) AS rolling_rate FROM w""")
 def _(t):
     rows = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "IF(l_returnflag = 'A', NULL, l_quantity) AS num", "l_quantity + l_linenumber AS den")
-    rolled = windows.rolling_rate(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], spread(t.lineitem, F.col("l_orderkey")), "num", "den", 20, 5)
+    rolled = windows.rolling_rate(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], spread(F.col("l_orderkey"), 1000), "num", "den", 20, 5)
     return rounded(rolled, 9, "rolling_rate").drop("num", "den")
 
 
@@ -74,13 +74,13 @@ def ewma_sql(alpha, adjust):
 
 @query("w5_ewma_recursive", ewma_sql("0.2e0", False))
 def _(t):
-    result = windows.ewma(series(t), ["user_id"], ["ts"], spread(t.events, F.col("ts")), "value", min_periods=2, span=9)
+    result = windows.ewma(series(t), ["user_id"], ["ts"], spread(F.col("ts"), 3600), "value", min_periods=2, span=9)
     return rounded(result, 6, "ewma").select("event_id", "ewma")
 
 
 @query("w5_ewma_adjusted", ewma_sql("0.3e0", True))
 def _(t):
-    result = windows.ewma(series(t), ["user_id"], ["ts"], spread(t.events, F.col("ts")), "value", min_periods=2, adjust=True, alpha=0.3)
+    result = windows.ewma(series(t), ["user_id"], ["ts"], spread(F.col("ts"), 3600), "value", min_periods=2, adjust=True, alpha=0.3)
     return rounded(result, 6, "ewma").select("event_id", "ewma")
 
 
@@ -122,7 +122,7 @@ def _(t):
     i AS (SELECT unnest(range(37)) AS i), w AS (SELECT CASE WHEN i = 36 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / 36e0)) AS BIGINT) END AS spot FROM i, (SELECT count(*) AS n FROM events))
     SELECT event_id FROM r WHERE p IN (SELECT spot FROM w)""")
 def _(t):
-    return windows.evenly_spaced(t.events.select("event_id", "ts"), ["ts"], spread(t.events, F.col("ts"), hottest=1.0), 37).select("event_id")
+    return windows.evenly_spaced(t.events.select("event_id", "ts"), ["ts"], spread(F.col("ts"), 3600), 37).select("event_id")
 
 
 @query("w10_mid_window", """
@@ -142,7 +142,7 @@ def _(t):
     SELECT user_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY user_id, island""")
 def _(t):
     spans = t.events.selectExpr("user_id", "unix_micros(ts) AS lo", "unix_micros(ts) + CAST(round(value * 200) AS BIGINT) * 1000000 AS hi")
-    return windows.interval_union(spans, ["user_id"], "lo", "hi", spread(spans, F.col("lo")))
+    return windows.interval_union(spans, ["user_id"], "lo", "hi", spread(F.col("lo"), 3600e6))
 
 
 @query("s1_deterministic_order", "SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place, c_nationkey, c_custkey FROM customer")
@@ -150,7 +150,7 @@ def _(t):
     from tidemark.plans.ordered import global_positions
     rows = t.customer.select("c_nationkey", "c_custkey")
     rank = F.col("c_nationkey") * 1e12 + F.col("c_custkey")  # grows with the order
-    placed = global_positions(rows, ["c_nationkey", "c_custkey"], spread(rows, rank, hottest=1.0), "place")
+    placed = global_positions(rows, ["c_nationkey", "c_custkey"], spread(rank, 100), "place")
     return selection.in_key_order(placed, ["c_nationkey", "c_custkey"])
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_STARTS = (1, 16, 31, 46)
 SLICE_LENGTH = 15
@@ -20,10 +21,40 @@ def framed(columns: Sequence[Column]) -> Column:
     return F.concat(*parts)
 
 
+def nested_text(column: Column, kind: T.DataType) -> Column:
+    """Text of a value in which no two different values look alike, whatever they are made of.
+
+    Arrays, structs and maps are framed part by part with lengths, maps in the order of their keys;
+    binary values are written in hex; plain values as ``cast`` writes them.
+    """
+    if isinstance(kind, T.ArrayType):
+        parts = F.transform(column, lambda x: framed_text(nested_text(x, kind.elementType)))
+        return F.concat(F.lit("["), F.size(column).cast("string"), F.lit("]"), F.array_join(parts, ""))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.concat(F.lit("{"), *[framed_text(nested_text(column[f.name], f.dataType)) for f in kind.fields]))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(column), lambda e: F.concat(
+            framed_text(nested_text(e["key"], kind.keyType)), framed_text(nested_text(e["value"], kind.valueType))))
+        return F.concat(F.lit("<"), F.size(column).cast("string"), F.lit(">"), F.array_join(F.sort_array(pairs), ""))
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    return column.cast("string")
+
+
+def framed_text(text: Column) -> Column:
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
 def row_digest(columns: Sequence[Column]) -> Column:
     return F.sha2(framed(columns), 256)
 
 
+def schema_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Digest of a row's columns, nested ones framed all the way down; for plain columns the same as ``row_digest``."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.sha2(F.concat(*[framed_text(nested_text(F.col(c), kinds[c])) for c in columns]), 256)
+
+
 def digest_slices(digest: Column) -> list[Column]:
     """Four 60-bit integers that make up a hex digest (the last four hex digits are not used)."""
     return [F.conv(F.substring(digest, start, SLICE_LENGTH), 16, 10).cast("bigint") for start in SLICE_STARTS]
@@ -38,7 +69,7 @@ def table_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """
     types = dict(df.dtypes)
     header = ",".join(f"{name}:{types[name]}" for name in columns)
-    digest = row_digest([F.col(c) for c in columns])
+    digest = schema_digest(df, columns)
     rows = df.select(*by, digest.alias("__digest"))
     slices = [s.cast("decimal(20,0)").alias(f"__s{i}") for i, s in enumerate(digest_slices(F.col("__digest")))]
     sums = (

@@ -108,7 +108,7 @@ def _group_seasons(samples: DataFrame) -> DataFrame:
 def split_violations(samples: DataFrame, roles: DataFrame) -> DataFrame:
     """``samples``: row_id, group_id, season; ``roles``: season, role (one row per season)."""
     seasons = _group_seasons(samples)
-    judged = seasons.join(F.broadcast(roles), "season", "left")
+    judged = seasons.join(roles, "season", "left")
     single = F.col("season") == F.col("last_season")
     return combine(
         repeated(samples, ["row_id"], "duplicate_row_id", "row occurs", entity=F.col("row_id")),
@@ -121,7 +121,7 @@ def split_violations(samples: DataFrame, roles: DataFrame) -> DataFrame:
 def role_assignments(samples: DataFrame, roles: DataFrame) -> DataFrame:
     """Whole groups to roles; use only after ``split_violations`` came back empty."""
     seasons = _group_seasons(samples).where("season = last_season").drop("last_season")
-    return seasons.join(F.broadcast(roles), "season")
+    return seasons.join(roles, "season")
 
 
 def expanding_folds(assignments: DataFrame, base_season: int, targets: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def fit_temperatures(df: DataFrame, stage: str | None = None, *, minimum_rows: i
             # The trial values enter as a table, so every pass runs the same compiled plan.
             trial = df.sparkSession.createDataFrame(
                 [(s, fitted[s].at if s in fitted else overall.at, overall.at) for s in sizes], "stage string, s double, o double")
-            placed = rows.join(F.broadcast(trial), "stage")  # one row per stage
+            placed = rows.join(trial, "stage")  # one row per stage
             parts = []
             for tag in ("s", "o"):
                 # One named column per step: nested array functions would repeat the work of the inner ones.
@@ -122,6 +122,9 @@ def fit_temperatures(df: DataFrame, stage: str | None = None, *, minimum_rows: i
                 problem = fitted.get(r["stage"])
                 if problem is not None and not problem.done:
                     problem.update(r["s1"], r["s2"], tolerance)
+        late = [s for s, p in {"": overall, **fitted}.items() if not p.done]
+        if late:
+            raise RuntimeError(f"temperatures of {late} did not settle in {maximum_passes} passes")
     finally:
         rows.unpersist()
     return Temperatures(1.0 / overall.at, {s: 1.0 / p.at for s, p in fitted.items()})
@@ -165,8 +168,11 @@ def _log_features(df: DataFrame, models: Sequence[str], classes: int) -> DataFra
 
 def _stack(df: DataFrame, ridge: float) -> LogisticRegressionModel:
     step = LogisticRegression(featuresCol="__features", labelCol="__label", weightCol="weight", family="multinomial", regParam=ridge,
-                              elasticNetParam=0.0, standardization=True, maxIter=100, tol=1e-7, probabilityCol="__probability")
-    return step.fit(df.withColumn("__label", F.col("label").cast("double")))
+                              elasticNetParam=0.0, standardization=True, maxIter=500, tol=1e-7, probabilityCol="__probability")
+    model = step.fit(df.withColumn("__label", F.col("label").cast("double")))
+    if model.summary.totalIterations >= 500:
+        raise RuntimeError("the stacked model did not settle in 500 passes")
+    return model
 
 
 def _predict(model: LogisticRegressionModel, df: DataFrame, classes: int) -> DataFrame:
@@ -189,7 +195,11 @@ def stack_out_of_fold(df: DataFrame, models: Sequence[str], classes: int, folds:
     ``folds`` is the time order.  Stage temperatures come from the out-of-fold
     predictions, the final model from all rows.
     """
-    rows = _log_features(cut_lineage(df), models, classes)  # every fold trains on it again
+    kept = cut_lineage(df)  # every fold trains on it again
+    unplaced = kept.where(F.col(fold).isNull() | ~F.col(fold).isin(list(folds))).select(fold).limit(1).collect()
+    if len(set(folds)) != len(folds) or unplaced:
+        raise ValueError(f"every fold of the rows has to be named once; {unplaced[0][0] if unplaced else 'one'} is not")
+    rows = _log_features(kept, models, classes)
     crossed = None
     for at in range(1, len(folds)):
         model = _stack(rows.where(F.col(fold).isin(list(folds[:at]))), ridge)

@@ -52,13 +52,14 @@ def competition_intervals(df: DataFrame, keys: Sequence[str], row_id: str, *, tz
     )
 
 
-def active_on_days(intervals: DataFrame, first_day: str, last_day: str) -> DataFrame:
-    """One row per live version and day of ``[first_day, last_day]``."""
-    return days_of(intervals, "active_from", "active_to", F.to_date(F.lit(first_day)), F.to_date(F.lit(last_day)))
+def active_on_days(intervals: DataFrame, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """One row per live version and day, within ``[first_day, last_day]`` where those are given."""
+    first, last = (F.to_date(F.lit(d)) if d is not None else None for d in (first_day, last_day))
+    return days_of(intervals, "active_from", "active_to", first, last)
 
 
 def rolling_state(intervals: DataFrame, keys: Sequence[str], sums: Sequence[str],
-                  first_day: Column, last_day: Column, latest: Sequence[str] = ()) -> DataFrame:
+                  first_day: Column | None = None, last_day: Column | None = None, latest: Sequence[str] = ()) -> DataFrame:
     """Per key and day: sums over the live versions and the latest value of ``latest``.
 
     Versions that share a key, event day and interval are merged first, which
@@ -137,7 +138,7 @@ def band_lookup(df: DataFrame, bands: DataFrame, rate: str, on: Sequence[str], v
     entries per position), so the lookup is an equi join and no range join.
     """
     folded = bands.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("low", "high", value))).alias("__bands"))
-    joined = df.join(F.broadcast(folded), list(on), "left")
+    joined = df.join(folded, list(on), "left")
     inside = F.filter("__bands", lambda b: (F.col(rate) >= b["low"]) & (
         (F.col(rate) < b["high"]) | ((b["high"] == 1) & (F.col(rate) <= 1))))
     return joined.withColumn(value, F.try_element_at(inside, F.lit(1))[value]).drop("__bands")

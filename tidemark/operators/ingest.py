@@ -97,7 +97,7 @@ def decode_violations(df: DataFrame, code: str, pattern: str, agreements: Mappin
 
 def map_outcomes(df: DataFrame, outcome: str, rules: DataFrame) -> DataFrame:
     """Attach the flags of a fixed outcome table (one row per outcome, a dozen rows)."""
-    return df.join(F.broadcast(rules.withColumnRenamed("outcome", outcome)), outcome, "left")
+    return df.join(rules.withColumnRenamed("outcome", outcome), outcome, "left")
 
 
 def occupancy(columns: Sequence[str]) -> Column:
@@ -150,7 +150,7 @@ def tokenise_cells(df: DataFrame, ids: Sequence[str], cells: str, separator: str
     if codes is None:
         return tokens.withColumn("outcome", outcome)
     number = F.when(F.col("token").rlike("^[0-9]{4,}$"), F.col("token").try_cast("int"))
-    table = F.broadcast(codes.select(F.col("code").alias("__code"), F.col("outcome").alias("__outcome")))
+    table = codes.select(F.col("code").alias("__code"), F.col("outcome").alias("__outcome"))
     joined = tokens.withColumn("__number", number).join(table, F.col("__number") == F.col("__code"), "left")
     numeric = F.col("token").rlike("^[0-9]{4,}$")
     return joined.withColumn("outcome", F.when(numeric, F.col("__outcome")).otherwise(outcome)).drop(

@@ -27,12 +27,15 @@ def fit_and_score(df: DataFrame, features: Sequence[str], specs: Sequence[tuple[
     # Training passes over the rows many times; the checkpoint keeps them from rebuilding the features.
     inputs = cut_lineage(df.select(season, day, F.col(target).cast("double").alias("label"), *features))
     rows = assembler.transform(inputs)
-    model_step = estimator or LogisticRegression(family="multinomial", maxIter=25, regParam=0.01)
+    model_step = estimator or LogisticRegression(family="multinomial", maxIter=200, regParam=0.01)
     result = None
     for name, first, held in specs:
         train = rows.where((F.col(season) >= first) & (F.col(season) < held))
         evaluation = rows.where(F.col(season) == held)
         model = model_step.fit(train)
+        settle = getattr(model, "summary", None)
+        if settle is not None and settle.totalIterations >= model_step.getOrDefault("maxIter"):
+            raise RuntimeError(f"the model of {name} did not settle in {settle.totalIterations} passes")
         scored = model.transform(evaluation)
         raw = vector_to_array("probability")
         aligned = F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda i: F.coalesce(F.try_element_at(raw, i), F.lit(0.0)))

@@ -6,6 +6,7 @@ per class.  Every metric is one pass of partial aggregates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -42,7 +43,9 @@ def checked(df: DataFrame, labels: Sequence[Any] | None = None, label: str = "la
     Scaling by the maximum first keeps sums finite for very large weights.
     """
     index = F.col(label) if labels is None else (F.array_position(F.lit(list(labels)), F.col(label)) - 1).cast("int")
-    top = df.agg(F.max(F.col("weight").cast("double")).alias("__top"))
+    heaviest = F.max(F.col("weight").cast("double"))
+    refused = F.raise_error(F.lit("all weights are zero")).cast("double")
+    top = df.agg(F.when(heaviest == 0, refused).otherwise(heaviest).alias("__top"))
     total = _total(F.col("probabilities"))
     return (df.crossJoin(F.broadcast(top))  # one-row maximum
             .withColumns({label: index, "weight": F.col("weight") / F.col("__top"),
@@ -75,14 +78,11 @@ def evaluate(df: DataFrame, by: Sequence[str], classes: int, *, bins: int = 15,
     elif strategy == "quantile":
         marks = [i / bins for i in range(1, bins)]
         cuts = stats.distribution(scored, by, "confidence", marks, 0.01)
-        names = [f"p{round(m * 100):02d}" for m in marks]
-        if len(set(names)) != len(names):
-            raise ValueError("too many quantile bins")
-        cuts = cuts.select(*by, F.array(*names).alias("__edges"))
+        cuts = cuts.select(*by, F.array(*[stats.percentile_name(m) for m in marks]).alias("__edges"))
         scored = scored.join(cuts, list(by)) if by else scored.crossJoin(F.broadcast(cuts))  # one row of edges
         edges = F.col("__edges")
     else:
-        raise ValueError("strategy must be 'uniform' or 'quantile'")
+        raise ValueError(f"no binning named {strategy!r}")
     scored = scored.withColumn("__bin", _edges_at_most(edges, F.col("confidence")))
     w = F.col("weight").cast("double")
     per_bin = scored.groupBy(*by, "__bin").agg(
@@ -141,11 +141,24 @@ def partial_observation_nll(df: DataFrame, rows: int, columns: int, *, logits: s
     return df.withColumn("nll", _log_sum_exp(F.col(logits)) - _log_sum_exp(picked))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x > 0: shifted up by eight factors, then Stirling's series, so a row costs the same whatever x is."""
+    y = x + 8.0
+    square = y * y
+    series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - (1.0 / 1680 - 1.0 / (1188 * square)) / square) / square) / square) / y
+    factors = x
+    for k in range(1, 8):
+        factors = factors * (x + float(k))
+    # Above 1e30 the eight factors would leave the range of a double, and the shift no longer matters.
+    small = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(factors)
+    large = (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi))
+    return F.when(x < 1e30, small).otherwise(large)
+
+
 def _log_rising(start: Column, count: Column) -> Column:
-    """``log(start) + log(start + 1) + ...`` over ``count`` terms, i.e. a log-gamma difference for integer counts."""
-    terms = F.sequence(F.lit(0), F.greatest(count.cast("int") - 1, F.lit(0)))
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, i: acc + F.log(start + i))
-    return F.when(count > 0, total).otherwise(0.0)
+    """``log(start) + log(start + 1) + ...`` over ``count`` terms: a difference of log gammas, also for fractional counts."""
+    start, count = start.cast("double"), count.cast("double")
+    return F.when(count > 0, log_gamma(start + count) - log_gamma(start)).otherwise(F.when(count.isNotNull(), F.lit(0.0)))
 
 
 def poisson_nll(rate: Column, observed: Column) -> Column:
@@ -263,7 +276,7 @@ def contrasts(runs: DataFrame, pairs: DataFrame, lower_is_better: Sequence[str])
     """Named contrasts ``pairs(candidate, reference)``: mean paired delta and the improvement it means."""
     a = runs.select(F.col("variant").alias("candidate"), "seed", "metric", F.col("value").alias("__a"))
     b = runs.select(F.col("variant").alias("reference"), "seed", "metric", F.col("value").alias("__b"))
-    joined = F.broadcast(pairs).join(a, "candidate").join(b, ["reference", "seed", "metric"])  # a handful of named pairs
+    joined = pairs.join(a, "candidate").join(b, ["reference", "seed", "metric"])  # a handful of named pairs
     delta = F.col("__a") - F.col("__b")
     low = F.col("metric").isin(list(lower_is_better))
     grouped = joined.groupBy("candidate", "reference", "metric").agg(

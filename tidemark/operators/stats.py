@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -25,16 +26,21 @@ def fit_beta_prior(df: DataFrame, by: Sequence[str] = (), *, numerator: str = "n
                    minimum_strength: float = 2.0, maximum_strength: float = 10_000.0, fallback_mean: float = 0.5) -> DataFrame:
     """Method-of-moments beta prior per cohort: pooled mean, variance between members above sampling noise.
 
-    The weighted spread around the pooled mean is expanded into plain sums, so one
-    partial aggregate per cohort is enough and members never meet their cohort in a join.
+    The spread is summed in a second pass around the pooled mean of the cohort, so it does not
+    cancel.  A member with more successes than trials, or fewer than none, is an error.
     """
-    members = df.select(*by, F.col(numerator).cast("double").alias("n"), F.col(denominator).cast("double").alias("d")).where("d > 0")
-    sums = members.groupBy(*by).agg(
-        F.count("*").alias("members"), F.sum("n").alias("sn"), F.sum("d").alias("w"), F.sum(F.col("d") * F.col("d")).alias("w2"),
-        F.sum(F.col("n") * F.col("n") / F.col("d")).alias("q"))
+    n, d = F.col(numerator).cast("double"), F.col(denominator).cast("double")
+    refused = F.raise_error(F.lit("a member has more successes than trials, or fewer than none")).cast("double")
+    members = df.select(*by, F.when((n < 0) | (n > d), refused).otherwise(n).alias("n"), d.alias("d")).where("d > 0")
     mean = clamp(F.col("sn") / F.col("w"), EPSILON, 1.0 - EPSILON)
-    spread = F.col("q") - 2.0 * F.col("m") * F.col("sn") + F.col("m") * F.col("m") * F.col("w")
-    moments = sums.withColumn("m", mean).withColumn("spread", spread)
+    sums = members.groupBy(*by).agg(
+        F.count("*").alias("members"), F.sum("n").alias("sn"), F.sum("d").alias("w"), F.sum(F.col("d") * F.col("d")).alias("w2")
+    ).withColumn("m", mean)
+    centre = sums.select(*by, "m")
+    # One row per cohort on the right; Spark picks the join by its size.
+    placed = members.join(centre, list(by)) if by else members.crossJoin(centre)
+    spread = placed.groupBy(*by).agg(F.sum(F.col("d") * F.pow(F.col("n") / F.col("d") - F.col("m"), 2)).alias("spread"))
+    moments = sums.join(spread, list(by)) if by else sums.crossJoin(spread)
     effective = F.col("w") - F.col("w2") / F.col("w")
     observed = F.when(effective > 0, F.col("spread") / effective).otherwise(0.0)
     noise = F.col("members") * F.col("m") * (1.0 - F.col("m")) / F.col("w")
@@ -61,6 +67,12 @@ def shrink(df: DataFrame, by: Sequence[str] = (), **bounds: Any) -> DataFrame:
     return empirical_bayes(df, fit_beta_prior(df, by, **bounds), by)
 
 
+def percentile_name(p: float) -> str:
+    """``p50``, ``p05``; finer probabilities keep their digits: ``p12_5``."""
+    whole = round(p * 100)
+    return f"p{whole:02d}" if abs(p * 100 - whole) < 1e-9 else "p" + f"{p * 100:.10g}".replace(".", "_")
+
+
 def _histogram(df: DataFrame, by: Sequence[str], value: str, width: float) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     return running(counts, list(by), [value], F.floor(F.col(value) / F.lit(float(width))), {"upto": F.col("n")})
@@ -86,7 +98,7 @@ def distribution(df: DataFrame, by: Sequence[str], value: str, probabilities: Se
     for i, p in enumerate(probabilities):
         at = (F.col("count") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        result = result.withColumn(f"p{round(p * 100):02d}", low + (high - low) * (at - F.floor(at)))
+        result = result.withColumn(percentile_name(p), low + (high - low) * (at - F.floor(at)))
     return result.drop(*[f"__{e}{i}" for i in range(len(probabilities)) for e in ("lo", "hi")])
 
 
@@ -96,7 +108,7 @@ def weighted_percentiles(df: DataFrame, by: Sequence[str], value: str, probabili
     totals = histogram.groupBy(*by).agg(F.sum("n").alias("count"))
     placed = histogram.join(totals, list(by))
     picks = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("count") * F.lit(float(p)))), F.col(value)))
-             .alias(f"p{round(p * 100):02d}") for p in probabilities]
+             .alias(percentile_name(p)) for p in probabilities]
     return placed.groupBy(*by, "count").agg(*picks)
 
 
@@ -152,8 +164,14 @@ def event_probabilities(df: DataFrame, contexts: DataFrame, prior: Mapping[str,
     return rows.select(member, other, *result)
 
 
+def _moment(clock: Any) -> datetime:
+    """A clock as a point in time; one without a zone is UTC."""
+    value = datetime.fromisoformat(str(clock))
+    return value if value.tzinfo is not None else value.replace(tzinfo=timezone.utc)
+
+
 def check_model_cutoff(model_cutoff: Any, query_cutoff: Any) -> None:
-    if str(model_cutoff) > str(query_cutoff):
+    if _moment(model_cutoff) > _moment(query_cutoff):
         raise ValueError("the model saw facts after the query's cutoff")
 
 

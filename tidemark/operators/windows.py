@@ -33,7 +33,7 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
             min_periods: int = 1) -> DataFrame:
     """Sum and mean over the last ``window`` rows; missing rows take a place but no value."""
     if not 1 <= min_periods <= window:
-        raise ValueError("min_periods must be between one and window")
+        raise ValueError(f"{min_periods} rows cannot be asked of a window of {window}")
     rolled = last_rows(df, keys, order, bucket, window,
                        {"__sum": F.sum(F.col(value).cast("double")), "__seen": F.count(value)})
     enough = F.col("__seen") >= min_periods
@@ -64,7 +64,7 @@ def resolve_alpha(alpha: float | None = None, span: float | None = None, half_li
     elif half_life is not None:
         alpha = 1.0 - math.exp(math.log(0.5) / half_life)
     if not 0.0 < alpha <= 1.0:
-        raise ValueError("alpha must be in (0, 1]")
+        raise ValueError(f"a smoothing factor of {alpha} is not above 0 and at most 1")
     return alpha
 
 
@@ -189,7 +189,7 @@ def evenly_spaced(df: DataFrame, order: Sequence[str], bucket: Column, n: int) -
         at = F.lit(0)
     wanted = spots.select(F.when(F.col("__total") <= n, F.col("__i")).otherwise(at).cast("bigint").alias("__at"))
     picked = wanted.select((F.col("__at") + 1).alias("__position")).distinct()
-    return placed.join(F.broadcast(picked), "__position", "left_semi").drop("__position")
+    return placed.join(picked, "__position", "left_semi").drop("__position")
 
 
 def middle_days(days: DataFrame, group: str, day: str, count: int) -> DataFrame:

@@ -15,15 +15,19 @@ def first_midnight_at_or_after(clock: Column, tz: str = "UTC") -> Column:
     return F.when(local == day.cast("timestamp"), day).otherwise(F.date_add(day, 1))
 
 
-def days_of(df: DataFrame, start: str, stop: str, first_day: Column, last_day: Column,
+def days_of(df: DataFrame, start: str, stop: str, first_day: Column | None = None, last_day: Column | None = None,
             name: str = "day") -> DataFrame:
-    """One row per day of ``[start, stop)`` clipped to ``[first_day, last_day]``.
+    """One row per day of ``[start, stop)``, clipped to ``[first_day, last_day]`` where those are given.
 
-    ``stop`` may be NULL for an open interval.  Days are generated from the row
-    itself, so no range join is planned.
+    ``stop`` may be NULL for an open interval, which needs a ``last_day``; without one it is an
+    error.  Days are generated from the row itself, so no range join is planned.
     """
-    low = F.greatest(F.col(start), first_day)
-    high = F.least(F.coalesce(F.date_sub(F.col(stop), 1), last_day), last_day)
+    low = F.col(start) if first_day is None else F.greatest(F.col(start), first_day)
+    if last_day is None:
+        open_end = F.raise_error(F.lit("an interval without an end needs a last day")).cast("date")
+        high = F.coalesce(F.date_sub(F.col(stop), 1), open_end)
+    else:
+        high = F.least(F.coalesce(F.date_sub(F.col(stop), 1), last_day), last_day)
     return (
         df.withColumn("__low", low).withColumn("__high", high)
         .where(F.col("__low") <= F.col("__high"))

@@ -9,28 +9,22 @@ never one per input row.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
+SALTS = 64
 
 
-def spread(df: DataFrame, column: Column, rows_per_bucket: int = 1_000_000, hottest: float = 1 / 3) -> Column:
-    """Bucket expression over a numeric or time column, as fine as the table's size asks for.
+def spread(column: Column, width: float) -> Column:
+    """Bucket expression: steps of ``width`` of a numeric or time column (seconds for a time).
 
-    One aggregate row (low, high, count) decides the width, so that a key holding the
-    share ``hottest`` of all rows falls into buckets of about ``rows_per_bucket``; a
-    small table gets a single bucket.
+    The caller knows how densely a key can fill its order and picks a width that holds what one task
+    can sort; the plan is the same at every size.
     """
-    value = column.cast("double")
-    low, high, rows = df.agg(F.min(value), F.max(value), F.count("*")).first()
-    buckets = math.ceil(rows * hottest / rows_per_bucket)
-    if buckets <= 1 or low is None or high <= low:
-        return F.lit(0)
-    return F.floor((value - F.lit(low)) * F.lit(buckets / (high - low)))
+    return F.floor(column.cast("double") / F.lit(float(width))).cast("bigint")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
@@ -38,9 +32,15 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int =
     """First ``k`` rows per key.
 
     Spark plans ``row_number() <= k`` with a partial group limit before the
-    shuffle, so each map task sends at most ``k`` rows of a hot key.
+    shuffle, so each map task sends at most ``k`` rows of a hot key.  It does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; a larger ``k`` is first ranked inside
+    ``SALTS`` parts of each key, so that the last window sees ``SALTS * k`` rows of a key at most.
     """
     rank = rank_name or "__rank"
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS))
+        part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        df = df.withColumn("__salt", salt).withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= k).drop("__salt", rank)
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
     return ranked if rank_name else ranked.drop(rank)

@@ -28,12 +28,12 @@ def missing_columns(spark: SparkSession, paths: Sequence[str], required: Sequenc
 
 
 def profile_files(df: DataFrame, group: str, day: Column) -> DataFrame:
-    """Rows, groups, first and last day and distinct years of every file of a scan.
+    """Rows, groups, first and last day and distinct years of every file (by its full path) of a scan.
 
     Rows are reduced to one per file, group and day first, so the distinct
     counts work on the reduced table.
     """
-    rows = df.select(F.col("_metadata.file_name").alias("file"), F.col(group).alias("g"), day.alias("d"))
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col(group).alias("g"), day.alias("d"))
     slim = rows.groupBy("file", "g", "d").agg(F.count("*").alias("n"))
     per_group = slim.groupBy("file", "g").agg(F.sum("n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     years = slim.select("file", F.year("d").alias("y")).distinct().groupBy("file").agg(F.count("y").alias("years"))
@@ -54,7 +54,7 @@ def profile_violations(profile: DataFrame, declared: DataFrame) -> DataFrame:
 def content_hashes(spark: SparkSession, paths: Sequence[str], block_bytes: int = 8 << 20) -> DataFrame:
     """SHA-256 of whole files, read block by block inside the tasks.
 
-    Spark lists the files (their content column is pruned, empty files are left out);
+    Files go by their full path.  Spark lists them (their content column is pruned, empty files are left out);
     each task streams its files, so a file of any size needs one block of memory.
     """
     listed = spark.read.format("binaryFile").load(list(paths)).select("path", "length")
@@ -75,7 +75,7 @@ def content_hashes(spark: SparkSession, paths: Sequence[str], block_bytes: int =
             yield batch.assign(content_sha256=found)
 
     hashed = listed.mapInPandas(digest, "path string, length bigint, content_sha256 string")
-    return hashed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content_sha256")
+    return hashed.select(F.col("path").alias("file"), "length", "content_sha256")
 
 
 def hash_mismatches(hashes: DataFrame, pinned: DataFrame) -> DataFrame:
@@ -86,18 +86,25 @@ def hash_mismatches(hashes: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per file: its name and whole text."""
+    """One row per file: its path and whole text."""
     rows = spark.read.option("wholetext", True).text(list(paths))
-    return rows.select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
+
+
+#: Bytes of text above which Spark's parser takes no document.
+LARGEST_DOCUMENT = 128 << 20
 
 
 def archive_records(documents: DataFrame) -> DataFrame:
     """Records of JSON archives: an object ``{id: contents}`` or a list of ``{id, contents}``.
 
     Text that does not parse, or repeats a key inside one object, gives no record
-    and is listed by ``archive_violations``.
+    and is listed by ``archive_violations``.  A document above ``LARGEST_DOCUMENT`` bytes
+    is an error: it has to be split first.
     """
-    parsed = documents.select("file", F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
+    too_large = F.raise_error(F.concat(F.col("file").cast("string"), F.lit(" is too large to be parsed as one document"))).cast("string")
+    text = F.when(F.octet_length("text") > LARGEST_DOCUMENT, too_large).otherwise(F.col("text"))
+    parsed = documents.select("file", F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
     rows = parsed.sparkSession.sql("SELECT file, e.pos, e.key, e.value FROM {parsed}, LATERAL variant_explode(v) AS e", parsed=parsed)
     record_id = F.coalesce("key", F.try_variant_get("value", "$.id", "string"))
     contents = F.when(F.col("key").isNotNull(), F.to_json("value")).otherwise(F.to_json(F.try_variant_get("value", "$.contents", "variant")))
@@ -106,7 +113,9 @@ def archive_records(documents: DataFrame) -> DataFrame:
 
 def archive_violations(documents: DataFrame, records: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Unreadable files, malformed records, repeated ids and wrong record counts (``expected``: file, records)."""
-    broken = documents.where(F.try_parse_json("text").isNull()).select("file", F.lit("unreadable_or_repeated_key").alias("code"))
+    large = F.octet_length("text") > LARGEST_DOCUMENT
+    broken = documents.where(large | F.try_parse_json("text").isNull()).select(
+        "file", F.when(large, "too_large").otherwise("unreadable_or_repeated_key").alias("code"))
     malformed = records.where(F.col("record_id").isNull() | ~F.coalesce(F.col("contents").startswith("{"), F.lit(False))).select("file", F.lit("malformed_record").alias("code"))
     again = records.groupBy("file", "record_id").agg(F.count("*").alias("n")).where("n > 1").select("file", F.lit("repeated_id").alias("code"))
     found = broken.unionByName(malformed).unionByName(again)

@@ -72,9 +72,9 @@ def write_zstd(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_season_shards(df: DataFrame, path: str, season: str = "season", mode: str = "overwrite") -> None:
     """One folder per season; rewriting replaces only the seasons present in ``df``.
 
-    Rows are spread over ``season`` and a salt, so a large season is written by many tasks.
+    Spark rebalances the rows by season and size, so a large season is written by as many tasks as it needs.
     """
-    spread = df.repartition(F.col(season), F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    spread = df.hint("rebalance", F.col(season))
     spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(season).parquet(path)
 
 

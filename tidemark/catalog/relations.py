@@ -189,11 +189,13 @@ REPORTED_SQL = f"""reported AS (SELECT group_id, member_id, min(day) AS day, min
       CASE WHEN group_id % 7 = 0 THEN NULL ELSE count(*) END AS opportunities, count(*) FILTER (WHERE is_opportunity) AS attempts,
       count(*) FILTER (WHERE is_success) + CASE WHEN group_id % 70 = 1 THEN 5 ELSE 0 END AS successes, CASE WHEN member_id % 5 = 0 THEN NULL ELSE CAST(sum(units) AS BIGINT) END AS units,
       count(*) FILTER (WHERE outcome = 'NO') AS walks, count(*) FILTER (WHERE outcome = 'AF') AS strikes, CASE WHEN group_id % 11 = 0 THEN NULL ELSE count(*) FILTER (WHERE is_success AND units = 4) END AS fours,
-      group_id % 13 <> 0 AS successes_verified, group_id % 4 <> 0 AS counts_verified, {COUNTS_SQL} FROM facts WHERE outcome <> 'RO' GROUP BY group_id, member_id)"""
+      group_id % 13 <> 0 AS successes_verified, group_id % 4 <> 0 AS counts_verified, {COUNTS_SQL} FROM (SELECT * REPLACE (CASE WHEN member_id % 17 = 4 THEN member_id + 100000 ELSE member_id END AS member_id) FROM facts)
+      GROUP BY group_id, member_id)"""
 
 
 def reported(t):
-    rows = labels.derive_member_totals(t.facts.where("outcome <> 'RO'"), "member_id", "side_id", "other_side_id", CLASSES, OUTCOMES)
+    renamed = t.facts.withColumn("member_id", F.expr("IF(member_id % 17 = 4, member_id + 100000, member_id)"))
+    rows = labels.derive_member_totals(renamed, "member_id", "side_id", "other_side_id", CLASSES, OUTCOMES)
     return rows.drop("conflicting_side").withColumns({
         "verified": F.expr("member_id % 3 <> 0"), "opportunities": F.expr("IF(group_id % 7 = 0, NULL, opportunities)"), "successes": F.expr("successes + IF(group_id % 70 = 1, 5, 0)"),
         "units": F.expr("IF(member_id % 5 = 0, NULL, units)"), "fours": F.expr("IF(group_id % 11 = 0, NULL, fours)"),
@@ -399,12 +401,12 @@ def _(t):
 
 
 @query("g25_archive_violations", """
-    WITH d AS (SELECT * FROM games WHERE home_score <> away_score)
+    WITH d AS (SELECT * REPLACE (CASE WHEN home_score = away_score THEN -1 - group_id ELSE group_id END AS group_id) FROM games)
     SELECT CASE WHEN d.group_id IS NULL THEN 'descriptor_missing' ELSE 'sides_conflict' END AS code, CAST(f.group_id AS VARCHAR) AS group_id, fact_id AS entity_id FROM facts f LEFT JOIN d ON d.group_id = f.group_id
     WHERE d.group_id IS NULL OR NOT (side_id IN (home_id, away_id) AND other_side_id IN (home_id, away_id) AND side_id <> other_side_id)""", ("facts", "games"))
 def _(t):
     rows = t.facts.select("group_id", F.col("fact_id").alias("entity_id"), "side_id", "other_side_id")
-    return day_tables.archive_violations(rows, day_tables.query_descriptors(t.games.where("home_score <> away_score"))).drop("message")
+    return day_tables.archive_violations(rows, day_tables.query_descriptors(t.games.withColumn("group_id", F.expr("IF(home_score = away_score, -1 - group_id, group_id)")))).drop("message")
 
 
 @query("g25_archive_shards", f"""
@@ -605,6 +607,6 @@ def _(t):
         F.to_date("ts").alias("day"), F.expr("IF(event_type = 'error', 'unknown', 'member_side')").alias("route"), F.col("user_id").cast("string").alias("source"),
         F.expr("CAST(user_id % 30 AS STRING)").alias("destination"), (F.col("value") - 5).alias("weight"), F.expr("(event_id % 7) * 1e0").alias("event_age"), F.expr("(event_id % 5) * 1e0").alias("publication_delay"))
     entities = e.where("route <> 'unknown'").select("day", F.lit("entity").alias("node_type"), F.col("source").alias("node_id")).distinct()
-    fixed = F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: n.cast("string")))  # the fixed side ids
-    sides = e.select("day").distinct().select("day", F.lit("side").alias("node_type"), fixed.alias("node_id"))
+    named = t.nation.agg(F.collect_set(F.col("n_nationkey").cast("string")).alias("sides"))  # one row of side ids
+    sides = e.select("day").distinct().crossJoin(named).select("day", F.lit("side").alias("node_type"), F.explode("sides").alias("node_id"))
     return graph_audit.edge_contract(e, entities.unionByName(sides), ROUTES, ["event_age"]).drop("message")

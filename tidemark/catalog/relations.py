@@ -9,6 +9,8 @@ from tidemark.catalog.bitemporal import digest_sql, framed_sql
 from tidemark.catalog.statistics import rounded
 from tidemark.operators import day_tables, graph_audit, ingest, labels, relations
 from tidemark.plans.intervals import days_of
+from tidemark.session import cut_lineage
+from tidemark.sources.sinks import scratch_folder
 
 FIRST, LAST = "1995-01-01", "2001-12-31"
 WINDOW = 14
@@ -400,6 +402,24 @@ def _(t):
     return day_text(day_tables.changed_days(day_tables.DayTables({"matches": corrected}).fingerprints(columns, "v1"), now))
 
 
+@query("g24_vanished_days", """
+    SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS day, count(*) AS games, CAST(sum(CASE WHEN home_score = 9 AND away_score = 5 THEN 8 ELSE home_score END) AS BIGINT) AS home_scores
+    FROM games WHERE month(day) <> 7 GROUP BY 1""", ("games",))
+def _(t):
+    # Written, then built again without one month and with other scores; the stored table follows without a rewrite of the rest.
+    columns, folder = {"matches": ("day", "group_id", "home_score")}, scratch_folder(t.spark, "day-tables")
+    games = t.games.withColumn("day", F.trunc("day", "month"))  # one folder a month is enough here
+    first = day_tables.DayTables({"matches": games})
+    prints = first.fingerprints(columns, "v1")
+    day_tables.write_changed_days(first, prints.select("day"), folder, prints)
+    later = day_tables.DayTables({"matches": games.where("month(day) <> 7").withColumn("home_score", F.expr("IF(home_score = 9 AND away_score = 5, 8, home_score)"))})
+    again = later.fingerprints(columns, "v1")
+    changed = cut_lineage(day_tables.changed_days(again, t.spark.read.parquet(f"{folder}/fingerprints")))
+    day_tables.write_changed_days(later, changed, folder, again)
+    read = day_tables.read_day_table(t.spark, folder, "matches").groupBy("day").agg(F.count("*").alias("games"), F.sum("home_score").alias("home_scores"))
+    return day_text(read)
+
+
 @query("g25_archive_violations", """
     WITH d AS (SELECT * REPLACE (CASE WHEN home_score = away_score THEN -1 - group_id ELSE group_id END AS group_id) FROM games)
     SELECT CASE WHEN d.group_id IS NULL THEN 'descriptor_missing' ELSE 'sides_conflict' END AS code, CAST(f.group_id AS VARCHAR) AS group_id, fact_id AS entity_id FROM facts f LEFT JOIN d ON d.group_id = f.group_id
@@ -487,24 +507,31 @@ def control_edges(t):
                            F.expr("CAST(user_id % 40 AS STRING)").alias("destination"), F.col("event_id").alias("edge_id"), "value")
 
 
+def shuffled_sql(members):
+    """Where every item of ``members`` (day, route, side, item) goes under seed 7."""
+    group = "day, route, side"
+    return f"""members AS ({members}), ranked AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY substr(sha256(CAST(item AS VARCHAR)), 1, 3), item) AS i,
+      row_number() OVER (PARTITION BY {group} ORDER BY sha256({framed_sql('7', 'day', 'route', 'side', 'item')}), item) AS j FROM members),
+    first_map AS (SELECT a.*, b.item AS target FROM ranked a JOIN ranked b ON b.day = a.day AND b.route = a.route AND b.side = a.side AND b.j = a.i),
+    settled AS (SELECT *, bool_and(item = target) OVER (PARTITION BY {group}) AS same, count(*) OVER (PARTITION BY {group}) AS n FROM first_map),
+    mapped AS (SELECT s.day, s.route, s.side, s.item, b.item AS new_item FROM settled s JOIN ranked b ON b.day = s.day AND b.route = s.route AND b.side = s.side
+      AND b.j = CASE WHEN same THEN s.i % n + 1 ELSE s.i END)"""
+
+
 @query("g28_control_permute_endpoints", f"""
-    WITH {CONTROL_EDGES_SQL} SELECT route, count(*) AS edges, true AS sources_kept, true AS destinations_kept, true AS some_changed FROM ce GROUP BY route""")
+    WITH {CONTROL_EDGES_SQL}, {shuffled_sql("SELECT DISTINCT day, route, 'source' AS side, source AS item FROM ce UNION ALL SELECT DISTINCT day, route, 'destination', destination FROM ce")}
+    SELECT edge_id, strftime(ce.day, '%Y-%m-%d') AS day, ce.route, a.new_item AS new_source, b.new_item AS new_destination FROM ce
+    JOIN mapped a ON a.day = ce.day AND a.route = ce.route AND a.side = 'source' AND a.item = source
+    JOIN mapped b ON b.day = ce.day AND b.route = ce.route AND b.side = 'destination' AND b.item = destination""")
 def _(t):
-    changed = graph_audit.permute_endpoints(control_edges(t), 7)
-    daily = changed.groupBy("day", "route").agg(
-        F.count("*").alias("edges"), *[F.count_distinct(c).alias(c) for c in ("source", "new_source", "destination", "new_destination")],
-        F.count_if(F.col("source") != F.col("new_source")).alias("moved"))
-    return daily.groupBy("route").agg(
-        F.sum("edges").alias("edges"), F.bool_and(F.col("source") == F.col("new_source")).alias("sources_kept"),
-        F.bool_and(F.col("destination") == F.col("new_destination")).alias("destinations_kept"), F.bool_and((F.col("moved") > 0) | (F.col("source") == 1)).alias("some_changed"))
+    return day_text(graph_audit.permute_endpoints(control_edges(t), 7)).select("edge_id", "day", "route", "new_source", "new_destination")
 
 
 @query("g28_control_permute_attributes", f"""
-    WITH {CONTROL_EDGES_SQL} SELECT strftime(day, '%Y-%m-%d') AS day, route, count(*) AS edges, round(sum(value), 6) AS value, true AS some_moved FROM ce GROUP BY day, route""")
+    WITH {CONTROL_EDGES_SQL}, {shuffled_sql("SELECT day, route, 'attributes' AS side, edge_id AS item FROM ce")}
+    SELECT m.item AS edge_id, m.new_item AS moved_from, value FROM mapped m JOIN ce ON ce.edge_id = m.new_item""")
 def _(t):
-    changed = graph_audit.permute_attributes(control_edges(t), ["value"], 7)
-    rows = changed.groupBy("day", "route").agg(F.count("*").alias("edges"), F.round(F.sum("value"), 6).alias("value"), F.bool_or(F.col("edge_id") != F.col("moved_from")).alias("some_moved"))
-    return day_text(rows)
+    return graph_audit.permute_attributes(control_edges(t), ["value"], 7).select("edge_id", "moved_from", "value")
 
 
 @query("g28_control_drop_route", f"WITH {CONTROL_EDGES_SQL} SELECT route, count(*) AS edges, 0 AS source_changed FROM ce WHERE route <> 'error' GROUP BY route")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.digests import framed, table_digest
@@ -38,12 +38,30 @@ def changed_days(current: DataFrame, stored: DataFrame | None) -> DataFrame:
     return current.join(old, "day", "left").where(~F.col("fingerprint").eqNullSafe(F.col("__old"))).select("day")
 
 
-def write_changed_days(build: DayTables, days: DataFrame, folder: str) -> None:
-    """Rewrite only the changed days' partitions."""
+def vanished_days(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """Days that were stored and are no longer built."""
+    return stored.select("day").join(current.select("day"), "day", "left_anti")
+
+
+def write_changed_days(build: DayTables, days: DataFrame, folder: str, fingerprints: DataFrame | None = None) -> None:
+    """Rewrite only the changed days' partitions, then store the fingerprints of all days built.
+
+    Rows are rebalanced by day and size, so a large day is written by several tasks.  The stored
+    fingerprints name the days that count: a vanished day drops out with them, and ``read_day_table``
+    does not see its partition any more.
+    """
     for name, df in build.tables.items():
-        part = df.join(F.broadcast(days), "day", "left_semi")  # at most one row per calendar day
-        part.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        part = df.join(days, "day", "left_semi")
+        part.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
             "compression", "zstd").partitionBy("day").parquet(f"{folder}/{name}")
+    if fingerprints is not None:
+        fingerprints.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fingerprints")
+
+
+def read_day_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A written table, without days that have vanished since; a partition filter, not a scan of them."""
+    named = spark.read.parquet(f"{folder}/fingerprints").select("day")
+    return spark.read.parquet(f"{folder}/{name}").join(named, "day", "left_semi")
 
 
 def query_descriptors(games: DataFrame) -> DataFrame:

@@ -207,10 +207,3 @@ def validate_revisions(batch: DataFrame, row_id: str, history: DataFrame | None
                  .select(row_id, F.lit("already_stored").alias("code")))
         found = found.unionByName(known)
     return found
-
-
-def verify_digests(stored: DataFrame, actual: DataFrame) -> DataFrame:
-    """Compare stored manifest rows with a freshly computed one-row digest."""
-    paired = stored.crossJoin(F.broadcast(actual))  # ``actual`` is one aggregate row
-    return paired.select("table_name", "row_count",
-                         (F.col("content_sha256") == F.col("actual_sha256")).alias("unchanged"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.digests import table_digest
+
 
 def scan_union(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """Parquet files read as one table, columns matched by name; a column missing in a file is NULL there."""
@@ -126,6 +128,34 @@ def archive_violations(documents: DataFrame, records: DataFrame, expected: DataF
     return found
 
 
+def day_manifest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows and digest of every day of a table, to be stored with it."""
+    return table_digest(df, columns, by=["day"])
+
+
+def day_violations(df: DataFrame, manifest: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Days that a table has and its manifest does not name, the other way round, or with other content: (day, code)."""
+    now = day_manifest(df, columns).select("day", F.col("row_count").alias("n"), F.col("content_sha256").alias("actual"))
+    joined = manifest.join(now, "day", "full_outer")
+    code = (F.when(F.col("actual").isNull(), "missing_day").when(F.col("content_sha256").isNull(), "unlisted_day")
+            .when((F.col("actual") != F.col("content_sha256")) | (F.col("n") != F.col("row_count")), "altered_day"))
+    return joined.select("day", code.alias("code")).where("code IS NOT NULL")
+
+
+def read_verified_days(spark: SparkSession, folder: str, columns: Sequence[str], **chosen) -> DataFrame:
+    """``read_days`` of a folder with a ``_manifest``; a missing, unlisted or altered day among those chosen is an error."""
+    df = read_days(spark, folder, **chosen)
+    manifest = spark.read.parquet(f"{folder}/_manifest")
+    first, last, ceiling = (chosen.get(k) for k in ("first_day", "last_day", "season_ceiling"))
+    for limit, keep in ((first, F.col("day") >= F.to_date(F.lit(first))), (last, F.col("day") <= F.to_date(F.lit(last))),
+                        (ceiling, F.year("day") <= F.lit(ceiling))):
+        manifest = manifest if limit is None else manifest.where(keep)
+    found = day_violations(df, manifest, columns).orderBy("day").limit(5).collect()
+    if found:
+        raise ValueError("days differ from their manifest: " + ", ".join(f"{r['day']} {r['code']}" for r in found))
+    return df
+
+
 def read_days(spark: SparkSession, folder: str, first_day: str | None = None, last_day: str | None = None, season_ceiling: int | None = None) -> DataFrame:
     """Chosen days of a table partitioned by season; partitions above the ceiling are pruned, not read."""
     df = spark.read.parquet(folder)

@@ -126,8 +126,9 @@ _UNIT = ["row_a", "row_b", "first", "last", "anchor"]
 def _judge(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split units (core, whole, weight, ...) into condemned ones and those the next grain has to look at."""
     name = F.xxhash64("row_a", "row_b", "first")
-    wholes = units.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(name).alias("chosen"))
-    cores = wholes.groupBy("core").agg(F.sum("n").alias("n_core"), F.count("*").alias("n_wholes")).where("n_core > 1")
+    # Both tables are stored, so that the joins read plain rows by key and a crowded core can be split.
+    wholes = stored(units.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(name).alias("chosen")), "wholes")
+    cores = stored(wholes.groupBy("core").agg(F.sum("n").alias("n_core"), F.count("*").alias("n_wholes")).where("n_core > 1"), "cores")
     # A whole needs looking at again if its core has other wholes, and condemns its units if it occurs twice.
     classes = wholes.join(cores, "core").where("n > 1 OR n_wholes > 1").select("core", "whole", "n", "n_wholes", "chosen")
     rated = stored(units.join(classes, ["core", "whole"]).select(

@@ -25,7 +25,9 @@ HEADLINE = (
     "w4_rolling_count_rate", "w5_ewma_recursive", "w7_last_n_per_entity", "w8_before_day_features", "w11_interval_union",
     "g1_entity_features", "g2_pregame_side_features", "g6_pregame_member_features", "g10_relation_edges", "g12_side_nodes",
     "g15_merge_overlapping_sources", "g18_member_success_queries", "h5_evaluate", "h7_partial_observation_nll", "h13_paired_sensitivity",
-    "j4_score_selections", "j5_enumerate_picks", "p2_fixed_batch_workload", "s4_seeded_cap",
+    "j4_score_selections", "j5_enumerate_picks",
+    "g9_fit_and_score", "g11_entity_nodes", "g21_member_group_edges", "g24_build_day_tables", "g26_sample_index", "g27_route_coverage",
+    "g27_reachability", "c15_distinct_priors", "h12_out_of_fold_stack", "p2_fixed_batch_workload", "s4_seeded_cap",
 )
 
 

@@ -494,6 +494,7 @@ def _(t):
       round(avg(within - one_hop), 9) AS mean_exact_two_hops, round(avg(one_hop / (n - 1)), 9) AS one_hop_coverage, round(avg(within / (n - 1)), 9) AS two_hop_coverage, count(*) FILTER (WHERE within > one_hop) AS with_exact_two_hops,
       count(DISTINCT (node_type, node_id)) AS unique_nodes, min(degree) FILTER (WHERE k >= ceil(c * 0.5e0)) AS degree_p50, min(degree) FILTER (WHERE k >= ceil(c * 0.9e0)) AS degree_p90 FROM h GROUP BY 1, 2""", ("facts",))
 def _(t):
+    t.keep("facts", "games")
     reach = graph_audit.reachability(edges(t, SHORT), typed_nodes(t, SHORT), query_nodes(t), ROUTES).withColumn("season", F.year("day"))
     report = graph_audit.reach_report(reach, ["season", "task"])
     return rounded(report, 9, "mean_degree", "mean_one_hop", "mean_exact_two_hops", "one_hop_coverage", "two_hop_coverage")
@@ -605,6 +606,7 @@ def _(t):
     SELECT CAST(year(day) AS INTEGER) AS season, CAST(sum(queries) AS BIGINT) AS queries, CAST(sum(seen) AS BIGINT) AS observed_queries, count(*) FILTER (WHERE members >= 2) AS multi_member_sides, count(*) FILTER (WHERE members >= 2 AND known >= 2) AS sides_with_two_priors,
       count(*) FILTER (WHERE members >= 2 AND known >= 2 AND vectors > 1) AS sides_with_distinct_priors, coalesce(max(vectors) FILTER (WHERE members >= 2 AND known >= 2), 0) AS max_distinct_priors FROM g GROUP BY 1""", ("facts",))
 def _(t):
+    t.keep("facts")
     asked = t.facts.select("day", "side_id", F.concat(F.lit("m"), "member_id").alias("member")).distinct()
     rows = asked.join(nodes(t).select("day", F.col("entity").alias("member"), "acting_count_log", "acting_success_rate"), ["day", "member"])
     return graph_audit.distinct_priors(rows, "side_id", "member", F.col("acting_count_log") > 0, ["acting_count_log", "acting_success_rate"])

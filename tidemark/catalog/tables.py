@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import tune
+from tidemark.session import cut_lineage, tune
 
 CUTOFF = "2024-01-15 00:00:00"
 KNOWLEDGE = "2024-01-15 02:00:00"
@@ -117,6 +117,12 @@ class Tables:
             raise AttributeError(name)
         return self.read(name)
 
+    def keep(self, *names: str) -> Tables:
+        """Store fixture views that a query starts from several times; they are built once."""
+        for name in names:
+            self.__dict__[name] = cut_lineage(getattr(self, name))
+        return self
+
     @cached_property
     def revisions(self) -> DataFrame:
         return revisions_of(self.read("events"))

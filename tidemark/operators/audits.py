@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tidemark.session import cut_lineage
 
 
 def reduced_checks(events: DataFrame, groups: DataFrame, group_keys: Sequence[str], required: Sequence[str],
@@ -233,7 +234,8 @@ def audit_transitions(rows: DataFrame, markers: DataFrame, *, require_complete:
     col = F.col
     missing = F.array_compact(F.array(*[F.when(col(c).isNull(), F.lit(c)) for c in POST_STATE]))
     rows = rows.withColumn("__missing", missing)
-    rows = rows.withColumn("__usable", col("complete") & (F.size("__missing") == 0))
+    # Every rule below is a branch over the rows; the checkpoint keeps them from rebuilding their input.
+    rows = cut_lineage(rows.withColumn("__usable", col("complete") & (F.size("__missing") == 0)))
     bitmap = "^[01]{3}$"
     outs = col("outs_before") + col("outs_added")
     gain_home, gain_away = col("home_after") - col("home_before"), col("away_after") - col("away_before")

@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark import catalog  # noqa: E402
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import local_session, sweep  # noqa: E402
 
 HEADLINE = (
     "b1_as_of_latest", "b2_as_of_current", "b6_exclude_superseded", "b11_content_digest", "b12_xor_fingerprint",
@@ -49,6 +49,7 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        sweep(spark)
         if os.environ.get("BENCH_VERBOSE"):
             print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,21 +36,45 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+_made: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a scratch folder: on a cluster every
     executor has to reach the files, so a missing setting is an error there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    current = context.getCheckpointDir()
-    if named is not None:
-        if current is None or named.rstrip("/") not in current:
-            context.setCheckpointDir(named)
-    elif current is None:
+    if named is None:
+        named = context.getCheckpointDir()
+    if named is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        named = tempfile.mkdtemp(prefix="tidemark-shared-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own below the shared folder, which ``sweep`` deletes."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the scratch folders made so far; call it once results that read them are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.temporal import SnapshotSpec, manifest_fingerprint, snapshot_manifest, snapshot_tables
+from tidemark.session import scratch_folder  # noqa: F401
 
 
 class AppendError(ValueError):
@@ -102,18 +102,6 @@ def write_report(report: DataFrame, path: str) -> None:
     report_text(report).write.mode("overwrite").text(path)
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only a local master may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 class SnapshotConflict(RuntimeError):
     """A snapshot folder already holds other content."""
 

@@ -97,6 +97,19 @@ def test_ewma(series, adjust, alpha):
             assert found[k, t] == (pytest.approx(state, abs=1e-9) if seen >= 2 else None)
 
 
+def test_ewma_carries_over_many_small_blocks(series, monkeypatch):
+    rows, df = series
+    monkeypatch.setattr(windows, "LARGEST_BLOCK", 8)  # as if the decay of a block were weak
+    alpha = 0.05
+    found = {(r["k"], r["t"]): r["ewma"] for r in windows.ewma(df, ["k"], ["t"], bucket(), "v", alpha=alpha).collect()}
+    for k, items in by_key(rows).items():
+        state = None
+        for t, v in items:
+            if v is not None:
+                state = v if state is None else alpha * v + (1 - alpha) * state
+            assert found[k, t] == (None if state is None else pytest.approx(state, abs=1e-9))
+
+
 def test_ewma_takes_exactly_one_smoothing():
     assert windows.resolve_alpha(span=9) == pytest.approx(0.2)
     assert windows.resolve_alpha(half_life=1.0) == pytest.approx(0.5)

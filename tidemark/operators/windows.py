@@ -68,41 +68,70 @@ def resolve_alpha(alpha: float | None = None, span: float | None = None, half_li
     return alpha
 
 
+#: Rows that one task sorts as a block at most, whatever the smoothing factor.
+LARGEST_BLOCK = 100_000
+
+
+def _block_length(decay: float) -> int:
+    """Terms in which the weight falls by 1e-100, so that weights inside a block stay in range."""
+    return min(max(1, math.floor(100.0 / -math.log10(decay))), LARGEST_BLOCK)
+
+
+def decayed_sums(rows: DataFrame, keys: Sequence[str], index: str, order: str, term: str, decay: float, name: str) -> DataFrame:
+    """Attach ``sum(term[j] * decay ** (index - j))`` over the rows up to each one.
+
+    ``index`` counts the terms of a key from zero without gaps; rows without a term share the index of the last one.
+    Rows are cut into blocks of the index.  Inside a block the sum is a running window.  What earlier blocks
+    carry over is the same kind of sum over one row per block, with the decay of a whole block, until a block
+    decays by 1e-100; from there on the two blocks before it hold all that a double can tell.
+    """
+    block = _block_length(decay)
+    number, step, own, end, carry = (f"__{n}_{name}" for n in ("block", "step", "own", "end", "carry"))
+    placed = rows.withColumns({number: F.floor(F.col(index) / block).cast("bigint"), step: (F.col(index) % block).cast("double")})
+    scaled = F.col(term) * F.pow(F.lit(decay), -F.col(step))
+    inside = Window.partitionBy(*keys, number).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.coalesce(F.sum(scaled).over(inside), F.lit(0.0)) * F.pow(F.lit(decay), F.col(step))
+    placed = placed.withColumn(own, local)
+    # A block that another one follows is full, so its end is the row of its last term.
+    ends = placed.where((F.col(step) == block - 1) & F.col(term).isNotNull()).select(*keys, F.col(number).alias("__b"), F.col(own).alias(end))
+    whole = decay ** block
+    if block == LARGEST_BLOCK:
+        upto = decayed_sums(ends, keys, "__b", "__b", end, whole, f"{name}_")
+        following = upto.select(*keys, (F.col("__b") + 1).alias(number), F.col(f"{name}_").alias(carry))
+    else:
+        one = ends.select(*keys, (F.col("__b") + 1).alias(number), F.col(end).alias("__end1"))
+        two = ends.select(*keys, (F.col("__b") + 2).alias(number), F.col(end).alias("__end2"))
+        following = one.join(two, [*keys, number], "left").select(
+            *keys, number, (F.col("__end1") + F.lit(whole) * F.coalesce("__end2", F.lit(0.0))).alias(carry))
+    joined = placed.join(following, [*keys, number], "left")
+    total = F.col(own) + F.pow(F.lit(decay), F.col(step) + 1) * F.coalesce(carry, F.lit(0.0))
+    return joined.withColumn(name, total).drop(number, step, own, carry)
+
+
 def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, *, adjust: bool = False,
          min_periods: int = 1, **smoothing: float) -> DataFrame:
     """Exponentially weighted mean per row; a missing value repeats the state.
 
-    The state is ``sum(w * decay ** (n - k) * x[k])`` over the present rows.  Rows are cut into
-    blocks so long that one block decays by 1e-100; inside a block the sum is a running window,
-    and the two blocks before it enter by an equi join on the block number (anything older weighs
-    less than 1e-200).  No key is ever folded in one piece.
+    The state is ``sum(w * decay ** (n - k) * x[k])`` over the present rows, by ``decayed_sums``: no key is
+    ever folded in one piece.
     """
     alpha = resolve_alpha(**smoothing)
     decay = 1.0 - alpha
-    block = max(1, math.floor(100.0 / -math.log10(decay))) if decay > 0.0 else 1
     placed = running(df, keys, order, bucket, {"__position": F.lit(1), "__seen": F.col(value).isNotNull().cast("int")})
     weight = F.lit(1.0) if adjust else F.when(F.col("__seen") == 1, 1.0).otherwise(alpha)
-    index = F.greatest(F.col("__seen") - 1, F.lit(0))
-    placed = placed.withColumns({"__block": F.floor(index / block).cast("bigint"), "__step": (index % block).cast("double")})
-    term = F.when(F.col(value).isNotNull(), F.col(value).cast("double") * weight * F.pow(F.lit(decay), -F.col("__step")))
-    if decay == 0.0:
-        term = F.when(F.col(value).isNotNull(), F.col(value).cast("double"))
-    inside = Window.partitionBy(*keys, "__block").orderBy("__position").rowsBetween(Window.unboundedPreceding, 0)
-    local = F.coalesce(F.sum("__term").over(inside), F.lit(0.0)) * F.pow(F.lit(decay), F.col("__step"))
-    placed = placed.withColumn("__term", term).withColumn("__local", local)
-    # A block that is followed by another one is full, so its end is always ``block`` terms long.
-    full = placed.where((F.col("__step") == block - 1) & F.col(value).isNotNull()).select(
-        *keys, F.col("__block").alias("__b"), F.col("__local").alias("__end"))
-    one = full.select(*keys, (F.col("__b") + 1).alias("__block"), F.col("__end").alias("__end1"))
-    two = full.select(*keys, (F.col("__b") + 2).alias("__block"), F.col("__end").alias("__end2"))
-    joined = placed.join(one, [*keys, "__block"], "left").join(two, [*keys, "__block"], "left")
-    carry = F.coalesce("__end1", F.lit(0.0)) + F.lit(decay ** block) * F.coalesce("__end2", F.lit(0.0))
-    state = F.col("__local") + F.pow(F.lit(decay), F.col("__step") + 1) * carry
+    placed = placed.withColumns({
+        "__index": F.greatest(F.col("__seen") - 1, F.lit(0)),
+        "__term": F.when(F.col(value).isNotNull(), F.col(value).cast("double") * weight)})
+    if decay == 0.0:  # only the newest value counts, which stands under the row's own index
+        inside = Window.partitionBy(*keys, "__index").orderBy("__position").rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumn("__state", F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col(value).cast("double"))).over(inside), F.lit(0.0)))
+    else:
+        placed = decayed_sums(placed, keys, "__index", "__position", "__term", decay, "__state")
+    state = F.col("__state")
     if adjust:
         state = state * alpha / (1.0 - F.pow(F.lit(decay), F.col("__seen").cast("double")))
     enough = (F.col("__seen") >= min_periods) & (F.col("__seen") > 0)
-    helpers = ["__position", "__seen", "__block", "__step", "__term", "__local", "__end1", "__end2"]
-    return joined.withColumn("ewma", F.when(enough, state)).drop(*helpers)
+    return placed.withColumn("ewma", F.when(enough, state)).drop("__position", "__seen", "__index", "__term", "__state")
 
 
 def time_decay_mean(df: DataFrame, keys: Sequence[str], clock: str, values: Mapping[str, Column], as_of: Any,

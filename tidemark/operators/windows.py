@@ -181,8 +181,8 @@ def before_day(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str
     """Per key and day: row count and sums over all earlier days, and over the last ``n`` earlier rows.
 
     Rows are reduced to one per day before the cumulative window.  A recent sum is
-    the difference of two prefix sums, one at the last earlier row and one ``n``
-    rows before it, found by an equi join on the exact position.
+    the sum over the window of ``n`` rows that ends at the last earlier row, found by
+    an equi join on the exact position.
     """
     names = list(values)
     rows = df.select(*keys, day, *order, *[v.cast("double").alias(n) for n, v in values.items()])
@@ -192,18 +192,14 @@ def before_day(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str
     result = daily.select(
         *keys, day, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("prior_rows"),
         *[F.coalesce(F.sum(n).over(earlier), zero).alias(f"prior_{n}") for n in names])
-    if recent:
-        # A day of a key is the largest piece one task holds.
-        prefix = running(rows, list(keys), [day, *order], F.col(day),
-                         {"__position": F.lit(1), **{f"__s_{n}": F.coalesce(F.col(n), zero) for n in names}})
-        prefix = prefix.select(*keys, "__position", *[f"__s_{n}" for n in names])
-        for n in recent:
-            low = result.withColumn("__position", F.greatest(F.col("prior_rows") - n, F.lit(0)))
-            low = low.join(prefix, [*keys, "__position"], "left")
-            result = low.withColumns({
-                f"recent_{n}_rows": F.least(F.col("prior_rows"), F.lit(n)),
-                **{f"recent_{n}_{v}": F.col(f"prior_{v}") - F.coalesce(F.col(f"__s_{v}"), zero) for v in names},
-            }).drop("__position", *[f"__s_{v}" for v in names])
+    for n in recent:
+        # The window of the last earlier row; a day of a key is the largest piece one task numbers.
+        rolled = last_rows(rows, list(keys), [day, *order], F.col(day), n, {f"__r_{v}": F.sum(v) for v in names}, keep_position="prior_rows")
+        rolled = rolled.select(*keys, "prior_rows", *[f"__r_{v}" for v in names])
+        result = result.join(rolled, [*keys, "prior_rows"], "left").withColumns({
+            f"recent_{n}_rows": F.least(F.col("prior_rows"), F.lit(n)),
+            **{f"recent_{n}_{v}": F.coalesce(f"__r_{v}", zero) for v in names},
+        }).drop(*[f"__r_{v}" for v in names])
     return result
 
 

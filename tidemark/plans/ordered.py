@@ -120,9 +120,11 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, window: int,
-              aggregates: Mapping[str, Column], block: int | None = None) -> DataFrame:
+              aggregates: Mapping[str, Column], block: int | None = None, keep_position: str | None = None) -> DataFrame:
     """Aggregate over the last ``window`` rows (current one included) of each key.
 
+    ``keep_position`` names a column for the rows' one-based positions.
+
     Rows get their exact position, are cut into blocks of ``block`` positions,
     and the last ``window - 1`` rows of a block are also sent to the next one,
     so each block holds everything its own rows look back on.
@@ -137,7 +139,8 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     frame = Window.partitionBy(*keys, "__block").orderBy(position).rowsBetween(-(window - 1), 0)
     for name, aggregate in aggregates.items():
         spread = spread.withColumn(name, aggregate.over(frame))
-    return spread.where(F.col("__block") == own).drop("__block", position)
+    kept = spread.where(F.col("__block") == own).drop("__block")
+    return kept.withColumnRenamed(position, keep_position) if keep_position else kept.drop(position)
 
 
 def global_positions(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "position") -> DataFrame:

@@ -98,12 +98,27 @@ def test_append_is_idempotent_and_all_or_nothing(spark, tmp_path):
     assert table.append(rows) == 1
     assert table.append(rows) == 2
     assert sorted(tuple(r) for r in table.read().collect()) == [(1, "a", None), (2, "b", None)]
-    # Data of an append that never reached its manifest stays invisible and is replaced by the next append.
-    spark.createDataFrame([(9, "lost", None)], schema).write.parquet(str(tmp_path / "t" / "data" / "version=3"))
+    # Data of an append that never reached its manifest stays invisible.
+    spark.createDataFrame([(9, "lost", None)], schema).write.parquet(str(tmp_path / "t" / "data" / "attempt=gone" / "bucket=0"))
     assert table.read().count() == 2
     assert table.append(spark.createDataFrame([(3, "c")], "k int, v string")) == 3
     assert sorted(r["k"] for r in table.read().collect()) == [1, 2, 3]
     assert sorted(r["k"] for r in table.read(1).collect()) == [1, 2]
+    # Another writer took version 4 first: its rows count, and this append goes on to version 5.
+    other = sinks.VersionedTable(spark, table.root, ["k"], schema)
+    seen, calls = table._attempts, []
+
+    def late(version=None):
+        calls.append(1)
+        before = seen(version)
+        if len(calls) == 1:
+            spark.createDataFrame([(7, "first", None, 0)], "k int, v string, w string, bucket int").write.partitionBy("bucket").parquet(f"{table.root}/data/attempt=0")
+            spark.sql("SELECT 4 AS version, '0' AS attempt").write.mode("append").parquet(f"{table.root}/manifest")
+        return before
+
+    table._attempts = late
+    assert table.append(spark.createDataFrame([(8, "second")], "k int, v string")) == 5
+    assert sorted(r["k"] for r in other.read().collect()) == [1, 2, 3, 7, 8]
     with pytest.raises(sinks.AppendError):
         table.append(rows.withColumn("x", F.lit(1)))
     with pytest.raises(sinks.AppendError):

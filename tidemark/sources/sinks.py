@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -31,38 +32,64 @@ def rows_to_append(existing: DataFrame | None, new: DataFrame, row_key: Sequence
 
 
 class VersionedTable:
-    """Append-only folder: data of a version becomes visible with its manifest row, so an append is all or nothing."""
+    """Append-only folder: the rows of an append become visible with its manifest row, so it is all or nothing.
 
-    def __init__(self, spark: SparkSession, root: str, row_key: Sequence[str], schema: T.StructType, required: Sequence[str] = ()):
+    Every attempt writes a folder of its own, and the manifest row names the folder that counts.  Rows are
+    bucketed by a hash of their key, so an append reads back only the buckets it touches.  When two writers
+    take the same version, the smaller attempt name wins and the other one appends again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, row_key: Sequence[str], schema: T.StructType, required: Sequence[str] = (), buckets: int = 64):
         self.spark, self.root, self.row_key, self.schema, self.required = spark, root.rstrip("/"), list(row_key), schema, list(required)
+        self.buckets = buckets
 
-    def version(self) -> int:
+    def _attempts(self, version: int | None = None) -> dict[int, str]:
+        """Attempt that counts per version: one manifest row per append."""
         try:
-            row = self.spark.read.schema("version int").parquet(f"{self.root}/manifest").agg(F.max("version")).first()
+            rows = self.spark.read.schema("version int, attempt string").parquet(f"{self.root}/manifest").groupBy("version").agg(F.min("attempt").alias("attempt")).collect()
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
-                return 0
+                return {}
             raise
-        return row[0] or 0
+        return {r["version"]: r["attempt"] for r in rows if version is None or r["version"] <= version}
+
+    def version(self) -> int:
+        return max(self._attempts(), default=0)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        at = self.version() if version is None else version
-        if at == 0:
+        stored = self._stored(self._attempts(version).values())
+        return None if stored is None else stored.drop("bucket")
+
+    def _stored(self, attempts) -> DataFrame | None:
+        folders = [f"{self.root}/data/attempt={a}" for a in attempts]
+        if not folders:
             return None
-        full = T.StructType([*self.schema.fields, T.StructField("version", T.IntegerType())])
-        return self.spark.read.schema(full).parquet(f"{self.root}/data").where(F.col("version") <= at).drop("version")
+        full = T.StructType([*self.schema.fields, T.StructField("attempt", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        # Every folder is named, so what an attempt that failed left behind is not listed.
+        return self.spark.read.schema(full).option("basePath", f"{self.root}/data").parquet(*folders).drop("attempt")
 
-    def append(self, rows: DataFrame) -> int:
+    def append(self, rows: DataFrame, tries: int = 20) -> int:
         """Store the rows not there yet and return the new version."""
-        at = self.version()
-        fresh = rows_to_append(self.read(at), rows, self.row_key, self.schema.names, self.required)
-        for field in self.schema.fields:
-            if field.name not in fresh.columns:
-                fresh = fresh.withColumn(field.name, F.lit(None).cast(field.dataType))
-        # A failed earlier attempt may have left files of this version behind; they are replaced.
-        fresh.select(*self.schema.names).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/data/version={at + 1}")
-        self.spark.range(1).select(F.lit(at + 1).cast("int").alias("version")).write.mode("append").parquet(f"{self.root}/manifest")
-        return at + 1
+        bucket = F.pmod(F.xxhash64(*self.row_key), F.lit(self.buckets)).cast("int")
+        for _ in range(tries):
+            attempts = self._attempts()
+            at = max(attempts, default=0)
+            stored = self._stored(attempts.values())
+            if stored is not None and set(self.row_key) <= set(rows.columns):
+                touched = [r[0] for r in rows.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+                stored = stored.where(F.col("bucket").isin(touched))
+            fresh = rows_to_append(stored, rows, self.row_key, self.schema.names, self.required)
+            for field in self.schema.fields:
+                if field.name not in fresh.columns:
+                    fresh = fresh.withColumn(field.name, F.lit(None).cast(field.dataType))
+            attempt = uuid.uuid4().hex
+            fresh = fresh.select(*self.schema.names, bucket.alias("bucket"))
+            fresh.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/data/attempt={attempt}")
+            row = self.spark.range(1).select(F.lit(at + 1).cast("int").alias("version"), F.lit(attempt).alias("attempt"))
+            row.write.mode("append").parquet(f"{self.root}/manifest")
+            if self._attempts()[at + 1] == attempt:
+                return at + 1
+        raise AppendError(f"other writers took the version {tries} times")
 
 
 def write_zstd(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -12,7 +12,7 @@ from tidemark.plans.intervals import days_of
 from tidemark.session import cut_lineage
 from tidemark.sources.sinks import scratch_folder
 
-FIRST, LAST = "1995-01-01", "2001-12-31"
+FIRST = LAST = None  # windows end by themselves, so the days come from the facts
 WINDOW = 14
 SHORT = 4
 OUTCOMES = {"walks": ["NO"], "strikes": ["AF"]}
@@ -51,7 +51,7 @@ def fact_history_sql(window):
       CASE WHEN is_success THEN 1e0 ELSE 0e0 END AS successes, CAST(units AS DOUBLE) AS units, CASE WHEN outcome = 'NO' THEN 1e0 ELSE 0e0 END AS walks, CASE WHEN outcome = 'AF' THEN 1e0 ELSE 0e0 END AS strikes,
       CASE WHEN is_success AND units = 4 THEN 1e0 ELSE 0e0 END AS fours, epoch(CAST(day AS TIMESTAMP)) + 86399 AS event_s, epoch(CAST(day AS TIMESTAMP)) + 3600 * (24 + counterpart_id % 30) AS available_s,
       day + CASE WHEN counterpart_id % 30 = 0 THEN 1 WHEN counterpart_id % 30 <= 24 THEN 2 ELSE 3 END AS active_from, {stop} AS active_to FROM facts),
-    fdays AS (SELECT *, unnest(generate_series(active_from, least(coalesce(active_to - 1, DATE '{LAST}'), DATE '{LAST}'), INTERVAL 1 DAY)) AS day FROM fh)"""
+    fdays AS (SELECT *, unnest(generate_series(active_from, active_to - 1, INTERVAL 1 DAY)) AS day FROM fh)"""
 
 
 def game_history_sql(window):
@@ -439,7 +439,7 @@ def _(t):
 
 def typed_nodes(t, window):
     h = fact_history(t, window)
-    live = days_of(h, "active_from", "active_to", F.to_date(F.lit(FIRST)), F.to_date(F.lit(LAST)))
+    live = days_of(h, "active_from", "active_to")
     ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("node_type"), F.col(c).cast("string").alias("node_id")) for kind, c in (
         ("entity", "member"), ("entity", "counterpart"), ("side", "side_id"), ("side", "other_side_id"))]))
     past = live.select("day", ends.alias("n")).select("day", "n.*")

@@ -71,8 +71,14 @@ def _log_scaled(value: Column, scale: int) -> Column:
     return F.log1p(value) / F.lit(math.log1p(scale))
 
 
-def _span(first: Any, last: Any) -> tuple[Column, Column]:
-    return F.to_date(F.lit(str(first))), F.to_date(F.lit(str(last)))
+def _span(first: Any, last: Any) -> tuple[Column | None, Column | None]:
+    """Limits as dates; ``None`` where the intervals themselves are the limit."""
+    return tuple(None if d is None else F.to_date(F.lit(str(d))) for d in (first, last))
+
+
+def _within(day: str, first: Any, last: Any) -> Column:
+    low, high = _span(first, last)
+    return (F.lit(True) if low is None else F.col(day) >= low) & (F.lit(True) if high is None else F.col(day) <= high)
 
 
 def temporal_features(df: DataFrame, cutoff: Column, event: str = "event_s", available: str = "available_s") -> DataFrame:
@@ -207,8 +213,7 @@ def game_nodes(games: DataFrame, first_day: Any, last_day: Any, reference_days:
     age = F.greatest(F.lit(0.0), _cutoff(tz) - F.col("event_s")) / F.lit(DAY_SECONDS)
     past = past.select("day", "group_id", F.lit(0.0).alias("is_current"), F.lit(1.0).alias("is_historical"),
                        F.least(age / F.lit(float(reference_days)), F.lit(1.0)).alias("age"), "start_fraction")
-    first, last = _span(first_day, last_day)
-    current = rows.where(F.col("event_day").between(first, last)).select(
+    current = rows.where(_within("event_day", first_day, last_day)).select(
         F.col("event_day").alias("day"), "group_id", F.lit(1.0).alias("is_current"), F.lit(0.0).alias("is_historical"), F.lit(0.0).alias("age"), "start_fraction")
     return past.unionByName(current)
 
@@ -216,8 +221,7 @@ def game_nodes(games: DataFrame, first_day: Any, last_day: Any, reference_days:
 def side_group_edges(games: DataFrame, first_day: Any, last_day: Any, tz: str = "UTC") -> DataFrame:
     """Both sides of every past and current game with the flags current, home, away, historical."""
     past = days_of(games, "active_from", "active_to", *_span(first_day, last_day)).withColumn("is_current", F.lit(0.0))
-    first, last = _span(first_day, last_day)
-    current = games.where(F.col("event_day").between(first, last)).withColumns({"day": F.col("event_day"), "is_current": F.lit(1.0)})
+    current = games.where(_within("event_day", first_day, last_day)).withColumns({"day": F.col("event_day"), "is_current": F.lit(1.0)})
     rows = past.unionByName(current, allowMissingColumns=True)
     sides = F.explode(F.array(F.struct(F.col("home_id").alias("source"), F.lit(1.0).alias("is_home")),
                               F.struct(F.col("away_id").alias("source"), F.lit(0.0).alias("is_home"))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,19 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local master may do without the setting."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="tidemark-shared-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
+from tidemark.session import scratch_folder
 
 
 def text_session(spark: SparkSession, rows: int = 500) -> None:
@@ -33,7 +19,7 @@ def text_session(spark: SparkSession, rows: int = 500) -> None:
 
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lost executors cost no recomputation of it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -41,14 +27,6 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for small iterated tables."""
-    shared = shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two 64-bit columns that name a row by its id and text, whatever the id's type; equal rows share them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

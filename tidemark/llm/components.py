@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settled
+from tidemark.session import cut_lineage
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     smaller ones (small star).  Only minima are aggregated per node, so a hub is never gathered.  The
     rounds needed grow with the logarithm of a component's length.
     """
-    now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -28,5 +28,5 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, settled, stored, text_session
+from tidemark.llm.common import row_key, stored, text_session
+from tidemark.session import cut_lineage
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _SECRETS = (
@@ -183,7 +184,8 @@ def draw(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         keep = 1 if len(normal) == 11 else 2 if len(normal) > 11 else 0  # the country code
         return normal[:keep] + str(2 + d.below(8)) + like(normal[keep + 1:])
     if kind == "ip":
-        return f"10.{d.below(256)}.{d.below(256)}.{1 + d.below(254)}"
+        # Addresses reserved for future use: 2**28 that belong to nobody.
+        return f"{240 + d.below(16)}.{d.below(256)}.{d.below(256)}.{1 + d.below(254)}"
     if kind == "ssn":
         return "9" + like(normal[1:])
     role, gender = kind.split("-")
@@ -257,7 +259,7 @@ def settled_attempts(entities: DataFrame, key: bytes, rounds: int = 200, chooser
         twice = drawn.groupBy("kind", "drawn").agg(F.count("*").alias("n")).where("n > 1").select("kind", "drawn")
         late = drawn.join(twice, ["kind", "drawn"]).withColumn("place", F.row_number().over(same)).where("place > 1").select("kind", "normal")
         real = drawn.join(entities.select("kind", F.col("normal").alias("drawn")), ["kind", "drawn"], "left_semi").select("kind", "normal")
-        again = settled(late.unionByName(real).distinct())
+        again = cut_lineage(late.unionByName(real).distinct())
         if again.isEmpty():
             return now.where("attempt > 0")
         marked = again.withColumn("more", F.lit(1))
@@ -278,10 +280,8 @@ def replace_entities(docs: DataFrame, key: bytes = b"tidemark", id_col: str = "d
     late = settled_attempts(seen.select("kind", "normal").distinct(), key)
     exceptions = seen.join(late, ["kind", "normal"]).groupBy("row_a", "row_b").agg(
         F.collect_set(F.struct("kind", "normal", "attempt")).alias("late"))
-    if exceptions.isEmpty():  # nothing drew twice, so there is nothing to look up
-        joined = rows.select("id", "text", F.lit(None).cast("array<struct<kind: string, normal: string, attempt: int>>").alias("late"))
-    else:
-        joined = rows.join(exceptions, ["row_a", "row_b"], "left").select("id", "text", "late")
+    # Stored, so that Spark knows how few they are when it picks the join; the texts need not move then.
+    joined = rows.join(stored(exceptions, "exceptions"), ["row_a", "row_b"], "left").select("id", "text", "late")
     kind = rows.schema["id"].dataType.simpleString()
     places = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 PIECE = 16
 #: P(Poisson(16) > 90) is below 2**-53.
 TERMS = 90
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     source, rate, pieces, below, count = (_free(docs, n) for n in ("source_", "rate_", "pieces_", "below_", "count_"))
     wanted = rates(docs, weights, source_col, text_col, epochs).where("rate > 0")
     wanted = wanted.select(F.col("source").alias(source), F.col("rate").alias(rate), F.ceil(F.col("rate") / PIECE).cast("int").alias(pieces))
-    wanted = wanted.withColumn(below, _distribution(F.col(rate) / F.col(pieces)))
+    # Stored, so that Spark knows the size of this table of one row per source when it picks the join.
+    wanted = stored(wanted.withColumn(below, _distribution(F.col(rate) / F.col(pieces))), "rates")
     named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     joined = docs.join(wanted, F.coalesce(docs[source_col].cast("string"), F.lit("")) == F.col(source))
     drawn = F.aggregate(F.sequence(F.lit(1), F.col(pieces)), F.lit(0), lambda n, i: n + F.size(F.filter(

@@ -64,12 +64,19 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the scratch folders made so far; call it once results that read them are written."""
+def scratch_folders() -> list[str]:
+    """The scratch folders that have not been deleted yet."""
+    return list(_made)
+
+
+def sweep(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete scratch folders (all, unless some are named); call it once results that read them are written."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    while _made:
-        path = hadoop(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for name in scratch_folders() if folders is None else folders:
+        if name in _made:
+            _made.remove(name)
+            path = hadoop(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,23 +1,42 @@
 """A training corpus from raw documents: quality rules, near-duplicates, benchmark passages, source weights, token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet to the shared folder
-and read again as the next stage's documents.  All but the last return the columns of their input.
+and read again as the next stage's documents.  All but the last return the columns of their input.  A stage
+starts by deleting the scratch tables of the stage before it, whose output has been written by then.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, quality_rules, simhash, token_output
-from tidemark.llm.common import row_key, shared_folder, stored
+from tidemark.llm.common import row_key, stored
+from tidemark.session import scratch_folders, shared_folder, sweep
 
 #: The last stage's tokens are not expressible in SQL; the tests hold the whole run against a brute-force version.
 ORACLE_SQL = None
 
 
+_left: list[str] = []  # scratch tables behind the output of the latest stage
+
+
+def stage(function):
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, _left)
+        before = scratch_folders()
+        out = function(spark, docs, sf_dir)
+        _left[:] = [f for f in scratch_folders() if f not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learnt cutoffs keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,11 +47,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
+@stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
+@stage
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -46,6 +67,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return marked.join(leaked.withColumnRenamed("row", mark), mark, "left_anti").select(*docs.columns)
 
 
+@stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated towards the target weights of their sources, shuffled."""
     own = {c: f"doc_{k}" for k, c in enumerate(docs.columns)}
@@ -53,6 +75,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
+@stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written in the binary format; one row per document as read back."""
     return token_output.tokenise(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -71,8 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+    for number, (name, function) in enumerate(STAGES):
+        out = function(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{number}-{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}-{name}")
     return docs

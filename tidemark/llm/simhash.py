@@ -163,8 +163,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFr
     seen = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = seen.groupBy("fingerprint").agg(F.min("id").alias("least"))
     parts = components(links(nodes.select("fingerprint"), radius))
-    named = nodes.join(parts, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Both are stored, so that the join reads plain rows and a component of many fingerprints can be split.
+    named = stored(nodes.join(parts, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "nodes")
+    smallest = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     classes = stored(named.join(smallest, "component").select("fingerprint", "component", "component_id"), "classes")
     return seen.join(classes, "fingerprint")

@@ -43,6 +43,8 @@ _SMALL = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    if not len(ids) or ids.max() < 1 << 16:
+        return _SMALL[ids.astype(np.uint16)]
     out = _SMALL[ids & _U(0xFFFF)]
     for shift in (16, 32, 48):
         part = (ids >> _U(shift)) & _U(0xFFFF)
@@ -131,17 +133,18 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 _WORD_START = re.compile(r"(?<=\S)(?= )")
-_SPACE_RUN = re.compile(r"\s ")
-_SPACE = re.compile(r"\s")
+_SPACES = re.compile(r"\s\s")
 _STOPS = ".,"
+LONGEST_KNOWN = 64
 
 
 class Encoder:
     """Encode texts with a tokenizers file, remembering the ids of words already met.
 
     A byte-level tokenizer never joins what stands before a space with the space after a visible
-    character, so a text can be cut there and its parts encoded on their own.  At most ``known`` words
-    are remembered, and those of the texts at hand.
+    character, so a text can be cut there and its parts encoded on their own.  A line feed between
+    visible characters is a part of its own as well, so a text without neighbouring white space is cut
+    into lines first.  At most ``known`` words are remembered, and those of the texts at hand.
     """
 
     def __init__(self, path: str, known: int = 800_000):
@@ -157,45 +160,37 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _atoms(self, known: dict[str, bytes], asked: set[str], before: str) -> None:
+    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
         """Remember words; those with a full stop or comma after a letter are put together from the bare word."""
-        ended = [w for w in asked if w[-1:] in _STOPS and w[-2:-1].isalpha()]
-        bare = [w for w in asked.difference(ended).union([w[:-1] for w in ended]) if w not in known]
+        ended = [w for w in new if w[-1:] in _STOPS and w[-2:-1].isalpha()]
+        bare = [w for w in new.difference(ended).union([w[:-1] for w in ended]) if w not in known]
         known.update(zip(bare, self._ids([before + w for w in bare])))
         known.update([(w, known[w[:-1]] + self.stops[w[-1]]) for w in ended])
 
-    def _learn(self, asked: set[str]) -> list[str]:
-        """Remember words behind a space; returns those with a line feed between visible characters, which hardly come again."""
-        lines = {w: w.split("\n") for w in asked if "\n" in w}
-        lines = {w: parts for w, parts in lines.items() if all(parts) and not any(map(_SPACE.search, parts))}
-        first = {parts[0] for parts in lines.values()}
-        self._atoms(self.known, asked.difference(lines).union(first.difference(self.known)), " ")
-        self._atoms(self.heads, {p for parts in lines.values() for p in parts[1:]}.difference(self.heads), "")
-        feed, known, heads = self.stops["\n"], self.known, self.heads
-        known.update([(w, known[parts[0]] + b"".join([feed + heads[p] for p in parts[1:]])) for w, parts in lines.items()])
-        return list(lines)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = []
+        known, heads, feed = self.known, self.heads, self.stops["\n"]
+        for words in (known, heads):
+            if len(words) > self.most:
+                words.clear()
+        cut = []  # per text its lines, per line the first word and the words behind spaces
         for text in texts:
-            if _SPACE_RUN.search(text):
+            if _SPACES.search(text):
                 first, *rest = _WORD_START.split(text)
-                cut.append((first, [p[1:] for p in rest]))  # every later part starts with its space
+                cut.append([(first, [p[1:] for p in rest])])  # every later part starts with its space
             else:
-                first, *rest = text.split(" ")
-                cut.append((first, rest))
-        for known in (self.known, self.heads):
-            if len(known) > self.most:
-                known.clear()
-        known = self.known
-        lines = self._learn({w for _, rest in cut for w in rest if w not in known})
-        heads = list({first for first, _ in cut})
-        started = dict(zip(heads, self._ids(heads)))
+                lines = [line.split(" ") for line in text.split("\n")]
+                cut.append([(words.pop(0), words) for words in lines])
+        new = {w for lines in cut for _, rest in lines for w in rest if w not in known}
+        self._learn(known, new, " ")
+        first = {w for lines in cut for w, _ in lines if w not in heads}
+        self._learn(heads, first, "")
         get = known.__getitem__
-        out = [started[first] + b"".join(map(get, rest)) for first, rest in cut]
-        for word in lines:
-            del known[word]
+        out = [feed.join([heads[w] + b"".join(map(get, rest)) for w, rest in lines]) for lines in cut]
+        for words, added in ((known, new), (heads, first)):
+            for w in added:
+                if len(w) > LONGEST_KNOWN:
+                    del words[w]
         return out
 
 

@@ -433,3 +433,20 @@ def test_replacements_stay_distinct_over_documents(spark):
     found = [w for k in range(10, 60) for w in by_id[k].text.split()[1::2]]
     assert len(set(found)) == len(found) == 100 and not originals & set(found)
     assert surrogates.replace_entities(documents(spark, [])).collect() == []
+
+
+def test_thousands_of_given_names_and_masked_secrets_get_replacements_of_their_own(spark):
+    firsts = {"latin": "bdfghjklmnprstvz", "cyrillic": "бвгджзклмнпрстфх", "greek": "βγδζθκλμνξπρστφχ"}
+    names = {script: [a + b + c for a in x for b in x for c in x][:3000] for script, x in firsts.items()}
+    entities = [(f"given-{gender}", n) for gender in "mf" for own in names.values() for n in own]
+    entities += [("given-m", "adam"), ("given-m", "adam-adam")] + [("secret", "*" * 8 + str(k)) for k in range(10)]
+    table = spark.createDataFrame(entities, "kind string, normal string").repartition(4)
+    late = {(r.kind, r.normal): r.attempt for r in surrogates.settled_attempts(table, b"k", rounds=30).collect()}
+    drawn = [(kind, surrogates.draw(b"k", kind, n, late.get((kind, n), 0))) for kind, n in entities]
+    assert len(set(drawn)) == len(entities) and not set(drawn) & set(entities)
+    assert all(surrogates._script(new) == surrogates._script(n) for (kind, n), (_, new) in zip(entities, drawn) if kind != "secret")
+    said = "password: ********1 and password: ********2"
+    texts = [(k, f"password: ********{k}") for k in range(10)] + [(10, said)]
+    out = {r.doc_id: r.text for r in surrogates.replace_entities(documents(spark, texts)).collect()}
+    assert len(set(out.values())) == 11 and not set(out.values()) & {t for _, t in texts}
+    assert out[10] == f"{out[1]} and {out[2]}"

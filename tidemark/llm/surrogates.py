@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key, stored, text_session
@@ -169,10 +169,13 @@ def draw(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         end = domain.rsplit(".", 1)[1]
         return f"{stem}{d.below(10000):04d}@{word}.example.{end if end in ('com', 'net', 'org') else 'org'}"
     if kind == "secret":
+        # Of a secret of few letters and digits (masked ones) there are few others: later draws are longer.
+        short = sum(c.isascii() and c.isalnum() for c in normal) < 16
+        more = "".join("0123456789"[d.below(10)] for _ in range(attempt if short else 0))
         if re.fullmatch("[0-9a-f]+", normal):
-            return "".join("0123456789abcdef"[d.below(16)] for _ in normal)
+            return "".join("0123456789abcdef"[d.below(16)] for _ in normal) + more
         head = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)?", normal)[0]
-        return head + like(normal[len(head):])
+        return head + like(normal[len(head):]) + more
     if kind == "iban":
         body = like(normal[4:])
         return next(f"{normal[:2]}{check:02d}{body}" for check in range(2, 99) if _iban_rest(f"{normal[:2]}{check:02d}{body}") == 1)
@@ -192,8 +195,7 @@ def draw(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     script = _script(normal)
     if role == "given":
         names = _GIVEN[script, gender]
-        name = names[d.below(len(names))].lower()
-        return name if attempt == 0 else name + "-" + names[d.below(len(names))].lower()
+        return "-".join(names[d.below(len(names))].lower() for _ in range(1 + attempt))
     syllables = _SYLLABLES[script]
     return "".join(syllables[d.below(len(syllables))] for _ in range(3 + attempt)) + _ENDINGS[script, gender]
 
@@ -251,20 +253,22 @@ def _drawn(entities: DataFrame, key: bytes, chooser: Callable) -> DataFrame:
 
 def settled_attempts(entities: DataFrame, key: bytes, rounds: int = 200, chooser: Callable = draw) -> DataFrame:
     """(kind, normal, attempt) for entities whose replacement is their own only from a later draw on."""
-    now = stored(entities.withColumn("attempt", F.lit(0)), "entities")
+    drawn = stored(_drawn(entities.withColumn("attempt", F.lit(0)), key, chooser), "drawn")
+    # The entities do not change; read them from here, not from the texts again.
+    real = drawn.select("kind", F.col("normal").alias("drawn"))
     for _ in range(rounds):
-        drawn = stored(_drawn(now, key, chooser), "drawn")
-        same = Window.partitionBy("kind", "drawn").orderBy("normal")
-        # A replacement that another entity has too, or that occurs in the texts itself.  Those of one draw are few.
-        twice = drawn.groupBy("kind", "drawn").agg(F.count("*").alias("n")).where("n > 1").select("kind", "drawn")
-        late = drawn.join(twice, ["kind", "drawn"]).withColumn("place", F.row_number().over(same)).where("place > 1").select("kind", "normal")
-        real = drawn.join(entities.select("kind", F.col("normal").alias("drawn")), ["kind", "drawn"], "left_semi").select("kind", "normal")
-        again = cut_lineage(late.unionByName(real).distinct())
+        # A replacement that another entity has too stays with the first of them; one that occurs in the texts itself goes.
+        # Stored, so that Spark knows how few they are: very many entities may share one.
+        twice = stored(drawn.groupBy("kind", "drawn").agg(F.min("normal").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+        late = drawn.join(twice, ["kind", "drawn"]).where("normal > first").select("kind", "normal")
+        taken = drawn.join(real, ["kind", "drawn"], "left_semi").select("kind", "normal")
+        again = cut_lineage(late.unionByName(taken).distinct())
         if again.isEmpty():
-            return now.where("attempt > 0")
+            return drawn.where("attempt > 0").select("kind", "normal", "attempt")
         marked = again.withColumn("more", F.lit(1))
-        now = stored(now.join(marked, ["kind", "normal"], "left").select(
-            "kind", "normal", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
+        now = drawn.join(marked, ["kind", "normal"], "left").select(
+            "kind", "normal", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+        drawn = stored(_drawn(now, key, chooser), "drawn")
     raise RuntimeError(f"replacements still clash after {rounds} draws")
 
 

@@ -165,6 +165,21 @@ def test_phrases_match_brute_force(spark, shard_bytes, slices):
     assert sorted(((r.id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect()), key=repr) == brute_hits(docs, items)
 
 
+def test_items_of_a_shared_instruction_stay_out_of_the_slices(spark):
+    shared = " ".join(f"s{k}" for k in range(50))
+    items = spark.createDataFrame([(k, f"{shared} own{k} " + " ".join(f"q{k}x{j}" for j in range(12))) for k in range(3000)], "item_id long, text string")
+    asked = decontaminate.phrases(items)
+    table, listed = decontaminate._phrase_table(asked)
+    slices = list(decontaminate._phrase_slices(table, 10_000))
+    n = table.count()
+    assert len(slices) == -(-n // 10_000) and sum(len(classes) for _, _, classes in slices) == n == asked.select("terms").distinct().count()
+    assert all(x.dtype != object for parts in slices for x in parts)
+    assert listed.groupBy("class").count().where("count = 3000").count() == 1 and listed.count() == 3000 + 3000
+    docs = documents(spark, [(1, shared), (2, "q7x0 " + shared), (3, shared + " own7 " + " ".join(f"q7x{j}" for j in range(12))), (4, "none")])
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (50, 50, 3000), 2: (51, 50, 3000), 3: (63, 63, 3000), 4: (1, 0, 0)}
+
+
 def test_proximity_needs_all_terms_nearby_in_one_document(spark):
     docs = documents(spark, [(1, "x alpha y y beta z gamma"), (2, "gamma beta alpha"), (3, "alpha " + "n " * 50 + "beta gamma"), (4, "alpha beta"), (5, "gamma")])
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")

@@ -6,7 +6,8 @@ all shards together are one stored table, written once to the shared folder.  A
 phrases in slices of bounded size and looks each phrase up in every shard: the phrase's rarest term in
 that shard gives the candidate starts, and the lists of the other terms, moved by their offsets in the
 phrase, thin them out from the rarest to the commonest.  What is left are exact phrase matches, with
-the words themselves compared by hash.  ``proximity`` finds places where all terms of a phrase stand
+the words themselves compared by hash.  The shards name only classes of phrases that have the same
+items; the items are joined afterwards.  ``proximity`` finds places where all terms of a phrase stand
 within a given distance, in any order.
 """
 
@@ -152,16 +153,34 @@ def near_runs(shard: Shard, slots: np.ndarray, sizes: np.ndarray, doc_starts: np
     return begin, end
 
 
-def _phrase_slices(table: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
-    """The distinct phrases in driver-sized slices: flat term hashes, bounds, items of each phrase."""
-    found = stored(table.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")), "phrases")
-    n = found.count()
-    slices = max(1, -(-n // size))
+def _phrase_table(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct phrases (terms, phrase, class), and the items (class, item) of every class.
+
+    Phrases with the same items are one class, so items that share a long passage are listed once for all
+    of its windows.  The items of a phrase are never gathered: a digest of them names its class, and one
+    phrase of each class stands for it.  ``phrase`` and ``class`` are 64-bit hashes.
+    """
+    named = asked.select("terms", "item").distinct()
+    one, other = F.xxhash64("item"), F.xxhash64(F.lit(1), F.col("item"))
+    held = named.groupBy("terms").agg(F.count("item").alias("n"), F.bit_xor(F.when(F.col("item").isNotNull(), one)).alias("x"),
+                                      F.bit_xor(F.when(F.col("item").isNotNull(), other)).alias("y"))
+    table = stored(held.select("terms", F.xxhash64("terms").alias("phrase"), F.xxhash64("n", "x", "y").alias("class")), "phrases")
+    chosen = table.groupBy("class").agg(F.min("phrase").alias("phrase"))
+    owners = asked.where("item IS NOT NULL").select(F.xxhash64("terms").alias("phrase"), "item")
+    return table, owners.join(chosen, "phrase").select("class", "item").distinct()
+
+
+def _phrase_slices(table: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct phrases in driver-sized slices: flat term hashes, bounds, class of each phrase."""
+    slices = max(1, -(-table.count() // size))
+    if slices > 1:
+        table = stored(table.withColumn("slice", F.pmod("phrase", F.lit(slices))).repartition("slice"), "slices", "slice")
     for k in range(slices):
-        rows = found.where(F.pmod(F.xxhash64("terms"), F.lit(slices)) == k).toArrow() if slices > 1 else found.toArrow()
+        rows = (table.where(F.col("slice") == k) if slices > 1 else table).select("terms", "class").toArrow()
         terms = rows.column("terms").combine_chunks()
         lengths = np.asarray(terms.value_lengths())
-        yield terms.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.append(0, np.cumsum(lengths)), rows.column("items").to_pylist()
+        yield (terms.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.append(0, np.cumsum(lengths)),
+               rows.column("class").to_numpy())
 
 
 def search(index: DataFrame, asked: DataFrame, within: int | None = None, slice_phrases: int = SLICE_PHRASES) -> DataFrame:
@@ -172,31 +191,41 @@ def search(index: DataFrame, asked: DataFrame, within: int | None = None, slice_
     """
     spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
+    table, listed = _phrase_table(asked)
     parts = []
-    for flat, bounds, items in _phrase_slices(asked, slice_phrases):
-        sent = spark.sparkContext.broadcast((flat, bounds, items))  # at most slice_phrases phrases of window terms
+    for slice_ in _phrase_slices(table, slice_phrases):
+        sent = spark.sparkContext.broadcast(slice_)  # at most slice_phrases phrases of window terms, without their items
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            flat, bounds, items = sent.value
             for batch in batches:
                 for row in range(batch.num_rows):
-                    yield _match(batch.slice(row, 1), flat, bounds, items, within)
-
-        schema = f"shard string, at int, id {kind}, n_words long, first array<int>, last array<int>, items array<string>"
-        parts.append(index.mapInArrow(look, schema))
-    if len(parts) == 1:
-        return _merged(parts[0])
-    union = parts[0]
-    for more in parts[1:]:
-        union = union.unionByName(more)
-    together = union.groupBy("shard", "at").agg(
-        F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("first")).alias("first"),
-        F.flatten(F.collect_list("last")).alias("last"), F.flatten(F.collect_list("items")).alias("items"))
-    return _merged(together)
+                    yield _match(batch.slice(row, 1), *sent.value, within)
+
+        schema = f"shard string, at int, id {kind}, n_words long, first array<int>, last array<int>, classes array<long>"
+        found = index.mapInArrow(look, schema)
+        parts.append(found.where(F.size("first") > 0) if parts else found)  # the first slice names all rows
+    rows = parts[0]
+    if len(parts) > 1:
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        rows = rows.groupBy("shard", "at").agg(
+            F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("first")).alias("first"),
+            F.flatten(F.collect_list("last")).alias("last"), F.flatten(F.collect_list("classes")).alias("classes"))
+    return _with_items(stored(_merged(rows), "matches"), listed)
+
+
+def _with_items(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Items in place of classes: listed once for each set of classes, however many rows have that set."""
+    hit = rows.where(F.size("classes") > 0)
+    sets = hit.select("classes").distinct().select("classes", F.explode("classes").alias("class"))
+    lists = sets.join(listed, "class").groupBy("classes").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    named = hit.join(lists, "classes", "left").select("id", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
+    return named.unionByName(rows.where(F.size("classes") == 0).select("id", "n_words", "n_hit", none.alias("items")))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """Count the words in the union of the runs [first, last] and settle the item lists."""
+    """Count the words in the union of the runs [first, last] and settle the sets of classes."""
     run = F.sort_array(F.arrays_zip("first", "last"))
     start = F.struct(F.lit(-1).cast("int").alias("end"), F.lit(0).cast("bigint").alias("n"))
 
@@ -205,10 +234,10 @@ def _merged(rows: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["end"], x["last"]).alias("end"), (state["n"] + fresh).alias("n"))
 
     return rows.select("id", "n_words", F.aggregate(run, start, add, lambda s: s["n"]).alias("n_hit"),
-                       F.sort_array(F.array_distinct("items")).alias("items"))
+                       F.sort_array(F.array_distinct("classes")).alias("classes"))
 
 
-def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, items: list[list[str]], within: int | None) -> pa.RecordBatch:
+def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, classes: np.ndarray, within: int | None) -> pa.RecordBatch:
     name, ids, starts, counts, *packed = (column[0] for column in row.columns)
     shard = Shard(*(x.as_buffer() for x in packed))
     ids, counts = ids.values, counts.values.to_numpy(zero_copy_only=False)
@@ -217,7 +246,7 @@ def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, items: lis
     sizes = np.where(slots >= 0, shard.sizes()[slots], 0) if len(shard.terms) else np.zeros(len(flat), np.int64)
     present = np.minimum.reduceat(sizes, bounds[:-1]) > 0 if len(bounds) > 1 else np.zeros(0, bool)
     found: list[list[tuple[int, int]]] = [[] for _ in counts]
-    matched: list[set[str]] = [set() for _ in counts]
+    matched: list[set[int]] = [set() for _ in counts]
     for phrase in np.flatnonzero(present):
         own = slice(bounds[phrase], bounds[phrase + 1])
         if within is None:
@@ -227,7 +256,7 @@ def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, items: lis
             begin, end = near_runs(shard, slots[own], sizes[own], starts, within)
         for doc, x, y in zip((np.searchsorted(starts, begin, "right") - 1).tolist(), begin.tolist(), end.tolist()):
             found[doc].append((x - int(starts[doc]), y - int(starts[doc])))
-            matched[doc].update(items[phrase])
+            matched[doc].add(int(classes[phrase]))
     first, last = [], []
     for runs in found:
         joined: list[list[int]] = []
@@ -241,8 +270,8 @@ def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, items: lis
     n, ints = len(counts), pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array([name.as_py()] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(counts.astype(np.int64)),
-         pa.array(first, ints), pa.array(last, ints), pa.array([sorted(m) for m in matched], pa.list_(pa.string()))],
-        names=["shard", "at", "id", "n_words", "first", "last", "items"])
+         pa.array(first, ints), pa.array(last, ints), pa.array([sorted(m) for m in matched], pa.list_(pa.int64()))],
+        names=["shard", "at", "id", "n_words", "first", "last", "classes"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

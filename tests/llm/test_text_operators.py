@@ -187,6 +187,37 @@ def test_proximity_needs_all_terms_nearby_in_one_document(spark):
     assert found == {1: 6, 2: 3, 3: 0, 4: 0, 5: 0}
 
 
+def brute_near(docs, items, window, within):
+    split = [(d, re.findall("[0-9A-Za-z]+", t)) for d, t in docs]
+    total = Counter(w for _, own in split for w in own)
+    asked = [(str(i), own[k:k + window]) for i, t in items for own in [t.split()] for k in range(max(len(own) - window + 1, 1))]
+    out = []
+    for d, own in split:
+        hit, names = set(), set()
+        for item, phrase in asked:
+            rarest = min(phrase, key=lambda w: total[w])
+            for at in [k for k, w in enumerate(own) if w == rarest]:
+                places = [min((k for k, w in enumerate(own) if w == term), key=lambda k: (abs(k - at), k < at), default=None) for term in phrase]
+                if all(k is not None and abs(k - at) <= within for k in places):
+                    hit |= set(range(min(places), max(places) + 1))
+                    names.add(item)
+        out.append((d, len(own), len(hit), sorted(names)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_bytes", [4_000_000, 200, 1])
+def test_proximity_matches_brute_force_however_shards_are_cut(spark, shard_bytes):
+    rng = random.Random(8)
+    words = ["alpha", "beta", *(f"t{k}" for k in range(14))]
+    docs = [(1, "t1 t2 alpha"), (2, "beta x x x x alpha"), (3, "alpha"), (4, "x beta"), (5, "alpha x x alpha")]
+    docs += [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for k in range(10, 50)]
+    items = [(1, "alpha beta"), (2, "t1 t2 t3 t4"), (3, "t5 t5 t6"), (4, "t7 absent")]
+    index = decontaminate.build_index(documents(spark, docs).coalesce(1), shard_bytes=shard_bytes)
+    asked = decontaminate.phrases(spark.createDataFrame(items, "item_id long, text string"), window=3)
+    got = sorted((r.id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.search(index, asked, within=6).collect())
+    assert got == brute_near(docs, items, 3, 6)
+
+
 def test_empty_benchmark_and_empty_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark, EDGES)

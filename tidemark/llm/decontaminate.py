@@ -138,21 +138,50 @@ def exact_starts(shard: Shard, slots: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return starts
 
 
-def near_runs(shard: Shard, slots: np.ndarray, sizes: np.ndarray, doc_starts: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs [begin, end] around the rarest term that hold the nearest place of every other term, inside one document."""
-    order = np.argsort(sizes, kind="stable")
-    begin = end = middle = shard.postings(slots[order[0]])
+def near_runs(shard: Shard, slots: np.ndarray, totals: np.ndarray, doc_starts: np.ndarray, counts: np.ndarray,
+              within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [begin, end] around each place of the term with the least total that hold the nearest place of every other term.
+
+    Only places of the same document count; of two equally near ones the later is taken, of terms with equal
+    totals the first in the phrase.
+    """
+    order = np.argsort(totals, kind="stable")
+    begin = end = middle = shard.postings(slots[order[0]]).astype(np.int64)
+    doc = np.searchsorted(doc_starts, middle, "right") - 1
+    low, high = doc_starts[doc], doc_starts[doc] + counts[doc]
     for k in order[1:]:
-        listed = shard.postings(slots[k])
+        listed = shard.postings(slots[k]).astype(np.int64)
         right = np.searchsorted(listed, middle)
         after, before = listed[np.minimum(right, len(listed) - 1)], listed[np.maximum(right - 1, 0)]
-        place = np.where(np.abs(after - middle) <= np.abs(middle - before), after, before)
-        good = np.abs(place - middle) <= within
-        good &= np.searchsorted(doc_starts, place, "right") == np.searchsorted(doc_starts, middle, "right")
+        far = within + 1
+        ahead = np.where((after >= middle) & (after < high), after - middle, far)
+        behind = np.where((before < middle) & (before >= low), middle - before, far)
+        place = np.where(ahead <= behind, after, before)
+        good = np.minimum(ahead, behind) <= within
         begin, end, middle = np.minimum(begin, place)[good], np.maximum(end, place)[good], middle[good]
+        low, high = low[good], high[good]
     return begin, end
 
 
+def _totals(index: DataFrame, flat: np.ndarray) -> np.ndarray:
+    """How often each of these terms stands in all shards together."""
+    asked, back = np.unique(flat, return_inverse=True)
+    sent = index.sparkSession.sparkContext.broadcast(asked)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = Shard(*(batch.column(k)[row].as_buffer() for k in range(2)), b"")
+                slots = shard.slots(sent.value)
+                at = np.flatnonzero(slots >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(shard.sizes()[slots[at]].astype(np.int64))], names=["at", "n"])
+
+    found = index.select("terms", "bounds").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(len(asked), np.int64)
+    totals[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return totals[back]
+
+
 def _phrase_table(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct phrases (terms, phrase, class), and the items (class, item) of every class.
 
@@ -187,14 +216,15 @@ def search(index: DataFrame, asked: DataFrame, within: int | None = None, slice_
     """Per indexed row: (id, n_words, n_hit, items): its words, those inside a match, the items that match (sorted).
 
     A match is the exact phrase, or with ``within`` a place where each of its terms stands at most that
-    many words from its rarest one.
+    many words from its rarest one (the rarest in the whole index), in the same row.
     """
     spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
     table, listed = _phrase_table(asked)
     parts = []
-    for slice_ in _phrase_slices(table, slice_phrases):
-        sent = spark.sparkContext.broadcast(slice_)  # at most slice_phrases phrases of window terms, without their items
+    for flat, bounds, classes in _phrase_slices(table, slice_phrases):
+        totals = None if within is None else _totals(index, flat)
+        sent = spark.sparkContext.broadcast((flat, bounds, classes, totals))  # at most slice_phrases phrases of window terms, without their items
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -237,7 +267,8 @@ def _merged(rows: DataFrame) -> DataFrame:
                        F.sort_array(F.array_distinct("classes")).alias("classes"))
 
 
-def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, classes: np.ndarray, within: int | None) -> pa.RecordBatch:
+def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, classes: np.ndarray,
+           totals: np.ndarray | None, within: int | None) -> pa.RecordBatch:
     name, ids, starts, counts, *packed = (column[0] for column in row.columns)
     shard = Shard(*(x.as_buffer() for x in packed))
     ids, counts = ids.values, counts.values.to_numpy(zero_copy_only=False)
@@ -253,7 +284,7 @@ def _match(row: pa.RecordBatch, flat: np.ndarray, bounds: np.ndarray, classes: n
             begin = exact_starts(shard, slots[own], sizes[own])
             end = begin + (own.stop - own.start - 1)
         else:
-            begin, end = near_runs(shard, slots[own], sizes[own], starts, within)
+            begin, end = near_runs(shard, slots[own], totals[own], starts, counts, within)
         for doc, x, y in zip((np.searchsorted(starts, begin, "right") - 1).tolist(), begin.tolist(), end.tolist()):
             found[doc].append((x - int(starts[doc]), y - int(starts[doc])))
             matched[doc].add(int(classes[phrase]))

@@ -430,6 +430,37 @@ def test_pages_with_nulls_repeats_and_deep_nesting(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+PROSE = "One long sentence, with a comma or two, and enough words that nobody takes it for a menu, is said here."
+BODY = "".join(f"<p>{PROSE} {k}</p>" for k in range(6))
+LEAD = "The lead, which stands before the body, is a paragraph of its own, with commas, and it is long enough to be read."
+
+
+@pytest.mark.parametrize("page", [
+    "<main><h1>T</h1><p>{lead}</p><div class=content>{body}</div></main>",
+    "<main><h1>T</h1><p>{lead}</p><div><div class=content>{body}</div></div></main>",
+    "<div class='post'><hgroup><h1>T</h1></hgroup><section><p>{lead}</p></section><div class=content>{body}</div></div>",
+    "<main><h1>T</h1><blockquote>{lead}</blockquote><div class=content>{body}</div><h2>More</h2><ul><li><a href=a>one</a></li><li><a href=b>two</a></li><li><a href=c>three</a></li></ul></main>",
+    "<main><h1>T</h1><table><tr><td>{lead}</td></tr></table><div class=content>{body}</div><p><a href=x>All of this text is one long link to another page, which nobody wants to read in here.</a></p></main>",
+])
+def test_headline_and_paragraphs_beside_the_article_are_kept(page):
+    html = "<html><body><nav><a href=/>Home</a></nav>" + page.format(lead=LEAD, body=BODY) + "<footer>Copyright</footer></body></html>"
+    assert html_text.main_text(html).split("\n") == ["T", LEAD, *[f"{PROSE} {k}" for k in range(6)]]
+
+
+def test_a_quoted_attribute_may_be_long_and_hold_anything():
+    for value in ("x > y " * 5000, "it's > " * 3000):
+        assert html_text.main_text(f'<div><p data-x="{value}">{LONG}</p></div>') == LONG.strip()
+    assert html_text.main_text(f"<div><p don't>{LONG}</p><p title=\"open>{LONG}</p></div>") == LONG.strip() + "\n" + LONG.strip()
+
+
+def test_tags_that_never_end_outside_of_quotes_take_linear_time():
+    import time
+
+    start = time.process_time()
+    html_text.main_text("<b x='>' " * 100_000)
+    assert time.process_time() - start < 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "<a href='x'>", "</a>", "<!--", "-->", "<script>", "</script>", "<", ">", "text, ", "&amp", "<ul><li>", "<td>", "\"", "'"]), max_size=40).map("".join))
 def test_broken_markup_never_fails(html):

@@ -3,7 +3,8 @@
 Every block of text earns points for its length and its commas, discounted by the share of its
 characters inside links, and passes them on: all to its parent, half to the grandparent, a third of
 ``1 / level`` further up.  The container with most points, after its own link share is taken off, is the
-article; siblings with a fair share of its points are kept with it.  What is never article text by its
+article; siblings with a fair share of its points are kept with it, and so are headings and good
+paragraphs next to it or next to what holds it, up to the element of the page's content.  What is never article text by its
 element, role or class words (menus, headers, footers, side bars, notices, adverts, forms, scripts,
 comments) is left out before and after the scoring.
 """
@@ -44,8 +45,12 @@ _P_SCOPE = frozenset("html body table td th caption article section div li block
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""")
+# The rest of a tag; a quoted value may hold anything, a quote that is never closed is a character like others.
+_TAIL = re.compile(r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+>""")
 _CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _COMMAS = re.compile("[,،、，]")
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_SENTENCE_END = tuple(".!?…。！？؟")
 
 
 class Page:
@@ -95,7 +100,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, at, n = [0], 0, len(html)
-        lowered = None
+        lowered, lost = None, False
         while at < n:
             start = html.find("<", at)
             if start < 0:
@@ -123,15 +128,12 @@ class Page:
                     self.events.append((2, stack[-1], "<"))
                     at = start + 1
                 continue
-            end = html.find(">", found.end())
-            inside = html[found.end():end] if end >= 0 else ""
-            while end >= 0 and inside and (inside.count('"') % 2 or inside.count("'") % 2) and _open_quote(inside):
-                further = html.find(">", end + 1)
-                if further < 0 or further - start > 10_000:
-                    break
-                end, inside = further, html[found.end():further]
+            tail = None if lost else _TAIL.match(html, found.end())
+            lost = tail is None  # no tag from here on ends outside of quotes: do not scan the page again for each
+            end = tail.end() - 1 if tail else html.find(">", found.end())
             if end < 0:
                 break  # a tag cut off at the end of the page
+            inside = html[found.end():end]
             at = end + 1
             name = found[0].lower()
             if closing:
@@ -166,17 +168,6 @@ class Page:
         self._pop(stack, 1)
 
 
-def _open_quote(inside: str) -> bool:
-    """Does a quoted attribute value run on at the end?"""
-    quote = ""
-    for c in inside:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-    return bool(quote)
-
-
 def _class_words(attributes: dict) -> set[str]:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     return {w.lower() for w in _CLASS_WORD.findall(named)} if len(named) > 1 else set()
@@ -211,15 +202,14 @@ def main_text(html: str) -> str:
         gone[e] = gone[parent[e]] or _never(page, e, words[e], size, holds, inside_article)
         if not gone[e] and links[e] >= 3 and tag[e] in ("ul", "ol", "div", "section", "table", "p") and not holds[e]:
             gone[e] = in_links[e] > 0.7 * size[e]
-    best, points = _best(tag, parent, words, gone, block, linked, texts, size, in_links)
+    best, points, good = _best(tag, parent, words, gone, block, linked, texts, size, in_links)
     kept = [False] * n
     if best is None:
         kept[0] = True
     else:
         kept[best] = True
-        for e in range(1, n):
-            if parent[e] == parent[best] and not gone[e] and tag[e] in BLOCK and e != best:
-                kept[e] = points.get(e, 0) >= max(10, 0.2 * points[best])
+        for e in _beside(best, tag, parent, words, gone, size, in_links, points, good):
+            kept[e] = True
     blocks: list[str] = []
     now: list[str] = []
 
@@ -260,21 +250,72 @@ def _never(page: Page, e: int, words: set[str], size: list[int], holds: list[boo
     return bool(words & NEVER_WORD)
 
 
-def _best(tag, parent, words, gone, block, linked, texts, size, in_links) -> tuple[int | None, dict[int, float]]:
-    """The container with most points, and the points of all."""
+def _beside(best: int, tag, parent, words, gone, size, in_links, points, good: dict[int, float]) -> Iterator[int]:
+    """What is kept with the article: blocks next to it, and next to its ancestors inside the page's content."""
+    n = len(tag)
+    below = [0.0] * n  # points of the good paragraphs at or below an element
+    titled = [False] * n
+    for e in range(n - 1, 0, -1):
+        below[e] += 0 if gone[e] else good.get(e, 0)
+        titled[e] = titled[e] or tag[e] == "h1"
+        if not gone[e]:
+            below[parent[e]] += below[e]
+            titled[parent[e]] = titled[parent[e]] or titled[e]
+    chain = [best]
+    while parent[chain[-1]] > 0:
+        chain.append(parent[chain[-1]])
+    content = [k for k, e in enumerate(chain) if k and (tag[e] in ("main", "article") or words[e] & ARTICLE_WORD and tag[e] != "body")]
+    levels = {parent[e]: e for e in chain[:max(content, default=1)]}  # the article's own level at least
+    siblings: dict[int, list[int]] = {up: [] for up in levels}
+    for e in range(1, n):
+        if parent[e] in siblings and tag[e] in BLOCK and size[e]:
+            siblings[parent[e]].append(e)
+    for up, held in levels.items():
+        outer = tag[up] in ("html", "body")
+        follows = False
+        for e in reversed(siblings[up]):
+            plain = in_links[e] < 0.25 * size[e]
+            if e == held:
+                keep = True
+            elif gone[e]:
+                keep = False
+            elif tag[e] in _HEADING or tag[e] == "header":
+                # A heading goes with what follows it; the headline stands before the article.
+                keep = plain and (follows or titled[e] and e < held)
+                if keep and e != held:
+                    yield e
+                continue
+            elif tag[e] == "article":
+                keep = points.get(e, 0) >= max(10, 0.2 * points.get(best, 0))
+            else:
+                keep = (points.get(e, 0) >= max(10, 0.2 * points.get(best, 0))
+                        or plain and (e in good or below[e] >= (3 if outer else 1) or titled[e] and e < held and size[e] < 300))
+            if keep and e != held:
+                yield e
+            follows = keep
+
+
+def _best(tag, parent, words, gone, block, linked, texts, size, in_links) -> tuple[int | None, dict[int, float], dict[int, float]]:
+    """The container with most points, the points of all, and those of good paragraphs: long ones, or sentences, with few links."""
     length: dict[int, int] = {}
     link: dict[int, int] = {}
     commas: dict[int, int] = {}
+    last: dict[int, str] = {}
     for e, text in texts:
         if text and not gone[e]:
             b = block[e]
             length[b] = length.get(b, 0) + len(text)
             commas[b] = commas.get(b, 0) + len(_COMMAS.findall(text))
+            last[b] = text
             if linked[e]:
                 link[b] = link.get(b, 0) + len(text)
     points: dict[int, float] = {}
+    good: dict[int, float] = {}
     for b, chars in length.items():
         own = (1 + commas[b] + min(chars / 100, 3)) * (1 - link.get(b, 0) / chars)
+        sentence = tag[b] in ("p", "blockquote") and tag[parent[b]] != "body" and b not in link and last[b].endswith(_SENTENCE_END)
+        if chars >= 80 and link.get(b, 0) < 0.25 * chars or sentence:
+            good[b] = own
         if chars < 25:
             own /= 10
         level, e = 0, parent[b]
@@ -286,7 +327,7 @@ def _best(tag, parent, words, gone, block, linked, texts, size, in_links) -> tup
             points[e] += 25
         points[e] *= 1 - in_links[e] / max(size[e], 1)
     if not points:
-        return None, points
+        return None, points, good
     best = max(points, key=lambda e: (points[e], -e))
     up = parent[best]
     while up > 0:  # a section of an article stands for the article
@@ -294,7 +335,7 @@ def _best(tag, parent, words, gone, block, linked, texts, size, in_links) -> tup
             best = up
             break
         up = parent[up]
-    return best, points
+    return best, points, good
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

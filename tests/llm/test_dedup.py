@@ -61,6 +61,25 @@ def test_repeats_match_brute_force(spark, seed):
     assert got == brute_repeats(rows, 150)
 
 
+def test_many_equal_rows_are_looked_at_once(spark):
+    rows = texts_with_passages(4, 20)
+    passage = max((t for _, t in rows), key=len)
+    rows += [(500, passage[:600] + "#" + passage[300:])] * 150 + [(None, "yz" * 200 + passage)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffix_dedup.remove_repeats(docs, span=150)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()), key=repr)
+    assert got == brute_repeats(rows, 150)
+
+    one = [(1, 2, passage)]
+    unit = [(1, 2, k, k + 40, k + 90, 2) for k in range(0, 200, 50)]
+    cells = "row_a long, row_b long, first long, last long, anchor long, weight int"
+    once, often = (sorted(tuple(r) for r in suffix_dedup._finer(
+        spark.createDataFrame(one * k, "row_a long, row_b long, text string"), spark.createDataFrame(unit * k, cells), 150, 32).collect()) for k in (1, 30))
+    assert once == often
+    marks = suffix_dedup._marks(spark.createDataFrame([u[:4] for u in unit] * 30, "row_a long, row_b long, first long, last long")).collect()
+    assert [len(r.runs) for r in marks] == [len(unit)]
+
+
 def test_repeats_in_long_texts_and_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 500)
     rng = random.Random(5)

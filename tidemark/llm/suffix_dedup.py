@@ -139,11 +139,14 @@ def _judge(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _finer(docs: DataFrame, units: DataFrame, span: int, block: int) -> DataFrame:
-    """Cut doubtful units into blocks of ``block`` windows, aligned to the anchor, and fingerprint them."""
-    asked = units.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("first", "last", "anchor", "weight")).alias("units"))
+    """Cut doubtful units into blocks of ``block`` windows, aligned to the anchor, and fingerprint them.
+
+    Equal rows share their key and units: each unit and each text is taken once, the weight speaks for the others.
+    """
+    asked = units.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("first", "last", "anchor", "weight")).alias("units"))
     asked = stored(asked, "asked")
     near = docs.mapInArrow(only_members(membership(asked, "row_a"), 0), docs.schema)
-    texts = near.join(asked, ["row_a", "row_b"]).select("row_a", "row_b", "text", "units")
+    texts = near.groupBy("row_a", "row_b").agg(F.first("text").alias("text")).join(asked, ["row_a", "row_b"]).select("row_a", "row_b", "text", "units")
     schema = "row_a long, row_b long, core long, whole long, first long, last long, anchor long, weight int"
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +207,12 @@ def repeated_spans(docs: DataFrame, span: int = 400, batches: int = 4) -> DataFr
     return whole_anchor.unionByName(whole_block).unionByName(single)
 
 
+def _marks(runs: DataFrame) -> DataFrame:
+    """(row_a, row_b, runs): each run once, however many equal rows have it."""
+    # Stored, so that the join reads plain rows by key and very many equal rows can be split.
+    return stored(runs.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "marks")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, batches: int = 4) -> DataFrame:
     """Cut every byte covered by a ``span``-byte string that also starts anywhere else in ``docs``.
 
@@ -221,9 +230,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        *row_key(id_col, text_col))
     keyed = rows.select("row_a", "row_b", "text")
     runs = repeated_spans(keyed, span, batches)
-    marks = runs.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    joined = rows.join(marks, ["row_a", "row_b"], "left").select("id", "text", "runs")
+    joined = rows.join(_marks(runs), ["row_a", "row_b"], "left").select("id", "text", "runs")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in parts:

@@ -1,4 +1,4 @@
-"""Exact removal of long repeated byte strings with a logarithmic family of sampled suffix arrays.
+"""Exact removal of long repeated byte strings by counts of sampled suffixes in levels of growing size.
 
 A suffix array lists the suffixes of a text in an order that puts suffixes with the same beginning
 next to each other.  Listing every byte position of 100 TB is out of reach, so the arrays here are
@@ -8,7 +8,7 @@ Entries are ordered by the fingerprint of their first ``GRAM`` bytes instead of
 that begin alike are neighbours all the same.  Entries of one beginning are kept once with their count.
 
 ``SuffixFamily`` holds levels of geometrically growing size.  A new batch gets an array of its own, and
-a merge-scan with the level of equal rank finds shared beginnings and gives the level of the next rank.
+adding its counts to the level of equal rank finds shared beginnings and gives the level of the next rank.
 
 The beginnings found in that way are then judged at three grains, each only where the one before left
 doubt: all windows of an anchor together, blocks of ``BLOCK`` windows, single windows.  At each grain
@@ -98,7 +98,7 @@ class SuffixFamily:
 
     @staticmethod
     def merge(one: DataFrame, other: DataFrame) -> DataFrame:
-        """Merge-scan of two arrays: beginnings of both get a count of two or more."""
+        """Counts of two arrays together: beginnings of both get a count of two or more."""
         return one.unionByName(other).groupBy("core").agg(F.sum("n").alias("n")).sortWithinPartitions("core")
 
     def matches(self, anchors: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html_text, mixing, quality_model, quality_rules, simhash, suffix_dedup, surrogates, token_output
+from tidemark.llm import (
+    bottomk, chat, decontaminate, html_text, mixing, periodic, quality_model, quality_rules, repair, simhash, suffix_dedup, surrogates, token_output)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -90,3 +91,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_surrogates")
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic.plant_tails(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(planted))
+
+
+@query("op12_bottomk", bottomk.ORACLE)
+def op12_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair", repair.ORACLE)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = repair.repair(repair.damage(rows))
+    return repair.digests(report, repaired, rows)

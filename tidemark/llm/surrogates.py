@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import row_key, stored, text_session
 from tidemark.session import cut_lineage
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _SECRETS = (
     re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\W{0,6}[=:]\W{0,6}?[\"']?([^\s\"'|]{8,})"),
     re.compile(r"(?<![0-9A-Za-z])((?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,})(?![0-9A-Za-z])"),
@@ -82,19 +83,33 @@ def _script(word: str) -> str:
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses, each read to both sides of its @: no run of letters is looked at twice."""
+    before = 0
+    for m in _DOMAIN.finditer(text):
+        begin = m.start()
+        while begin > before and text[begin - 1] in _LOCAL:
+            begin -= 1
+        while begin < m.start() and not text[begin].isalnum():
+            begin += 1
+        if begin < m.start():
+            yield begin, m.end()
+            before = m.end()
+
+
 def detect(text: str) -> list[Entity]:
     """Entities in order; where patterns overlap, the earlier kind in this function's order wins."""
     found: list[Entity] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
 
     def add(kind: str, normal: str, begin: int, end: int) -> None:
-        if all(end <= b or begin >= e for b, e in taken):
-            taken.append((begin, end))
+        if taken.find(1, begin, end) < 0:
+            taken[begin:end] = b"\1" * (end - begin)
             found.append(Entity(kind, normal, begin, end))
 
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add("email", m[0].lower(), *m.span())
+        for begin, end in _addresses(text):
+            add("email", text[begin:end].lower(), begin, end)
     if re.search("[0-9]", text):
         for pattern in _SECRETS:
             for m in pattern.finditer(text):

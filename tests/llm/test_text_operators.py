@@ -527,3 +527,38 @@ def test_thousands_of_given_names_and_masked_secrets_get_replacements_of_their_o
     out = {r.doc_id: r.text for r in surrogates.replace_entities(documents(spark, texts)).collect()}
     assert len(set(out.values())) == 11 and not set(out.values()) & {t for _, t in texts}
     assert out[10] == f"{out[1]} and {out[2]}"
+
+
+# Long texts in linear time
+
+
+def seconds(function):
+    import time
+
+    started = time.process_time()
+    function()
+    return time.process_time() - started
+
+
+def test_long_runs_and_many_addresses_are_read_once():
+    base64 = "Gz3" * 350_000
+    assert [(e.kind, e.normal) for e in surrogates.detect(f"{base64} jo@mail.example.org {base64}")] == [("email", "jo@mail.example.org")]
+    assert seconds(lambda: surrogates.detect(f"{base64}@{base64} me@x.org")) < 5
+    many = " ".join(f"user{k}@mail{k}.org" for k in range(200_000))
+    found = []
+    assert seconds(lambda: found.extend(surrogates.detect(many))) < 20
+    assert len(found) == 200_000
+
+
+@given(st.text("ab.-@_1", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_addresses_match_the_plain_pattern(text):
+    plain = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+    assert list(surrogates._addresses(text)) == [m.span() for m in plain.finditer(text)]
+
+
+def test_stray_tags_are_read_once():
+    n = 100_000
+    for page in ("<span>" * n + "</x>" * n, "<div><i>" + "<b>" * n + "</i>" * n, "<span>" * n + "<div></div>" * n, "<u><div>" + "<i>" * n + "</u>" * n,
+                 "<li>" * n + "</p>" * n):
+        assert seconds(lambda: html_text.main_text(f"<article><p>kept words, more of them</p>{page}</article>")) < 20

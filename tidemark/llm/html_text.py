@@ -59,11 +59,14 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.attributes = ["html"], [-1], [{}]
         self.events: list[tuple[int, int, str]] = []  # (kind, element, text): 0 opens, 1 closes, 2 text, 3 a break
+        # Places on the stack of open elements, by name and of blocks: no tag walks the stack.
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks: list[int] = []
         self._read(html)
 
     def _open(self, name: str, attributes: dict, stack: list[int]) -> None:
         self._end_implied(name, stack)
-        if name in ("html", "body") and any(self.tag[e] == name for e in stack):
+        if name in ("html", "body") and self.places.get(name):
             self.attributes[stack[0]] |= attributes if name == "html" else {}
             return
         element = len(self.tag)
@@ -74,8 +77,15 @@ class Page:
         if name in VOID:
             self.events.append((1, element, ""))
         else:
+            self.places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                self.blocks.append(len(stack))
             stack.append(element)
 
+    def _innermost(self, names) -> int:
+        """Place of the innermost open element with one of the names; 0 without one (the root does not count)."""
+        return max((places[-1] for name in names if (places := self.places.get(name))), default=0)
+
     def _end_implied(self, name: str, stack: list[int]) -> None:
         if name in _ENDS_P:
             self._close_to(stack, {"p"}, _P_SCOPE)
@@ -85,17 +95,16 @@ class Page:
             self._pop(stack, len(stack) - 1)
 
     def _close_to(self, stack: list[int], names: set[str], scope) -> None:
-        for at in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[at]]
-            if tag in names:
-                self._pop(stack, at)
-                return
-            if tag in scope:
-                return
+        at = self._innermost(names)
+        if at and at >= self._innermost(scope):
+            self._pop(stack, at)
 
     def _pop(self, stack: list[int], to: int) -> None:
         for element in reversed(stack[to:]):
             self.events.append((1, element, ""))
+            self.places[self.tag[element]].pop()
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
         del stack[to:]
 
     def _read(self, html: str) -> None:
@@ -137,15 +146,13 @@ class Page:
             at = end + 1
             name = found[0].lower()
             if closing:
-                if name == "br" or name == "p" and not any(self.tag[e] == "p" for e in stack):
+                if name == "br" or name == "p" and not self.places.get("p"):
                     self.events.append((3, stack[-1], ""))
                     continue
-                for place in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[place]] == name:
-                        self._pop(stack, place)
-                        break
-                    if self.tag[stack[place]] in BLOCK and name not in BLOCK:
-                        break  # a stray end of an inline element does not end blocks
+                place = self._innermost((name,))
+                # A stray end of an inline element does not end blocks.
+                if place and (name in BLOCK or not self.blocks or self.blocks[-1] <= place):
+                    self._pop(stack, place)
                 continue
             if name == "br":
                 self.events.append((3, stack[-1], ""))

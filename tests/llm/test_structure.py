@@ -78,7 +78,6 @@ def test_near_duplicates_match_brute_force(spark, sizes):
 
 def test_crowded_lists_are_met_in_cells(spark, monkeypatch):
     """One template with fillings: a few hundred texts share lists without being one class."""
-    monkeypatch.setattr(bottomk, "SHORT", 4)
     monkeypatch.setattr(bottomk, "BLOCK", 16)
     rng = random.Random(8)
     template = [f"t{k}" for k in range(60)]

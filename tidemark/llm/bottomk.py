@@ -6,9 +6,12 @@ other in hash order: two sets within the similarity share such a run (see ``runs
 a pair of frequent words, is shared by strangers.  Pairs from a list pass three steps: overlaps of the lists,
 the estimate from the union of both sketches, and the exact comparison of the full sets.
 
-A list may hold a third of all nodes, so its pairs are not listed.  First every member meets the list's
-smallest node only.  Whoever is then still in different components of one list is compared: in short lists
-pair by pair, in long ones block against block inside tasks that hand on only what passes the overlap bound.
+A list may hold a third of all nodes, so its pairs are never listed.  First every member meets the list's
+smallest node only; what the estimate lets through is a *kinship*, what the exact comparison confirms a link.
+Lists whose members are still of different kin are compared inside tasks, block against block of sketches, and
+hand on a spanning forest of kinships.  Then a family (all that kinships connect) holds both ends of every
+link; where links do not connect it yet, its full sets are compared in the same way, block against block, and
+hand on a spanning forest of links.  No step makes a row per pair of a group.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from tidemark.llm.common import membership, only_members, row_key, stored, text_
 from tidemark.llm.components import components
 
 K = 64
-SHORT = 32  # members of a list whose pairs are listed
-BLOCK = 256
+BLOCK = 256  # nodes per side of a comparison
+COLUMNS = 16384  # values per step of a comparison
 SHARE = 80  # percent of the union
 #: Values of the union's K smallest that both sets have, at least, when 80 percent of the union are shared:
 #: a binomial number of 64 draws falls below 26 with a chance under 1e-11.
@@ -83,28 +86,23 @@ def runs(nodes: DataFrame) -> DataFrame:
     return usual.unionByName(small)
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _kin(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes (u, v) whose names are paired and that the union sketch does not rule out."""
     for side in "uv":
         own = nodes.select(F.col("name").alias(f"name_{side}"), F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.withColumnRenamed(side, f"name_{side}").join(own, f"name_{side}")
-    sizes = pairs.where(f"100 * least(n_u, n_v) >= {SHARE} * greatest(n_u, n_v)")
-    union = sizes.withColumn("both", F.array_intersect("sketch_u", "sketch_v")).withColumn("any", F.array_union("sketch_u", "sketch_v"))
+    pairs = pairs.where(f"100 * least(n_u, n_v) >= {SHARE} * greatest(n_u, n_v)")
+    shared, union = F.array_intersect("sketch_u", "sketch_v"), F.sort_array(F.array_union("sketch_u", "sketch_v"))
+    # Sketches that are whole sets are compared as such; else the shared ones among the union's K smallest count.
     whole = (F.col("n_u") <= K) & (F.col("n_v") <= K)
-    exact = 100 * F.size("both") >= SHARE * F.size("any")
-    # The K-th smallest value of the union bounds which of the shared ones count.
-    bound = F.element_at(F.array_sort("any"), K)
-    counted = F.size(F.filter("both", lambda x: x <= F.col("bound")))
-    judged = union.withColumn("bound", F.when(~whole, bound))
-    return judged.where(F.when(whole, exact).otherwise(counted >= LEAST)).select("u", "v")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Pairs (u, v) whose full sets share enough; the sets are made anew for the nodes that occur."""
-    close = stored(_estimated(pairs, nodes), "close")
-    wanted = close.select("u").union(close.select("v")).distinct().withColumnRenamed("u", "node")
-    wanted = stored(nodes.join(wanted, "node").select("node", "row.row_a", "row.row_b"), "wanted")
+    counted = F.size(F.array_intersect(F.slice(union, 1, K), shared))
+    return pairs.where(F.when(whole, 100 * F.size(shared) >= SHARE * F.size(union)).otherwise(counted >= LEAST)).select("u", "v")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, hashes): the full sets of the nodes in ``wanted`` (node, row_a, row_b), made anew from one text each."""
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").cast("binary").alias("text"))
+    wanted = stored(wanted, "wanted")
     sieve = only_members(membership(wanted, "row_a"), 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,67 +111,119 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(sets)], names=["row_a", "row_b", "hashes"])
 
     hashed = rows.mapInArrow(scan, "row_a long, row_b long, hashes array<long>")
-    sets = stored(hashed.join(wanted, ["row_a", "row_b"]).select("node", "hashes").dropDuplicates(["node"]), "sets")
+    return stored(hashed.join(wanted, ["row_a", "row_b"]).select("node", "hashes").dropDuplicates(["node"]), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose full sets share enough."""
     for side in "uv":
-        close = close.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"set_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"set_{side}")), side)
     shared = F.size(F.array_intersect("set_u", "set_v"))
-    met = close.select("u", "v", shared.alias("shared"), (F.size("set_u") + F.size("set_v")).alias("total"))
-    return stored(met.where(f"100 * shared >= {SHARE} * (total - shared)").select("u", "v"), "links")
-
-
-def _close_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in cells (key, i, j) of at most two blocks whose overlap may be enough."""
-    cell, held = None, []
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[:7]]
-        lists = batch.column(7)
-        for at, (key, i, j, block, name, part, n) in enumerate(zip(*columns)):
-            if (key, i, j) != cell:
-                if held:
-                    yield _cell_pairs(cell, held)
-                cell, held = (key, i, j), []
-            held.append((block, name, part, n, lists[at].values.to_numpy()))
-    if held:
-        yield _cell_pairs(cell, held)
-
-
-def _cell_pairs(cell: tuple, rows: list[tuple]) -> pa.RecordBatch:
-    blocks, names, parts, counts, kept = zip(*rows)
+    met = pairs.select("u", "v", shared.alias("shared"), (F.size("set_u") + F.size("set_v")).alias("total"))
+    return met.where(f"100 * shared >= {SHARE} * (total - shared)").select("u", "v")
+
+
+def _overlaps(kept: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of some lists of distinct values share, some thousand values at a time."""
     values, place = np.unique(np.concatenate(kept), return_inverse=True)
-    who = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+    who = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
     often = np.bincount(place, minlength=len(values)) > 1
-    column = np.cumsum(often) - 1
-    has = np.zeros((len(rows), int(often.sum())), np.float32)
-    has[who[often[place]], column[place[often[place]]]] = 1
-    overlap = has @ has.T
-    sizes, n = np.array([len(k) for k in kept]), np.array(counts)
-    need = np.minimum(np.ceil(SHARE * np.maximum(sizes[:, None], sizes[None]) / 100), LEAST)
-    numbers = {p: k for k, p in enumerate(dict.fromkeys(parts))}
-    part, block = np.array([numbers[p] for p in parts]), np.array(blocks)
-    close = (overlap >= need) & (part[:, None] != part[None]) & (100 * np.minimum(n[:, None], n[None]) >= SHARE * np.maximum(n[:, None], n[None]))
-    if cell[1] != cell[2]:  # pairs inside one block are met in that block's own cell
-        close &= block[:, None] != block[None]
-    u, v = np.nonzero(np.triu(close, 1))
-    return pa.RecordBatch.from_arrays([pa.array([names[k] for k in side], pa.int64()) for side in (u, v)], names=["u", "v"])
-
-
-def _across(listed: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of names (u, v) of list members that are not in one component yet."""
-    named = nodes.join(parts, "node", "left").select("name", F.coalesce("component", "node").alias("part"))
-    placed = stored(listed.where("n > 2").join(named, "name").select("key", "name", "pivot", "part"), "placed")
-    open_lists = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
-    left = stored(placed.join(open_lists, "key"), "open")
-    short = left.where(F.col("n") <= SHORT).where("name <> pivot").select("key", "name", "part")
-    mate = short.select("key", F.col("name").alias("mate"), F.col("part").alias("mate_part"))
-    pairs = short.join(mate, "key").where("name < mate and part <> mate_part").select(F.col("name").alias("u"), F.col("mate").alias("v"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = left.where(F.col("n") > SHORT).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = dealt.join(nodes.select("name", "n_shingles", "sketch"), "name").select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "part", "n_shingles", "sketch")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    far = cells.mapInArrow(_close_in_cells, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return pairs.unionByName(far).distinct()
+    column = (np.cumsum(often) - 1)[place]
+    mine = often[place]
+    who, column = who[mine], column[mine]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    out = np.zeros((len(kept), len(kept)), np.float32)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(kept), min(COLUMNS, int(often.sum()) - low)), np.float32)
+        has[who[a:b], column[a:b] - low] = 1
+        out += has @ has.T
+    return out
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (place, smallest place of its part) that connect what a symmetric table of neighbours connects."""
+    n = len(near)
+    label = np.arange(n)
+    near = near | np.eye(n, dtype=bool)
+    while True:
+        smaller = np.where(near, label[None, :], n).min(axis=1)
+        smaller = smaller[smaller]
+        if np.array_equal(smaller, label):
+            break
+        label = smaller
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
+def _compared(enough: str, kind: str):
+    """Compare rows (group, i, j, block, name, part, n, values) sorted by their cell (group, i, j) of two blocks at most.
+
+    Hands on a spanning forest (u, v) of the names whose values overlap ``enough``: for a kinship or for a link.
+    What is of one part already is neighbours.
+    """
+
+    def close(rows: list[tuple]) -> tuple[list, list]:
+        names, parts, counts, kept = zip(*rows)
+        numbers = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+        if len(numbers) == 1:
+            return [], []
+        part, n = np.array([numbers[p] for p in parts]), np.array(counts, np.float64)
+        shared = _overlaps(list(kept))
+        if enough == "kinship":
+            sizes = np.array([len(k) for k in kept])
+            need = np.minimum(np.ceil(SHARE * np.maximum(sizes[:, None], sizes[None]) / 100), LEAST)
+            near = (shared >= need) & (100 * np.minimum(n[:, None], n[None]) >= SHARE * np.maximum(n[:, None], n[None]))
+        else:
+            near = 100.0 * shared >= SHARE * (n[:, None] + n[None] - shared)
+        if not (near & (part[:, None] != part[None])).any():
+            return [], []
+        u, v = spanning(near | (part[:, None] == part[None]))
+        return [names[k] for k in u], [names[k] for k in v]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, u, v = None, [], [], []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6)]
+            values, ends = batch.column(7).flatten().to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
+            ends = ends - ends[0]
+            for at, (group, i, j, name, part, n) in enumerate(zip(*columns)):
+                if (group, i, j) != cell:
+                    if len(held) > 1:
+                        more = close(held)
+                        u += more[0]
+                        v += more[1]
+                    cell, held = (group, i, j), []
+                held.append((name, part, n, values[ends[at]:ends[at + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(side, arrow) for side in (u, v)], names=["u", "v"])
+            u, v = [], []
+        if len(held) > 1:
+            more = close(held)
+            yield pa.RecordBatch.from_arrays([pa.array(side, arrow) for side in more], names=["u", "v"])
+
+    arrow = {"long": pa.int64(), "binary": pa.binary()}[kind]
+    return run
+
+
+def _cells(members: DataFrame, values: DataFrame, group: str, name: str, enough: str, kind: str) -> DataFrame:
+    """Forest edges (u, v) over the members (``group``, ``name``, part, n_group) of each group with several parts."""
+    crowd = members.groupBy(group, "part").agg(F.count("*").alias("n_part"))
+    # Members of a part go to the same blocks, so that few cells hold several parts.
+    blocks, halls = F.ceil(F.col("n_group") / BLOCK).cast("int"), F.ceil(F.col("n_part") / BLOCK)
+    dealt = members.join(stored(crowd, "crowd"), [group, "part"]).withColumn("blocks", blocks)
+    place = F.xxhash64("part") % 1_000_000 + F.pmod(F.xxhash64(name), halls.cast("long"))
+    dealt = dealt.withColumn("block", F.pmod(place, F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = dealt.join(values, name).select(
+        F.col(group).alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col(name).alias("name"), "part", "n", "values")
+    cells = cells.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return cells.mapInArrow(_compared(enough, kind), f"u {kind}, v {kind}").distinct()
+
+
+def _several(members: DataFrame, group: str) -> DataFrame:
+    """The members of groups with more than one part, with the size of their group; stored for the comparisons."""
+    open_groups = members.groupBy(group).agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n_group")).where("a <> b").select(group, "n_group")
+    return stored(members.join(stored(open_groups, "open"), group), "members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
@@ -196,10 +246,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = met.groupBy("key").agg(F.min("name").alias("pivot"))
     listed = stored(met.join(pivots, "key"), "listed")
     star = listed.where("name <> pivot").select(F.col("name").alias("u"), F.col("pivot").alias("v")).distinct()
-    first = _verified(star, nodes, docs, id_col, text_col, size)
-    parts = stored(components(first), "parts")
-    second = _verified(_across(listed, parts, nodes), nodes, docs, id_col, text_col, size)
-    parts = components(first.unionByName(second))
+    kin = stored(_kin(star, nodes), "kin")
+    ends = kin.select(F.col("u").alias("node")).union(kin.select("v")).distinct()
+    sets = _full_sets(docs, nodes.join(ends, "node").select("node", "row.row_a", "row.row_b"), id_col, text_col, size)
+    links = stored(_links(kin, sets), "links")
+
+    # Kinships that the pivots did not show.
+    named = nodes.join(components(kin), "node", "left").select("name", F.coalesce("component", "node").alias("part"))
+    members = _several(listed.where("n > 2").select("key", "name").join(stored(named, "families"), "name"), "key")
+    sketched = nodes.select("name", F.col("n_shingles").alias("n"), F.col("sketch").alias("values"))
+    more = stored(_cells(members, sketched, "key", "name", "kinship", "long"), "more")
+    for side in "uv":
+        more = more.withColumnRenamed(side, "name").join(nodes.select("name", F.col("node").alias(side)), "name").drop("name")
+
+    # Links inside of families that the links to the pivots do not connect.
+    family = components(kin.unionByName(more)).select("node", F.col("component").alias("family"))
+    members = family.join(components(links), "node", "left").select("family", "node", F.coalesce("component", "node").alias("part"))
+    members = _several(members, "family")
+    sets = _full_sets(docs, nodes.join(members.select("node").distinct(), "node").select("node", "row.row_a", "row.row_b"), id_col, text_col, size)
+    full = sets.select("node", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("values"))
+    rest = stored(_cells(members, full, "family", "node", "link", "binary"), "rest")
+    parts = components(links.unionByName(rest))
     classes = stored(nodes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "classes")
     smallest = stored(classes.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     named = stored(classes.join(smallest, "component").select("node", "component_id"), "named")

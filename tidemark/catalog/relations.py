@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.catalog.bitemporal import digest_sql, framed_sql
 from tidemark.catalog.statistics import rounded
+from tidemark.functions.digests import segment_digest, table_digest
 from tidemark.operators import day_tables, graph_audit, ingest, labels, relations
-from tidemark.plans.intervals import days_of
+from tidemark.plans import segments
+from tidemark.plans.segments import EXACT
 from tidemark.session import cut_lineage
 from tidemark.sources.sinks import scratch_folder
 
 FIRST = LAST = None  # windows end by themselves, so the days come from the facts
-WINDOW = 14
-SHORT = 4
+WINDOW = 90
+SHORT = 4  # of the two-hop reach only
 OUTCOMES = {"walks": ["NO"], "strikes": ["AF"]}
 CLASSES = ["RF", "RO", "AF", "AO", "NF", "NO"]
 ROUTES = [
@@ -71,6 +73,10 @@ def edges_sql(window):
       greatest(0, max(available_s) - max(event_s)) AS publication_delay FROM routed GROUP BY 1, 2, 3, 4)"""
 
 
+def edge_segments(t, window=WINDOW):
+    return relations.relation_segments(fact_history(t, window), ROUTES)
+
+
 def edges(t, window=WINDOW):
     return relations.relation_edges(fact_history(t, window), ROUTES, FIRST, LAST, window)
 
@@ -83,13 +89,11 @@ DAY = "strftime(day, '%Y-%m-%d') AS day"
 
 
 @query("g10_relation_edges", f"""
-    WITH {edges_sql(WINDOW)} SELECT {DAY}, route, count(*) AS edges, CAST(sum(facts) AS BIGINT) AS facts, {', '.join(f'round(sum({c}), 9) AS {c}' for c in relations.EDGE_FEATURES)},
+    WITH {edges_sql(WINDOW)} SELECT {DAY}, route, count(*) AS edges, CAST(sum(facts) AS BIGINT) AS facts, {', '.join(f'round(fsum({c}), 9) AS {c}' for c in relations.EDGE_FEATURES)},
       CAST(sum(event_age) AS DOUBLE) AS event_age, CAST(sum(publication_delay) AS DOUBLE) AS publication_delay FROM edges GROUP BY day, route""", ("facts",))
 def _(t):
-    rows = edges(t).groupBy("day", "route").agg(
-        F.count("*").alias("edges"), F.sum("facts").cast("bigint").alias("facts"), *[F.round(F.sum(c), 9).alias(c) for c in relations.EDGE_FEATURES],
-        F.sum("event_age").alias("event_age"), F.sum("publication_delay").alias("publication_delay"))
-    return day_text(rows)
+    totals = relations.edge_totals(edge_segments(t), ["route"], relations.EDGE_FEATURES[:-1], WINDOW)
+    return rounded(day_text(totals), 9, *relations.EDGE_FEATURES)
 
 
 def role_sql(role, column):
@@ -105,16 +109,20 @@ NODES_SQL = f"""{fact_history_sql(WINDOW)}, {role_sql('acting', 'member')}, {rol
       LEFT JOIN acting ON acting.day = e.day AND acting.entity = e.entity LEFT JOIN receiving ON receiving.day = e.day AND receiving.entity = e.entity)"""
 
 
-def nodes(t, window=WINDOW):
-    return relations.entity_nodes(fact_history(t, window), {"acting": "member", "receiving": "counterpart"}, entity_queries(t), FIRST, LAST, window)
+ROLES = {"acting": "member", "receiving": "counterpart"}
+
+
+def node_segments(t, window=WINDOW):
+    return relations.entity_segments(fact_history(t, window), ROLES, entity_queries(t))
 
 
 NODE_COLUMNS = [f"{r}_{c}" for r in ("acting", "receiving") for c in relations.ROLE_FEATURES]
 
 
-@query("g11_entity_nodes", f"WITH {NODES_SQL} SELECT {DAY}, count(*) AS entities, {', '.join(f'round(sum({c}), 9) AS {c}' for c in NODE_COLUMNS)} FROM nodes GROUP BY day", ("facts",))
+@query("g11_entity_nodes", f"WITH {NODES_SQL} SELECT {DAY}, count(*) AS entities, {', '.join(f'round(fsum({c}), 9) AS {c}' for c in NODE_COLUMNS)} FROM nodes GROUP BY day", ("facts",))
 def _(t):
-    return day_text(nodes(t).groupBy("day").agg(F.count("*").alias("entities"), *[F.round(F.sum(c), 9).alias(c) for c in NODE_COLUMNS]))
+    t.keep("facts")
+    return rounded(day_text(relations.entity_totals(node_segments(t), list(ROLES), WINDOW)), 9, *NODE_COLUMNS)
 
 
 @query("g12_side_nodes", f"""
@@ -325,40 +333,62 @@ def _(t):
 @query("g19_game_nodes", f"""
     WITH {game_history_sql(WINDOW)}, n AS (SELECT day, group_id, 0e0 AS is_current, 1e0 AS is_historical, least((epoch(day) - event_s) / 86400e0 / 90, 1) AS age, (group_id % 24) * 3600 / 86400e0 AS start_fraction FROM gdays
       UNION ALL SELECT CAST(event_day AS TIMESTAMP), group_id, 1e0, 0e0, 0e0, (group_id % 24) * 3600 / 86400e0 FROM gh)
-    SELECT {DAY}, group_id, is_current, is_historical, round(age, 9) AS age, round(start_fraction, 9) AS start_fraction FROM n""", ("games",))
+    SELECT {DAY}, is_current, is_historical, count(*) AS games, CAST(sum(group_id) AS BIGINT) AS group_ids, round(fsum(age), 9) AS age, round(fsum(start_fraction), 9) AS start_fraction FROM n GROUP BY day, is_current, is_historical""", ("games",))
 def _(t):
-    return rounded(day_text(relations.game_nodes(game_history(t), FIRST, LAST, 90)), 9, "age", "start_fraction")
+    rows = relations.game_nodes(game_history(t), FIRST, LAST, 90).groupBy("day", "is_current", "is_historical").agg(
+        F.count("*").alias("games"), F.sum("group_id").alias("group_ids"), *[F.sum(F.col(c).cast(EXACT)).cast("double").alias(c) for c in ("age", "start_fraction")])
+    return rounded(day_text(rows), 9, "age", "start_fraction")
 
 
 @query("g20_side_group_edges", f"""
     WITH {game_history_sql(WINDOW)}, g AS (SELECT day, group_id, home_id, away_id, 0e0 AS c, epoch(day) - event_s AS age, greatest(0, available_s - event_s) AS delay FROM gdays UNION ALL SELECT CAST(event_day AS TIMESTAMP), group_id, home_id, away_id, 1e0, 0, 0 FROM gh),
     e AS (SELECT day, home_id AS source, group_id AS destination, c, 1e0 AS h, age, delay FROM g UNION ALL SELECT day, away_id, group_id, c, 0e0, age, delay FROM g)
-    SELECT {DAY}, CAST(source AS VARCHAR) AS source, CAST(destination AS VARCHAR) AS destination, c AS is_current, h AS is_home, 1 - h AS is_away, 1 - c AS is_historical, CAST(age AS DOUBLE) AS event_age, CAST(delay AS DOUBLE) AS publication_delay FROM e""", ("games",))
+    SELECT {DAY}, CAST(source AS VARCHAR) AS source, c AS is_current, h AS is_home, 1 - h AS is_away, 1 - c AS is_historical, count(*) AS edges, CAST(sum(destination) AS BIGINT) AS destinations, CAST(sum(age) AS DOUBLE) AS event_age,
+      CAST(sum(delay) AS DOUBLE) AS publication_delay FROM e GROUP BY day, source, c, h""", ("games",))
 def _(t):
-    return day_text(relations.side_group_edges(game_history(t), FIRST, LAST)).drop("route", "weight")
+    rows = relations.side_group_edges(game_history(t), FIRST, LAST)
+    return day_text(rows.groupBy("day", "source", "is_current", "is_home", "is_away", "is_historical").agg(
+        F.count("*").alias("edges"), F.sum(F.col("destination").cast("bigint")).alias("destinations"), F.sum("event_age").alias("event_age"), F.sum("publication_delay").alias("publication_delay")))
 
 
 @query("g21_member_group_edges", f"""
     WITH {fact_history_sql(WINDOW)}, r AS (SELECT *, 'member_group' AS route, member AS source FROM fdays UNION ALL SELECT *, 'counterpart_group', counterpart FROM fdays),
     e AS (SELECT day, route, source, group_id, count(*) AS facts, ln(1 + count(*)) / ln(101) AS count_log, epoch(day) - max(event_s) AS event_age, greatest(0, max(available_s) - max(event_s)) AS publication_delay FROM r GROUP BY day, route, source, group_id)
-    SELECT {DAY}, route, count(*) AS edges, CAST(sum(facts) AS BIGINT) AS facts, round(sum(count_log), 6) AS count_log, CAST(sum(event_age) AS DOUBLE) AS event_age, CAST(sum(publication_delay) AS DOUBLE) AS publication_delay FROM e GROUP BY day, route""", ("facts",))
+    SELECT {DAY}, route, count(*) AS edges, CAST(sum(facts) AS BIGINT) AS facts, round(fsum(count_log), 6) AS count_log, CAST(sum(event_age) AS DOUBLE) AS event_age, CAST(sum(publication_delay) AS DOUBLE) AS publication_delay FROM e GROUP BY day, route""", ("facts",))
 def _(t):
     routes = [relations.Route("member_group", "member", "group_id", "entity", "group"), relations.Route("counterpart_group", "counterpart", "group_id", "entity", "group")]
-    rows = relations.relation_edges(fact_history(t), routes, FIRST, LAST, WINDOW)
-    return day_text(rows.groupBy("day", "route").agg(
-        F.count("*").alias("edges"), F.sum("facts").cast("bigint").alias("facts"), F.round(F.sum("count_log"), 6).alias("count_log"), F.sum("event_age").alias("event_age"), F.sum("publication_delay").alias("publication_delay")))
+    rows = relations.edge_totals(relations.relation_segments(fact_history(t), routes), ["route"], ["count_log"], WINDOW)
+    return rounded(day_text(rows.drop("recency")), 6, "count_log")
+
 
+CONTEXT = {"period": F.col("counterpart_id") % 9 / F.lit(12.0), "outs": F.col("counterpart_id") % 3 / F.lit(2.0)}
 
-CONTEXT_SUMS = ("facts", "attempts", "successes", "units", "walks", "strikes", "fours", "period", "outs", "event_age", "publication_delay")
+
+def fact_store(t):
+    """All facts ever known, from their entry on; no window and no end."""
+    return relations.fact_segments(fact_history(t, None), "member", "counterpart", CONTEXT)
 
 
 @query("g22_raw_fact_edges", f"""
-    WITH {fact_history_sql(WINDOW)} SELECT {DAY}, count(*) AS edges, CAST(sum(facts) AS DOUBLE) AS facts, sum(attempts) AS attempts, sum(successes) AS successes, sum(units) / 4 AS units, sum(walks) AS walks, sum(strikes) AS strikes, sum(fours) AS fours,
-      round(sum(counterpart_id % 9 / 12e0), 6) AS period, sum(counterpart_id % 3 / 2e0) AS outs, CAST(sum(epoch(day) - event_s) AS DOUBLE) AS event_age, CAST(sum(greatest(0, available_s - event_s)) AS DOUBLE) AS publication_delay FROM fdays GROUP BY day""", ("facts",))
+    WITH {fact_history_sql(None).split(', fdays AS')[0].rstrip(',').strip()}, ds AS (SELECT unnest(generate_series((SELECT min(active_from) FROM fh), (SELECT max(active_from) FROM fh), INTERVAL 1 DAY)) AS day)
+    SELECT {DAY}, count(*) AS edges, CAST(sum(facts) AS DOUBLE) AS facts, sum(attempts) AS attempts, sum(successes) AS successes, sum(units) / 4 AS units, sum(walks) AS walks, sum(strikes) AS strikes, sum(fours) AS fours,
+      round(fsum(counterpart_id % 9 / 12e0), 6) AS period, sum(counterpart_id % 3 / 2e0) AS outs, CAST(sum(epoch(day) - event_s) AS DOUBLE) AS event_age, CAST(sum(greatest(0, available_s - event_s)) AS DOUBLE) AS publication_delay
+    FROM ds JOIN fh ON active_from <= day GROUP BY day""", ("facts",))
+def _(t):
+    store = cut_lineage(fact_store(t))
+    last = store.agg(F.max("from_day")).first()[0]
+    return rounded(day_text(relations.fact_totals(store, list(CONTEXT), F.lit(last))), 6, "period")
+
+
+@query("g22_fact_edges_of_a_day", f"""
+    WITH {fact_history_sql(None).split(', fdays AS')[0].rstrip(',').strip()}, d AS (SELECT TIMESTAMP '1995-03-09 00:00:00' AS day)
+    SELECT {DAY}, member AS source, counterpart AS destination, fact_id, attempts, successes, units / 4 AS units, round(counterpart_id % 9 / 12e0, 9) AS period, counterpart_id % 3 / 2e0 AS outs, CAST(epoch(day) - event_s AS DOUBLE) AS event_age,
+      CAST(greatest(0, available_s - event_s) AS DOUBLE) AS publication_delay FROM fh, d WHERE active_from <= CAST(day AS DATE)""", ("facts",))
 def _(t):
-    context = {"period": F.col("counterpart_id") % 9 / F.lit(12.0), "outs": F.col("counterpart_id") % 3 / F.lit(2.0)}
-    rows = relations.fact_edges(fact_history(t), "member", "counterpart", context, FIRST, LAST)
-    return rounded(day_text(rows.groupBy("day").agg(F.count("*").alias("edges"), *[F.sum(c).alias(c) for c in CONTEXT_SUMS])), 6, "period")
+    folder = scratch_folder(t.spark, "fact-segments")
+    segments.write_segments(fact_store(t), folder)
+    rows = relations.fact_edges(segments.segments_on(t.spark.read.parquet(folder), "1995-03-09"), list(CONTEXT))
+    return rounded(day_text(rows), 9, "period").select("day", "source", "destination", "fact_id", "attempts", "successes", "units", "period", "outs", "event_age", "publication_delay")
 
 
 @query("g23_temporal_features", """
@@ -370,27 +400,51 @@ def _(t):
     return timed.select("event_id", F.round("event_age", 3).alias("event_age"), F.round("publication_delay", 3).alias("publication_delay"), "weight")
 
 
-EDGE_KEYS = ("day", "route", "source", "destination", "facts")
-EDGE_HEADER = "day:date,route:string,source:string,destination:string,facts:bigint"
+EDGE_KEYS = ("route", "source", "destination", "facts")
+EDGE_HEADER = "route:string,source:string,destination:string,facts:bigint"
 GAME_KEYS = ("day", "group_id", "home_id", "away_id", "target")
 GAME_HEADER = "day:date,group_id:bigint,home_id:int,away_id:int,target:int"
 
 
-def dated_edges(t, window):
-    return edges(t, window).withColumn("facts", F.col("facts").cast("bigint"))
-
-
-def build(t):
-    return day_tables.DayTables({"edges": dated_edges(t, SHORT), "matches": labels.match_queries(t.games)})
+def counted_segments(t, window=WINDOW):
+    return edge_segments(t, window).withColumn("facts", F.col("facts").cast("bigint"))
 
 
 @query("g24_build_day_tables", f"""
-    WITH {edges_sql(SHORT)}, dated AS (SELECT * REPLACE (CAST(day AS DATE) AS day) FROM edges), m AS (SELECT *, CASE WHEN home_score > away_score THEN 2 WHEN home_score = away_score THEN 1 ELSE 0 END AS target FROM games),
+    WITH {edges_sql(WINDOW)}, dated AS (SELECT * REPLACE (CAST(day AS DATE) AS day) FROM edges), m AS (SELECT *, CASE WHEN home_score > away_score THEN 2 WHEN home_score = away_score THEN 1 ELSE 0 END AS target FROM games),
     a AS ({digest_sql('dated', EDGE_KEYS, EDGE_HEADER, 'day')}), b AS ({digest_sql('m', GAME_KEYS, GAME_HEADER, 'day')}),
-    j AS (SELECT coalesce(a.day, b.day) AS day, coalesce(a.row_count, 0) AS edges_rows, coalesce(b.row_count, 0) AS matches_rows, 'window=4' AS settings, a.content_sha256 AS x, b.content_sha256 AS y FROM a FULL JOIN b ON a.day = b.day)
+    j AS (SELECT coalesce(a.day, b.day) AS day, coalesce(a.row_count, 0) AS edges_rows, coalesce(b.row_count, 0) AS matches_rows, 'window=90' AS settings, a.content_sha256 AS x, b.content_sha256 AS y FROM a FULL JOIN b ON a.day = b.day)
     SELECT {DAY}, edges_rows, matches_rows, sha256({framed_sql('settings', 'x', 'y')}) AS fingerprint FROM j""", ("facts", "games"))
 def _(t):
-    return day_text(build(t).fingerprints({"edges": EDGE_KEYS, "matches": GAME_KEYS}, "window=4"))
+    prints = {"edges": segment_digest(counted_segments(t), EDGE_KEYS), "matches": table_digest(labels.match_queries(t.games), GAME_KEYS, by=["day"])}
+    return day_text(day_tables.day_fingerprints(prints, "window=90"))
+
+
+CORRECTED = "group_id % 500 = 1 AND outcome = 'AF'"
+
+
+@query("g24_rebuilt_days", f"""
+    WITH {fact_history_sql(WINDOW)}, hit AS (SELECT DISTINCT day FROM fdays WHERE {CORRECTED}), now AS (SELECT * REPLACE (CASE WHEN {CORRECTED} THEN strikes + 1 ELSE strikes END AS strikes) FROM fdays WHERE day IN (SELECT day FROM hit))
+    SELECT {DAY}, count(*) AS edges, CAST(sum(facts) AS BIGINT) AS facts, CAST(sum(strikes) AS BIGINT) AS strikes FROM (
+      SELECT day, member, counterpart, count(*) AS facts, sum(strikes) AS strikes FROM now GROUP BY ALL) GROUP BY day""", ("facts",))
+def _(t):
+    # Two publications: after the second, the folder of it holds the days that a corrected fact was live on, and no other.
+    history, counted = cut_lineage(fact_history(t)), ("fact_id", "member", "counterpart", "strikes")
+    store = day_tables.DayStore(t.spark, scratch_folder(t.spark, "day-store"))
+
+    def publish(facts, keep):
+        def build(days):
+            live = day_tables.live_on(facts, days).where(keep)
+            return segments.segment_days(segments.state_segments(live, ["member", "counterpart"], ["facts", "strikes"])).join(days, "day", "left_semi")
+
+        return store.publish(day_tables.input_fingerprints({"facts": (facts, counted)}, "v1"), {"edges": build})
+
+    publish(history, F.lit(False))  # the first build is not what is asked for here: its days stay empty
+    corrected = history.withColumn("strikes", F.col("strikes") + F.expr(f"IF({CORRECTED}, 1, 0)"))
+    days = publish(corrected, F.lit(True))
+    rows = store.read("edges").join(days, "day", "left_semi").groupBy("day").agg(
+        F.count("*").alias("edges"), F.sum("facts").cast("bigint").alias("facts"), F.sum("strikes").cast("bigint").alias("strikes"))
+    return day_text(rows)
 
 
 @query("g24_changed_days", """
@@ -406,17 +460,13 @@ def _(t):
     SELECT strftime(date_trunc('month', day), '%Y-%m-%d') AS day, count(*) AS games, CAST(sum(CASE WHEN home_score = 9 AND away_score = 5 THEN 8 ELSE home_score END) AS BIGINT) AS home_scores
     FROM games WHERE month(day) <> 7 GROUP BY 1""", ("games",))
 def _(t):
-    # Written, then built again without one month and with other scores; the stored table follows without a rewrite of the rest.
-    columns, folder = {"matches": ("day", "group_id", "home_score")}, scratch_folder(t.spark, "day-tables")
+    # Published, then again without one month and with other scores; the rest is not written anew.
+    columns, store = {"matches": ("day", "group_id", "home_score")}, day_tables.DayStore(t.spark, scratch_folder(t.spark, "day-tables"))
     games = t.games.withColumn("day", F.trunc("day", "month"))  # one folder a month is enough here
-    first = day_tables.DayTables({"matches": games})
-    prints = first.fingerprints(columns, "v1")
-    day_tables.write_changed_days(first, prints.select("day"), folder, prints)
-    later = day_tables.DayTables({"matches": games.where("month(day) <> 7").withColumn("home_score", F.expr("IF(home_score = 9 AND away_score = 5, 8, home_score)"))})
-    again = later.fingerprints(columns, "v1")
-    changed = cut_lineage(day_tables.changed_days(again, t.spark.read.parquet(f"{folder}/fingerprints")))
-    day_tables.write_changed_days(later, changed, folder, again)
-    read = day_tables.read_day_table(t.spark, folder, "matches").groupBy("day").agg(F.count("*").alias("games"), F.sum("home_score").alias("home_scores"))
+    later = games.where("month(day) <> 7").withColumn("home_score", F.expr("IF(home_score = 9 AND away_score = 5, 8, home_score)"))
+    for rows in (games, later):
+        store.publish(day_tables.DayTables({"matches": rows}).fingerprints(columns, "v1"), {"matches": lambda days, rows=rows: rows.join(days, "day", "left_semi")})
+    read = store.read("matches").groupBy("day").agg(F.count("*").alias("games"), F.sum("home_score").alias("home_scores"))
     return day_text(read)
 
 
@@ -437,13 +487,17 @@ def _(t):
     return day_tables.archive_shards(t.facts, day_tables.query_descriptors(t.games), ["fact_id", "group_id", "outcome"])
 
 
-def typed_nodes(t, window):
-    h = fact_history(t, window)
-    live = days_of(h, "active_from", "active_to")
+def typed_segments(t, window):
+    """Nodes with live history or a query, as segments of days."""
     ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("node_type"), F.col(c).cast("string").alias("node_id")) for kind, c in (
         ("entity", "member"), ("entity", "counterpart"), ("side", "side_id"), ("side", "other_side_id"))]))
-    past = live.select("day", ends.alias("n")).select("day", "n.*")
-    return past.unionByName(query_nodes(t).select("day", "node_type", "node_id")).distinct()
+    past = fact_history(t, window).select("active_from", "active_to", ends.alias("n")).select("active_from", "active_to", "n.*")
+    asked = query_nodes(t).select(F.col("day").alias("active_from"), F.date_add("day", 1).alias("active_to"), "node_type", "node_id")
+    return segments.state_segments(past.unionByName(asked), ["node_type", "node_id"], [])
+
+
+def typed_nodes(t, window):
+    return segments.segment_days(typed_segments(t, window)).select("day", "node_type", "node_id")
 
 
 def query_nodes(t):
@@ -460,21 +514,22 @@ def typed_nodes_sql():
 
 
 @query("g26_sample_index", f"""
-    WITH {edges_sql(SHORT)}, {typed_nodes_sql()}, dated AS (SELECT * REPLACE (CAST(day AS DATE) AS day) FROM edges WHERE year(day) <= 1999), p AS ({digest_sql('dated', EDGE_KEYS, EDGE_HEADER, 'day')}),
+    WITH {edges_sql(WINDOW)}, {typed_nodes_sql()}, dated AS (SELECT * REPLACE (CAST(day AS DATE) AS day) FROM edges WHERE year(day) <= 1999), p AS ({digest_sql('dated', EDGE_KEYS, EDGE_HEADER, 'day')}),
     e AS (SELECT day, count(*) AS edge_total, {', '.join(f"count(*) FILTER (WHERE route = '{r.name}') AS edges_{r.name}" for r in ROUTES)} FROM dated GROUP BY day),
     n AS (SELECT CAST(day AS DATE) AS day, count(*) AS node_total, count(*) FILTER (WHERE node_type = 'entity') AS nodes_entity, count(*) FILTER (WHERE node_type = 'side') AS nodes_side FROM tnodes WHERE year(day) <= 1999 GROUP BY 1)
     SELECT strftime(n.day, '%Y-%m-%d') AS day, node_total, nodes_entity, nodes_side, coalesce(edge_total, 0) AS edge_total, {', '.join(f'coalesce(edges_{r.name}, 0) AS edges_{r.name}' for r in ROUTES)}, content_sha256 AS fingerprint
     FROM n LEFT JOIN e ON e.day = n.day LEFT JOIN p ON p.day = n.day""", ("facts",))
 def _(t):
-    index = graph_audit.sample_index(dated_edges(t, SHORT), typed_nodes(t, SHORT), [r.name for r in ROUTES], ["entity", "side"], EDGE_KEYS, year_ceiling=1999)
+    t.keep("facts")
+    index = graph_audit.segment_index(counted_segments(t), typed_segments(t, WINDOW), [r.name for r in ROUTES], ["entity", "side"], EDGE_KEYS, end_day="1999-12-31")
     return day_text(index)
 
 
 @query("g27_route_coverage", f"""
-    WITH {edges_sql(SHORT)} SELECT CAST(year(day) AS INTEGER) AS season, route, count(*) AS stored_edges, count(*) AS unique_edges, count(DISTINCT (source, destination)) AS unique_pairs, CAST(sum(facts) AS BIGINT) AS encoded_events, 0 AS duplicate_edges,
+    WITH {edges_sql(WINDOW)} SELECT CAST(year(day) AS INTEGER) AS season, route, count(*) AS stored_edges, count(*) AS unique_edges, count(DISTINCT (source, destination)) AS unique_pairs, CAST(sum(facts) AS BIGINT) AS encoded_events, 0 AS duplicate_edges,
       round(sum(facts) / count(*), 9) AS events_per_edge FROM edges GROUP BY 1, 2""", ("facts",))
 def _(t):
-    report = graph_audit.route_coverage(edges(t, SHORT), {r.name: r.count_scale for r in ROUTES})
+    report = graph_audit.route_coverage(edge_segments(t), {r.name: r.count_scale for r in ROUTES})
     return rounded(report, 9, "events_per_edge").drop("zero_count_edges").withColumn("duplicate_edges", F.col("duplicate_edges").cast("int"))
 
 
@@ -587,9 +642,9 @@ def _(t):
     return day_text(labels.target_coverage({"match": labels.match_queries(t.games), "member": derived(t), "fact": fact_query_rows(t)}))
 
 
-@query("c15_edge_timing", f"WITH {edges_sql(SHORT)} SELECT CAST(year(day) AS INTEGER) AS season, count(*) AS edges, count(*) FILTER (WHERE event_age <= 0) AS not_past, count(*) FILTER (WHERE publication_delay < 0) AS negative_delay FROM edges GROUP BY 1", ("facts",))
+@query("c15_edge_timing", f"WITH {edges_sql(WINDOW)} SELECT CAST(year(day) AS INTEGER) AS season, count(*) AS edges, count(*) FILTER (WHERE event_age <= 0) AS not_past, count(*) FILTER (WHERE publication_delay < 0) AS negative_delay FROM edges GROUP BY 1", ("facts",))
 def _(t):
-    return graph_audit.timing_audit(edges(t, SHORT))
+    return graph_audit.timing_audit(edge_segments(t))
 
 
 @query("c15_block_coverage", f"""
@@ -597,7 +652,10 @@ def _(t):
     SELECT CAST(year(day) AS INTEGER) AS season, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(acting) AS BIGINT) AS acting_rows, count(*) FILTER (WHERE acting > 0) AS acting_days, CAST(sum(receiving) AS BIGINT) AS receiving_rows,
       count(*) FILTER (WHERE receiving > 0) AS receiving_days FROM d GROUP BY 1""", ("facts",))
 def _(t):
-    return graph_audit.block_coverage(nodes(t), {"acting": ["acting_count_log", "acting_recency"], "receiving": ["receiving_success_rate"]})
+    t.keep("facts")
+    flags = {"acting": (F.col("acting_count_log") > 0).cast("int"), "receiving": (F.col("receiving_success_rate") > 0).cast("int")}
+    daily = relations.entity_totals(node_segments(t), list(ROLES), WINDOW, extra=flags).select("day", F.col("entities").alias("rows"), *[F.col(c).cast("bigint").alias(c) for c in flags])
+    return graph_audit.block_coverage(daily, list(flags))
 
 
 @query("c15_distinct_priors", f"""
@@ -608,7 +666,9 @@ def _(t):
 def _(t):
     t.keep("facts")
     asked = t.facts.select("day", "side_id", F.concat(F.lit("m"), "member_id").alias("member")).distinct()
-    rows = asked.join(nodes(t).select("day", F.col("entity").alias("member"), "acting_count_log", "acting_success_rate"), ["day", "member"])
+    wanted = node_segments(t).join(asked.select(F.col("member").alias("entity")).distinct(), "entity", "left_semi")
+    days = segments.segment_days(wanted.select("from_day", "to_day", F.col("entity").alias("member"), "acting_count_log", "acting_success_rate"))
+    rows = asked.join(days, ["day", "member"])
     return graph_audit.distinct_priors(rows, "side_id", "member", F.col("acting_count_log") > 0, ["acting_count_log", "acting_success_rate"])
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.segments import day_totals
+
 SLICE_STARTS = (1, 16, 31, 46)
 SLICE_LENGTH = 15
 
@@ -60,6 +62,16 @@ def digest_slices(digest: Column) -> list[Column]:
     return [F.conv(F.substring(digest, start, SLICE_LENGTH), 16, 10).cast("bigint") for start in SLICE_STARTS]
 
 
+def _header(df: DataFrame, columns: Sequence[str]) -> str:
+    types = dict(df.dtypes)
+    return ",".join(f"{name}:{types[name]}" for name in columns)
+
+
+def _sealed(sums: DataFrame, by: Sequence[str], header: str) -> DataFrame:
+    parts = [F.lit(header), F.col("row_count").cast("string"), *[F.col(f"__s{i}").cast("decimal(38,0)").cast("string") for i in range(4)]]
+    return sums.select(*by, "row_count", F.sha2(F.concat_ws("|", *parts), 256).alias("content_sha256"))
+
+
 def table_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Row count and one digest per group, independent of row order.
 
@@ -67,8 +79,6 @@ def table_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     aggregation and duplicates count; names and types of the columns are part
     of it.
     """
-    types = dict(df.dtypes)
-    header = ",".join(f"{name}:{types[name]}" for name in columns)
     digest = schema_digest(df, columns)
     rows = df.select(*by, digest.alias("__digest"))
     slices = [s.cast("decimal(20,0)").alias(f"__s{i}") for i, s in enumerate(digest_slices(F.col("__digest")))]
@@ -78,6 +88,15 @@ def table_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
              *[F.coalesce(F.sum(f"__s{i}").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"__s{i}")
                for i in range(4)])
     )
-    parts = [F.lit(header), F.col("row_count").cast("string"),
-             *[F.col(f"__s{i}").cast("string") for i in range(4)]]
-    return sums.select(*by, "row_count", F.sha2(F.concat_ws("|", *parts), 256).alias("content_sha256"))
+    return _sealed(sums, by, _header(df, columns))
+
+
+def segment_digest(segments: DataFrame, columns: Sequence[str], first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:
+    """``table_digest`` by day of the daily table that segments stand for; the day itself is not among the columns.
+
+    Each segment's digest is made once and enters and leaves the running sum.
+    """
+    rows = segments.withColumn("__digest", schema_digest(segments, columns))
+    values = {"row_count": F.lit(1), **{f"__s{i}": s for i, s in enumerate(digest_slices(F.col("__digest")))}}
+    sums = day_totals(rows, [], values, first_day, last_day, exact="decimal(28,0)")
+    return _sealed(sums.withColumn("row_count", F.col("row_count").cast("bigint")), ["day"], _header(segments, columns))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clocks import local_day, local_midnight
-from tidemark.operators.history import rolling_state
 from tidemark.operators.ingest import unpivot_sides
 from tidemark.plans.intervals import days_of, first_midnight_at_or_after
+from tidemark.plans.segments import day_totals, segment_days, state_segments
 
 FACT_VALUES = ("facts", "attempts", "successes", "units", "walks", "strikes", "fours")
 SIDE_VALUES = ("games", "wins", "draws", "scored", "allowed", "diff", "home")
@@ -89,23 +89,51 @@ def temporal_features(df: DataFrame, cutoff: Column, event: str = "event_s", ava
     return df.withColumns(columns)
 
 
-def relation_edges(intervals: DataFrame, routes: Sequence[Route], first_day: Any, last_day: Any, window_days: int,
-                   tz: str = "UTC", reference_days: int | None = None) -> DataFrame:
-    """One edge per day, route and endpoint pair, summed over the live facts between them."""
+def relation_segments(intervals: DataFrame, routes: Sequence[Route]) -> DataFrame:
+    """Edges as segments of days in which the live facts between two endpoints stay the same.
+
+    The daily table holds one row per segment and day; see ``relation_edges``.
+    """
     listed = F.explode(F.array(*[
         F.struct(F.lit(r.name).alias("route"), F.col(r.source).cast("string").alias("source"), F.col(r.destination).cast("string").alias("destination"),
                  F.lit(float(r.count_scale)).alias("scale")) for r in routes]))
-    rows = intervals.withColumn("__r", listed).select("event_day", "active_from", "active_to", "event_s", "available_s", *FACT_VALUES, "__r.*")
-    state = rolling_state(rows, ["route", "source", "destination", "scale"], FACT_VALUES, *_span(first_day, last_day), latest=["event_s", "available_s"])
+    rows = intervals.withColumn("__r", listed).select("active_from", "active_to", "event_s", "available_s", *FACT_VALUES, "__r.*")
+    state = state_segments(rows, ["route", "source", "destination", "scale"], FACT_VALUES, ["event_s", "available_s"])
     n = F.col("facts")
-    edges = state.select(
-        "day", "route", "source", "destination", "facts",
+    return state.select(
+        "from_day", "to_day", "route", "source", "destination", "facts",
         (F.log1p(n) / F.log1p("scale")).alias("count_log"), (F.col("successes") / n).alias("success_rate"), (F.col("walks") / n).alias("walk_rate"),
-        (F.col("strikes") / n).alias("strike_rate"), (F.col("units") / n / 4).alias("units_rate"),
-        _recency(reference_days or window_days, tz).alias("recency"), "event_s", "available_s")
+        (F.col("strikes") / n).alias("strike_rate"), (F.col("units") / n / 4).alias("units_rate"), "event_s", "available_s")
+
+
+def relation_edges(intervals: DataFrame, routes: Sequence[Route], first_day: Any, last_day: Any, window_days: int,
+                   tz: str = "UTC", reference_days: int | None = None) -> DataFrame:
+    """One edge per day, route and endpoint pair, summed over the live facts between them."""
+    days = segment_days(relation_segments(intervals, routes), *_span(first_day, last_day))
+    edges = days.select(
+        "day", "route", "source", "destination", "facts", *EDGE_FEATURES[:-1], _recency(reference_days or window_days, tz).alias("recency"), "event_s", "available_s")
     return temporal_features(edges, _cutoff(tz)).drop("event_s", "available_s")
 
 
+def edge_totals(segments: DataFrame, by: Sequence[str], features: Sequence[str], window_days: int, tz: str = "UTC",
+                first_day: Any = None, last_day: Any = None) -> DataFrame:
+    """Per day and ``by``: edges, and the sums of facts, features, recency, age and delay of the daily edge table.
+
+    The sums come from the segments; ages grow by the day, so they follow from the number of edges and the sum
+    of their event clocks, and recency likewise until it reaches zero.
+    """
+    event, cutoff = F.col("event_s"), _cutoff(tz)
+    ends = first_midnight_at_or_after(F.timestamp_seconds(event + F.lit(window_days * DAY_SECONDS)), tz)
+    values = {"edges": F.lit(1), "facts": F.col("facts"), **{f: F.col(f) for f in features}, "__events": event,
+              "publication_delay": F.greatest(F.lit(0.0), F.col("available_s") - event), "__fresh": F.lit(1), "__fresh_events": event}
+    days = day_totals(segments, by, values, *_span(first_day, last_day), until={"__fresh": ends, "__fresh_events": ends})
+    days = days.withColumns({c: F.col(c).cast("double") for c in values})
+    return days.select(
+        "day", *by, F.col("edges").cast("bigint").alias("edges"), F.col("facts").cast("bigint").alias("facts"), *features,
+        (F.col("__fresh") - (F.col("__fresh") * cutoff - F.col("__fresh_events")) / F.lit(window_days * DAY_SECONDS)).alias("recency"),
+        (F.col("edges") * cutoff - F.col("__events")).alias("event_age"), "publication_delay")
+
+
 EDGE_FEATURES = ("count_log", "success_rate", "walk_rate", "strike_rate", "units_rate", "recency")
 
 
@@ -114,7 +142,7 @@ def side_game_edges(games: DataFrame, first_day: Any, last_day: Any, window_days
     home_won, drawn = F.col("home_score") > F.col("away_score"), F.col("home_score") == F.col("away_score")
     rows = games.withColumns({"games": F.lit(1.0), "wins": home_won.cast("double"), "draws": drawn.cast("double"),
                               "scored": F.col("home_score").cast("double"), "allowed": F.col("away_score").cast("double")})
-    state = rolling_state(rows, ["home_id", "away_id"], ["games", "wins", "draws", "scored", "allowed"], *_span(first_day, last_day), latest=["event_s", "available_s"])
+    state = segment_days(state_segments(rows, ["home_id", "away_id"], ["games", "wins", "draws", "scored", "allowed"], ["event_s", "available_s"]), *_span(first_day, last_day))
     n = F.col("games")
     edges = state.select(
         "day", F.lit("side_game_side").alias("route"), F.col("home_id").cast("string").alias("source"), F.col("away_id").cast("string").alias("destination"),
@@ -127,14 +155,14 @@ def side_game_edges(games: DataFrame, first_day: Any, last_day: Any, window_days
 ROLE_FEATURES = ("count_log", "attempt_rate", "success_rate", "units_rate", "walk_rate", "strike_rate", "four_rate", "recency")
 
 
-def entity_nodes(intervals: DataFrame, roles: Mapping[str, str], queries: DataFrame, first_day: Any, last_day: Any, window_days: int,
-                 tz: str = "UTC") -> DataFrame:
-    """All entities with live history or a query on the day, with eight features per role (zero without history).
+def entity_segments(intervals: DataFrame, roles: Mapping[str, str], queries: DataFrame) -> DataFrame:
+    """Entities as segments of days with live history or a query, and all features of each role but recency.
 
-    ``roles`` maps a role name to the fact column holding its entity; ``queries`` has ``(day, entity)``.
+    ``roles`` maps a role name to the fact column holding its entity; ``queries`` has ``(day, entity)``.  The
+    last event per role is kept as ``{role}_event_s``.
     """
     # A role's values go to that role's columns, and a query enters as a day without values,
-    # so one aggregate by entity covers both roles and the entities that have no history yet.
+    # so one pass by entity covers both roles and the entities that have no history yet.
     sums = [f"{role}_{v}" for role in roles for v in FACT_VALUES]
     clocks = [f"{role}_event_s" for role in roles]
     sides = []
@@ -142,21 +170,50 @@ def entity_nodes(intervals: DataFrame, roles: Mapping[str, str], queries: DataFr
         values = [(F.col(v) if r == role else F.lit(0.0)).alias(f"{r}_{v}") for r in roles for v in FACT_VALUES]
         seen = [(F.col("event_s") if r == role else F.lit(None).cast("double")).alias(f"{r}_event_s") for r in roles]
         sides.append(F.struct(F.col(column).cast("string").alias("entity"), *values, *seen))
-    rows = intervals.select("event_day", "active_from", "active_to", F.explode(F.array(*sides)).alias("r")).select("event_day", "active_from", "active_to", "r.*")
-    first, last = _span(first_day, last_day)
+    rows = intervals.select("active_from", "active_to", F.explode(F.array(*sides)).alias("r")).select("active_from", "active_to", "r.*")
     asked = queries.select(
-        F.col("day").alias("event_day"), F.col("day").alias("active_from"), F.date_add("day", 1).alias("active_to"), F.col("entity").cast("string").alias("entity"),
+        F.col("day").alias("active_from"), F.date_add("day", 1).alias("active_to"), F.col("entity").cast("string").alias("entity"),
         *[F.lit(0.0).alias(c) for c in sums], *[F.lit(None).cast("double").alias(c) for c in clocks])
-    state = rolling_state(rows.unionByName(asked), ["entity"], sums, first, last, latest=clocks)
+    state = state_segments(rows.unionByName(asked), ["entity"], sums, clocks)
     columns = []
     for role in roles:
         n = F.col(f"{role}_facts")
-        recency = F.greatest(F.lit(0.0), 1.0 - (_cutoff(tz) - F.col(f"{role}_event_s")) / F.lit(window_days * DAY_SECONDS))
-        values = {"count_log": _log_scaled(n, 500), "recency": recency, "units_rate": F.col(f"{role}_units") / n / 4}
+        values = {"count_log": _log_scaled(n, 500), "units_rate": F.col(f"{role}_units") / n / 4}
         for name, source in (("attempt_rate", "attempts"), ("success_rate", "successes"), ("walk_rate", "walks"), ("strike_rate", "strikes"), ("four_rate", "fours")):
             values[name] = F.col(f"{role}_{source}") / n
-        columns += [F.when(n > 0, values[name]).otherwise(0.0).alias(f"{role}_{name}") for name in ROLE_FEATURES]
-    return state.select("day", "entity", *columns)
+        columns += [F.when(n > 0, values[name]).otherwise(0.0).alias(f"{role}_{name}") for name in ROLE_FEATURES[:-1]]
+        columns.append(F.when(n > 0, F.col(f"{role}_event_s")).alias(f"{role}_event_s"))
+    return state.select("from_day", "to_day", "entity", *columns)
+
+
+def entity_days(segments: DataFrame, roles: Sequence[str], first_day: Any, last_day: Any, window_days: int, tz: str = "UTC") -> DataFrame:
+    """The daily node table of entity segments (of all, or of those wanted)."""
+    days = segment_days(segments, *_span(first_day, last_day))
+    recency = {f"{r}_recency": F.coalesce(F.greatest(F.lit(0.0), 1.0 - (_cutoff(tz) - F.col(f"{r}_event_s")) / F.lit(window_days * DAY_SECONDS)), F.lit(0.0)) for r in roles}
+    return days.withColumns(recency).select("day", "entity", *[f"{r}_{c}" for r in roles for c in ROLE_FEATURES])
+
+
+def entity_nodes(intervals: DataFrame, roles: Mapping[str, str], queries: DataFrame, first_day: Any, last_day: Any, window_days: int,
+                 tz: str = "UTC") -> DataFrame:
+    """All entities with live history or a query on the day, with eight features per role (zero without history)."""
+    return entity_days(entity_segments(intervals, roles, queries), list(roles), first_day, last_day, window_days, tz)
+
+
+def entity_totals(segments: DataFrame, roles: Sequence[str], window_days: int, tz: str = "UTC", extra: Mapping[str, Column] | None = None,
+                  first_day: Any = None, last_day: Any = None) -> DataFrame:
+    """Per day: entities, the sums of all features of the daily node table, and of ``extra`` columns."""
+    features = [f"{r}_{c}" for r in roles for c in ROLE_FEATURES[:-1]]
+    values, until = {"entities": F.lit(1), **{f: F.col(f) for f in features}, **(extra or {})}, {}
+    for r in roles:
+        event = F.col(f"{r}_event_s")
+        ends = F.when(event.isNotNull(), first_midnight_at_or_after(F.timestamp_seconds(event + F.lit(window_days * DAY_SECONDS)), tz))
+        values |= {f"__{r}": event.isNotNull().cast("int"), f"__{r}_events": event}
+        until |= {f"__{r}": ends, f"__{r}_events": ends}
+    days = day_totals(segments, [], values, *_span(first_day, last_day), until=until)
+    days = days.withColumns({c: F.col(c).cast("double") for c in values})
+    fresh = {f"{r}_recency": F.col(f"__{r}") - (F.col(f"__{r}") * _cutoff(tz) - F.col(f"__{r}_events")) / F.lit(window_days * DAY_SECONDS) for r in roles}
+    return days.withColumns(fresh).select(
+        "day", F.col("entities").cast("bigint").alias("entities"), *[f"{r}_{c}" for r in roles for c in ROLE_FEATURES], *(extra or {}))
 
 
 SIDE_FEATURES = ("games_log", "win_rate", "draw_rate", "scored_rate", "allowed_rate", "diff_rate", "home_rate", "recency")
@@ -170,7 +227,7 @@ def side_nodes(games: DataFrame, first_day: Any, last_day: Any, window_days: int
         "games": F.lit(1.0), "wins": (F.col("result") == "win").cast("double"), "draws": (F.col("result") == "draw").cast("double"),
         "diff": (F.col("scored") - F.col("allowed")).cast("double"), "scored": F.col("scored").cast("double"), "allowed": F.col("allowed").cast("double"),
         "home": F.col("is_home").cast("double")})
-    state = rolling_state(rows, ["side_id"], SIDE_VALUES, *_span(first_day, last_day), latest=["event_s"])
+    state = segment_days(state_segments(rows, ["side_id"], SIDE_VALUES, ["event_s"]), *_span(first_day, last_day))
     n = F.col("games")
     return state.select(
         "day", "side_id", _log_scaled(n, 90).alias("games_log"), (F.col("wins") / n).alias("win_rate"), (F.col("draws") / n).alias("draw_rate"),
@@ -189,7 +246,7 @@ def observed_fields(intervals: DataFrame, keys: Sequence[str], fields: Sequence[
     any_seen = F.lit(False)
     for f in fields:
         any_seen = any_seen | F.col(f).isNotNull()
-    state = rolling_state(rows.where(any_seen), keys, [*fields, *seen], *_span(first_day, last_day), latest=["event_s"])
+    state = segment_days(state_segments(rows.where(any_seen), keys, [*fields, *seen], ["event_s"]), *_span(first_day, last_day))
     scaled = [_log_scaled(F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)), 500).alias(c) for c in (*fields, *seen)]
     return state.select("day", *keys, F.struct(*scaled, _recency(window_days, tz).alias("recency")).alias("observed"))
 
@@ -234,10 +291,29 @@ def side_group_edges(games: DataFrame, first_day: Any, last_day: Any, tz: str =
         F.when(now, 0.0).otherwise(F.col("event_age")).alias("event_age"), F.when(now, 0.0).otherwise(F.col("publication_delay")).alias("publication_delay"), "weight")
 
 
-def fact_edges(intervals: DataFrame, source: str, destination: str, context: Mapping[str, Column], first_day: Any, last_day: Any, tz: str = "UTC") -> DataFrame:
-    """One parallel edge per past fact and day, with its own values and context (whole prior history when open)."""
-    rows = days_of(intervals.withColumns(dict(context)), "active_from", "active_to", *_span(first_day, last_day))
+def fact_segments(intervals: DataFrame, source: str, destination: str, context: Mapping[str, Column]) -> DataFrame:
+    """Parallel fact edges as one row each: the days from entry on, without an end where history is never left.
+
+    ``segments.write_segments`` stores them by the days they enter and leave, ``fact_edges`` reads a day.
+    """
+    rows = intervals.withColumns(dict(context))
+    return rows.select(
+        F.col("active_from").alias("from_day"), F.col("active_to").alias("to_day"), F.lit("fact").alias("route"), F.col(source).cast("string").alias("source"),
+        F.col(destination).cast("string").alias("destination"), "fact_id", *[F.col(v) if v != "units" else (F.col("units") / 4).alias("units") for v in FACT_VALUES],
+        *context, "event_s", "available_s")
+
+
+def fact_edges(rows: DataFrame, context: Sequence[str], tz: str = "UTC") -> DataFrame:
+    """The edge table of the days of ``rows``: fact segments with a ``day`` inside them."""
     timed = temporal_features(rows, _cutoff(tz))
-    return timed.select(
-        "day", F.lit("fact").alias("route"), F.col(source).cast("string").alias("source"), F.col(destination).cast("string").alias("destination"), "fact_id",
-        *[F.col(v) if v != "units" else (F.col("units") / 4).alias("units") for v in FACT_VALUES], *context, "event_age", "publication_delay", "weight")
+    return timed.select("day", "route", "source", "destination", "fact_id", *FACT_VALUES, *context, "event_age", "publication_delay", "weight")
+
+
+def fact_totals(segments: DataFrame, context: Sequence[str], last_day: Column | None = None, tz: str = "UTC") -> DataFrame:
+    """Per day: number of fact edges and the sums of their values, ages and delays, however long the history is."""
+    values = {"edges": F.lit(1), **{c: F.col(c) for c in (*FACT_VALUES, *context)}, "__events": F.col("event_s"),
+              "publication_delay": F.greatest(F.lit(0.0), F.col("available_s") - F.col("event_s"))}
+    days = day_totals(segments, [], values, None, last_day)
+    days = days.withColumns({c: F.col(c).cast("double") for c in values})
+    return days.select("day", F.col("edges").cast("bigint").alias("edges"), *FACT_VALUES, *context,
+                       (F.col("edges") * _cutoff(tz) - F.col("__events")).alias("event_age"), "publication_delay")

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.ordered import neighbour, spread
 from tidemark.session import cut_lineage
 
 LOW, HIGH = 0.05, 20.0
@@ -91,73 +91,106 @@ def fit_temperatures(df: DataFrame, stage: str | None = None, *, minimum_rows: i
     group = F.col(stage).cast("string") if stage else F.lit("")
     logs = F.transform("probabilities", lambda x: F.log(F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0))))
     rows = df.select(group.alias("stage"), logs.alias("logs"), F.col("label").alias("label"), F.col("weight").cast("double").alias("w"))
-    rows = rows.withColumn("chosen", F.get("logs", F.col("label"))).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = {r["stage"]: r for r in rows.groupBy("stage").agg(
-            F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).collect()}  # one row per stage
-        fitted = {s: _Slope() for s, r in sizes.items() if stage and r["n"] >= minimum_rows and r["lo"] != r["hi"]}
-        overall = _Slope()
-        for _ in range(maximum_passes):  # Newton steps: a handful in practice
-            if overall.done and all(p.done for p in fitted.values()):
-                break
-            # The trial values enter as a table, so every pass runs the same compiled plan.
-            trial = df.sparkSession.createDataFrame(
-                [(s, fitted[s].at if s in fitted else overall.at, overall.at) for s in sizes], "stage string, s double, o double")
-            placed = rows.join(trial, "stage")  # one row per stage
-            parts = []
-            for tag in ("s", "o"):
-                # One named column per step: nested array functions would repeat the work of the inner ones.
-                placed = placed.withColumn("x", F.zip_with("logs", F.array_repeat(F.col(tag), F.size("logs")), lambda x, b: x * b))
-                placed = placed.withColumn("top", F.array_max("x"))
-                placed = placed.withColumn("x", F.zip_with("x", F.array_repeat(F.col("top"), F.size("logs")), lambda x, t: F.exp(x - t)))
-                placed = placed.withColumns({
-                    "m0": _plus("x"), "m1": _plus(F.zip_with("x", "logs", lambda m, x: m * x)), "m2": _plus(F.zip_with("x", "logs", lambda m, x: m * x * x))})
-                placed = placed.withColumns({f"{tag}1": F.col("w") * (F.col("m1") / F.col("m0") - F.col("chosen")),
-                                             f"{tag}2": F.col("w") * (F.col("m2") / F.col("m0") - F.pow(F.col("m1") / F.col("m0"), 2))})
-                parts += [F.sum(f"{tag}1").alias(f"{tag}1"), F.sum(f"{tag}2").alias(f"{tag}2")]
-            sums = placed.groupBy("stage").agg(*parts).collect()  # one row per stage
-            if not overall.done:
-                overall.update(sum(r["o1"] for r in sums), sum(r["o2"] for r in sums), tolerance)
-            for r in sums:
-                problem = fitted.get(r["stage"])
-                if problem is not None and not problem.done:
-                    problem.update(r["s1"], r["s2"], tolerance)
+    rows = cut_lineage(rows.withColumn("chosen", F.get("logs", F.col("label"))))  # read by every pass
+    sizes = {r["stage"]: r for r in rows.groupBy("stage").agg(
+        F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).collect()}  # one row per stage
+    fitted = {s: _Slope() for s, r in sizes.items() if stage and r["n"] >= minimum_rows and r["lo"] != r["hi"]}
+    overall = _Slope()
+    for _ in range(maximum_passes):  # Newton steps: a handful in practice
+        if overall.done and all(p.done for p in fitted.values()):
+            break
+        # The trial values enter as a table, so every pass runs the same compiled plan.
+        trial = df.sparkSession.createDataFrame(
+            [(s, fitted[s].at if s in fitted else overall.at, overall.at) for s in sizes], "stage string, s double, o double")
+        placed = rows.join(trial, "stage")  # one row per stage
+        parts = []
+        for tag in ("s", "o"):
+            # One named column per step: nested array functions would repeat the work of the inner ones.
+            placed = placed.withColumn("x", F.zip_with("logs", F.array_repeat(F.col(tag), F.size("logs")), lambda x, b: x * b))
+            placed = placed.withColumn("top", F.array_max("x"))
+            placed = placed.withColumn("x", F.zip_with("x", F.array_repeat(F.col("top"), F.size("logs")), lambda x, t: F.exp(x - t)))
+            placed = placed.withColumns({
+                "m0": _plus("x"), "m1": _plus(F.zip_with("x", "logs", lambda m, x: m * x)), "m2": _plus(F.zip_with("x", "logs", lambda m, x: m * x * x))})
+            placed = placed.withColumns({f"{tag}1": F.col("w") * (F.col("m1") / F.col("m0") - F.col("chosen")),
+                                         f"{tag}2": F.col("w") * (F.col("m2") / F.col("m0") - F.pow(F.col("m1") / F.col("m0"), 2))})
+            parts += [F.sum(f"{tag}1").alias(f"{tag}1"), F.sum(f"{tag}2").alias(f"{tag}2")]
+        sums = placed.groupBy("stage").agg(*parts).collect()  # one row per stage
+        if not overall.done:
+            overall.update(sum(r["o1"] for r in sums), sum(r["o2"] for r in sums), tolerance)
+        for r in sums:
+            problem = fitted.get(r["stage"])
+            if problem is not None and not problem.done:
+                problem.update(r["s1"], r["s2"], tolerance)
         late = [s for s, p in {"": overall, **fitted}.items() if not p.done]
-        if late:
-            raise RuntimeError(f"temperatures of {late} did not settle in {maximum_passes} passes")
-    finally:
-        rows.unpersist()
+    if late:
+        raise RuntimeError(f"temperatures of {late} did not settle in {maximum_passes} passes")
     return Temperatures(1.0 / overall.at, {s: 1.0 / p.at for s, p in fitted.items()})
 
 
-def isotonic_steps(df: DataFrame, score: str = "score", label: str = "label", weight: str = "weight") -> DataFrame:
-    """Blocks ``(low, high] -> value`` of the isotonic fit; equal scores are merged before the fit."""
-    unique = df.groupBy(F.col(score).alias("score")).agg(
-        (F.sum(F.col(label) * F.col(weight)) / F.sum(weight)).alias("label"), F.sum(F.col(weight).cast("double")).alias("weight"))
-    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(unique)
-    points = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
-    steps, low = [], None
-    for at, (high, value) in enumerate(points):
-        if at + 1 == len(points) or points[at + 1][1] != value:  # last boundary of a block
-            steps.append((low, high, value))
-            low = high
-    return df.sparkSession.createDataFrame(steps, "low double, high double, value double")
-
-
-def apply_steps(df: DataFrame, steps: DataFrame, score: str = "score", slots: int = 1024) -> DataFrame:
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pool adjacent violators of a sorted run of blocks (high, weight, total); the means that come out rise."""
+    highs, weights, totals = [], [], []
+    for batch in batches:
+        for high, weight, total in zip(*(c.to_pylist() for c in batch.columns)):
+            while totals and totals[-1] * weight >= total * weights[-1]:
+                weight += weights.pop()
+                total += totals.pop()
+                highs.pop()
+            highs.append(high)
+            weights.append(weight)
+            totals.append(total)
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (highs, weights, totals)], names=["high", "weight", "total"])
+
+
+def isotonic_steps(df: DataFrame, score: str = "score", label: str = "label", weight: str = "weight", block_rows: int = 200_000) -> DataFrame:
+    """Blocks ``(low, high] -> value`` of the isotonic fit, as a table; equal scores are merged before the fit.
+
+    Ranges of scores are pooled apart; the blocks that are left sum up all that the fit needs, so pooling them
+    again, in ranges cut at other places, changes nothing but violations across the cuts.  Rounds end when the
+    ranges join without one, at the latest when all blocks fit one range of ``block_rows``.  Per round the
+    driver sees one row per range.  Rows of null score or weight, or without weight, do not count.
+    """
+    wide = F.col(weight).cast("double")
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & (wide > 0))
+    blocks = rows.groupBy(F.col(score).cast("double").alias("high")).agg(F.sum(wide).alias("weight"), F.sum(F.col(label).cast("double") * wide).alias("total"))
+    blocks, turn = cut_lineage(blocks), 0
+    while True:
+        ranges = -(-blocks.count() // block_rows) or 1
+        # Another number of ranges each time, so that a cut does not come back to its place.
+        dealt = blocks.repartitionByRange(ranges + turn % 3 if ranges > 1 else 1, "high").sortWithinPartitions("high")
+        blocks, turn = cut_lineage(dealt.mapInArrow(_pooled, "high double, weight double, total double")), turn + 1
+        mean = F.col("total") / F.col("weight")
+        edges = blocks.groupBy(F.spark_partition_id()).agg(F.min("high").alias("at"), F.min_by(mean, "high").alias("first"), F.max_by(mean, "high").alias("last"))
+        edges = sorted(tuple(r) for r in edges.select("at", "first", "last").collect())  # one row per range
+        if all(a[2] < b[1] for a, b in zip(edges, edges[1:])):
+            break
+    placed = neighbour(blocks.withColumn("__all", F.lit(1)), ["__all"], ["high"], spread(F.col("high"), 1 / SLOTS), ["high"], "before")
+    return placed.select(F.col("before.high").alias("low"), "high", (F.col("total") / F.col("weight")).alias("value"))
+
+
+SLOTS = 4096
+
+
+def apply_steps(df: DataFrame, steps: DataFrame, score: str = "score", slots: int = SLOTS) -> DataFrame:
     """Value of the first block whose upper end is not below the score (the last block beyond it).
 
-    Blocks are listed under every slot of [0, 1] they touch, so scores meet them by an equi join.
+    Rows and blocks are sorted together inside slots of the score, where a row takes the next block; a slot's
+    first block is handed to the slots before it that have none.  Null scores get no value.
     """
-    last = Window.partitionBy(F.lit(1)).orderBy(F.col("high").desc())  # one row per block
-    ranked = steps.withColumn("__last", F.row_number().over(last) == 1)
-    low, high = F.coalesce("low", F.lit(-1.0)), F.when(F.col("__last"), F.lit(2.0)).otherwise(F.col("high"))
-    first_slot = F.greatest(F.floor(low * slots), F.lit(0)).cast("int")
-    last_slot = F.least(F.floor(high * slots), F.lit(slots)).cast("int")
-    listed = ranked.select(low.alias("__low"), high.alias("__high"), "value", F.explode(F.sequence(first_slot, last_slot)).alias("__slot"))
-    placed = df.withColumn("__slot", F.least(F.floor(F.col(score) * slots), F.lit(slots)).cast("int"))
-    inside = (F.col(score) > F.col("__low")) & (F.col(score) <= F.col("__high"))
-    return placed.join(listed, "__slot").where(inside).drop("__slot", "__low", "__high").withColumnRenamed("value", "calibrated")
+    marks = steps.select(F.col("high").alias("__at"), F.lit(1).alias("__kind"), F.struct("value").alias("__block"))
+    rows = df.withColumns({"__at": F.col(score).cast("double"), "__kind": F.lit(0)})
+    both = rows.unionByName(marks, True).withColumn("__slot", spread(F.col("__at"), 1 / slots))
+    firsts = marks.groupBy(spread(F.col("__at"), 1 / slots).alias("__slot")).agg(F.min_by("__block", "__at").alias("__first"))
+    # One row per slot from here on.
+    taken = both.select("__slot").distinct().join(firsts, "__slot", "left")
+    later = Window.partitionBy(F.lit(1)).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
+    last = steps.agg(F.struct(F.max_by("value", "high").alias("value")).alias("__last"))
+    carried = taken.select("__slot", F.first("__first", True).over(later).alias("__later"))
+    near = Window.partitionBy("__slot").orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("__near", F.first("__block", True).over(near)).where("__kind = 0")
+    found = found.join(carried, found["__slot"].eqNullSafe(carried["__slot"]), "left").drop("__slot").crossJoin(F.broadcast(last))  # one row
+    value = F.when(F.col("__at").isNotNull(), F.coalesce("__near", "__later", "__last")["value"])
+    return found.withColumn("calibrated", value).drop("__at", "__kind", "__block", "__near", "__later", "__last")
 
 
 def _log_features(df: DataFrame, models: Sequence[str], classes: int) -> DataFrame:
@@ -199,7 +232,7 @@ def stack_out_of_fold(df: DataFrame, models: Sequence[str], classes: int, folds:
     unplaced = kept.where(F.col(fold).isNull() | ~F.col(fold).isin(list(folds))).select(fold).limit(1).collect()
     if len(set(folds)) != len(folds) or unplaced:
         raise ValueError(f"every fold of the rows has to be named once; {unplaced[0][0] if unplaced else 'one'} is not")
-    rows = _log_features(kept, models, classes)
+    rows = cut_lineage(_log_features(kept, models, classes))  # assembled once for all fits
     crossed = None
     for at in range(1, len(folds)):
         model = _stack(rows.where(F.col(fold).isin(list(folds[:at]))), ridge)

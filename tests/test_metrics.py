@@ -1,6 +1,7 @@
 """Metrics and calibrators against direct formulas."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,85 @@ def test_selection_scores_count_absent_members(spark):
     assert out["utility"] == pytest.approx(mean - 0.1 * variance + 2.0)
 
 
+def test_selection_scores_against_all_scenarios(spark):
+    rng = random.Random(3)
+    names = [f"m{k}" for k in range(30)]
+    hits = {(s, m): rng.randint(0, 4) for s in range(700) for m in names if rng.random() < 0.3}
+    weights = {s: rng.choice([0.0, 1.0, 2.5]) for s in range(700)}
+    # One member is in every selection; one selection is empty-handed, one names a member twice.
+    chosen = [(k, slot, m, rng.choice([1.0, 2.0])) for k in range(40) for slot, m in enumerate(["m0", *rng.sample(names[1:], k % 4)])]
+    chosen += [(90, 0, "nobody", 1.0), (91, 0, "m1", 1.0), (91, 1, "m1", 2.0)]
+    out = scenarios.score_selections(
+        spark.createDataFrame(chosen, "selection_id long, slot int, member_id string, multiplier double"),
+        spark.createDataFrame([(*k, h) for k, h in hits.items()], "scenario_id int, member_id string, hits int"),
+        spark.createDataFrame(list(weights.items()), "scenario_id int, weight double"), [0.5, 2.0, 5.0], 4.0).collect()
+    points, total = (lambda h: [0.5, 2.0, 5.0][h] if h < 3 else 5.0 + 4.0 * (h - 2)), sum(weights.values())
+    for row in out:
+        own = [(m, x) for k, _, m, x in chosen if k == row["selection_id"]]
+        values = [(sum(x * points(hits.get((s, m), 0)) for m, x in own), all(hits.get((s, m), 0) >= 1 for m, _ in own), w / total) for s, w in weights.items()]
+        mean = sum(v * w for v, _, w in values)
+        assert row["expected_points"] == pytest.approx(mean) and row["all_hit_probability"] == pytest.approx(sum(w for _, ok, w in values if ok))
+        assert row["variance"] == pytest.approx(sum(w * (v - mean) ** 2 for v, _, w in values), abs=1e-9)
+    assert len(out) == 42
+
+
+@pytest.mark.parametrize("bonus,risk", [(0.0, 0.0), (3.0, 0.05), (-2.0, 0.1), (4.0, -0.1)])
+def test_best_picks_match_full_enumeration(spark, bonus, risk):
+    from itertools import product
+
+    rng = random.Random(int(bonus * 10 + risk * 100))
+    slates = {k: [[(f"o{j}", rng.random() + 0.01, rng.choice([-2.0, 1.0, 3.0, 7.5])) for j in range(rng.randint(2, 4))] for _ in range(rng.randint(1, 5))] for k in range(25)}
+    options = spark.createDataFrame([(k, m, *o) for k, markets in slates.items() for m, os in enumerate(markets) for o in os],
+                                    "slate_id int, market int, option_id string, probability double, reward double")
+    out = scenarios.best_picks(options, 4, bonus=bonus, risk_aversion=risk, minimum_probability=0.01).collect()
+    for k, markets in slates.items():
+        share = [[(o, p / sum(q for _, q, _ in os), r) for o, p, r in os] for os in markets]
+        found = []
+        for pick in product(*share):
+            chance, mean = math.prod(p for _, p, _ in pick), sum(p * r for _, p, r in pick)
+            spread = sum(p * (1 - p) * r * r for _, p, r in pick) + bonus ** 2 * chance * (1 - chance) + 2 * bonus * chance * sum(r * (1 - p) for _, p, r in pick)
+            if chance >= 0.01:
+                found.append(mean + bonus * chance - risk * spread)
+        expected = sorted(found, reverse=True)[:4]
+        got = [r["utility"] for r in sorted((r for r in out if r["slate_id"] == k), key=lambda r: r["place"])]
+        assert got == pytest.approx(expected)
+
+
+def test_picks_of_many_markets_stay_few(spark):
+    rng = random.Random(9)
+    rows = [("s", m, f"{j}", rng.random() + 0.05, 1.0 + 5 * rng.random()) for m in range(12) for j in range(5)]  # 244 million combinations
+    options = spark.createDataFrame(rows, "slate_id string, market int, option_id string, probability double, reward double")
+    best = scenarios.best_picks(options, 3, bonus=2.0, risk_aversion=0.02).orderBy("place").collect()
+    shares = {m: [(p / sum(q for _, k, _, q, _ in rows if k == m), r) for _, k, _, p, r in rows if k == m] for m in range(12)}
+    plain = sum(max(p * r - 0.02 * p * (1 - p) * r * r for p, r in options) for options in shares.values())
+    assert len(best) == 3 and plain - 0.1 <= best[0]["utility"] <= plain + 2.0 * math.prod(max(p for p, _ in o) for o in shares.values())
+    assert best[0]["utility"] >= best[1]["utility"] >= best[2]["utility"]
+
+
+def test_isotonic_fit_in_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [(round(rng.random(), 4), int(rng.random() < 0.2 + 0.5 * k / 6000), float(rng.randint(1, 3))) for k in range(6000)]
+    rows += [(0.5 + k / 4000, int(k % 3 == 0), 1.0) for k in range(1500)] + [(0.9, 0, 400.0), (None, 1, 1.0), (0.1, 1, 0.0)]
+    df = spark.createDataFrame(rows, "score double, label int, weight double")
+    merged = {}
+    for s, y, w in rows:
+        if s is not None and w > 0:
+            a, b = merged.get(s, (0.0, 0.0))
+            merged[s] = (a + w, b + w * y)
+    pools = []
+    for s in sorted(merged):
+        pools.append([[s], *merged[s]])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+            names, w, t = pools.pop()
+            pools[-1] = [pools[-1][0] + names, pools[-1][1] + w, pools[-1][2] + t]
+    expected = {s: t / w for names, w, t in pools for s in names}
+    for size in (50, 700, 10**6):
+        steps = calibration.isotonic_steps(df, block_rows=size)
+        assert sorted(r["high"] for r in steps.collect()) == [p[0][-1] for p in pools]
+        found = {r["score"]: r["calibrated"] for r in calibration.apply_steps(df, steps).collect()}
+        assert found.pop(None) is None and {s: found[s] for s in expected} == pytest.approx(expected)
+
+
 def test_picks_against_all_joint_outcomes(spark):
     from itertools import product
 

@@ -6,13 +6,12 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.temporal import SnapshotSpec, manifest_fingerprint, snapshot_manifest, snapshot_tables
-from tidemark.session import scratch_folder  # noqa: F401
+from tidemark.session import cut_lineage, exists, scratch_folder  # noqa: F401
 
 
 class AppendError(ValueError):
@@ -45,12 +44,9 @@ class VersionedTable:
 
     def _attempts(self, version: int | None = None) -> dict[int, str]:
         """Attempt that counts per version: one manifest row per append."""
-        try:
-            rows = self.spark.read.schema("version int, attempt string").parquet(f"{self.root}/manifest").groupBy("version").agg(F.min("attempt").alias("attempt")).collect()
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return {}
-            raise
+        if not exists(self.spark, f"{self.root}/manifest"):
+            return {}
+        rows = self.spark.read.schema("version int, attempt string").parquet(f"{self.root}/manifest").groupBy("version").agg(F.min("attempt").alias("attempt")).collect()
         return {r["version"]: r["attempt"] for r in rows if version is None or r["version"] <= version}
 
     def version(self) -> int:
@@ -134,39 +130,29 @@ class SnapshotConflict(RuntimeError):
 
 
 def stored_fingerprint(spark: SparkSession, folder: str) -> str | None:
-    try:
-        return spark.read.text(f"{folder}/fingerprint").first()[0]
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+    return spark.read.text(f"{folder}/fingerprint").first()[0] if exists(spark, f"{folder}/fingerprint") else None
 
 
 def publish_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], specs: Sequence[SnapshotSpec], cutoff: Any, knowledge: Any,
                      folder: str, superseded: DataFrame | None = None) -> bool:
     """Write a point-in-time snapshot; equal content is reused (``False``), other content in the folder is an error.
 
-    Each table is kept for the two passes over it, digest and write.  The fingerprint is
+    Each table is stored for the two passes over it, digest and write.  The fingerprint is
     written last, so a reader never sees half a snapshot.
     """
-    snapshot = {name: df.persist() for name, df in snapshot_tables(tables, specs, cutoff, knowledge, superseded).items()}
-    try:
-        manifest = snapshot_manifest(snapshot, specs).coalesce(1).persist()
-        fingerprint = manifest_fingerprint(manifest, cutoff, knowledge).first()["fingerprint"]
-        stored = stored_fingerprint(spark, folder)
-        if stored == fingerprint:
-            return False
-        if stored is not None:
-            raise SnapshotConflict(f"{folder} holds a snapshot with other content")
-        for name, df in snapshot.items():
-            write_zstd(df, f"{folder}/tables/{name}", "overwrite")
-        manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-        spark.range(1).select(F.lit(fingerprint).alias("value")).write.mode("overwrite").text(f"{folder}/fingerprint")
-        manifest.unpersist()
-        return True
-    finally:
-        for df in snapshot.values():
-            df.unpersist()
+    snapshot = {name: cut_lineage(df) for name, df in snapshot_tables(tables, specs, cutoff, knowledge, superseded).items()}
+    manifest = cut_lineage(snapshot_manifest(snapshot, specs).coalesce(1))
+    fingerprint = manifest_fingerprint(manifest, cutoff, knowledge).first()["fingerprint"]
+    stored = stored_fingerprint(spark, folder)
+    if stored == fingerprint:
+        return False
+    if stored is not None:
+        raise SnapshotConflict(f"{folder} holds a snapshot with other content")
+    for name, df in snapshot.items():
+        write_zstd(df, f"{folder}/tables/{name}", "overwrite")
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    spark.range(1).select(F.lit(fingerprint).alias("value")).write.mode("overwrite").text(f"{folder}/fingerprint")
+    return True
 
 
 def verify_snapshot(spark: SparkSession, folder: str, specs: Sequence[SnapshotSpec]) -> DataFrame:

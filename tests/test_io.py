@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemark.operators import temporal
 from tidemark.sources import files, sinks
 from tidemark.streaming import revisions as streams
+from tidemark.streaming.levels import LevelLog
 
 
 def test_union_by_name_and_profile(spark, tmp_path):
@@ -90,6 +91,35 @@ def test_archive_layouts_and_duplicates(spark, tmp_path):
                      ("twice.json", "unreadable_or_repeated_key")]
 
 
+def test_large_archives_are_read_in_ranges(spark, tmp_path):
+    tricky = ['plain', 'brace } in { a string ]', 'quote \\" and \\\\', 'ends with \\\\', '}}', 'ü\n{"x": 1}', ""]
+    ids = [f"r{k}" for k in range(400)]
+    contents = [{"v": k, "text": tricky[k % len(tricky)], "deep": {"a": [1, {"b": [{}]}]}} for k in range(400)]
+    texts = {
+        "map.json": json.dumps(dict(zip(ids, contents)), ensure_ascii=False), "list.json": json.dumps([{"id": i, "contents": c} for i, c in zip(ids, contents)], indent=1) + "\n",
+        "marked.json": "\ufeff" + json.dumps({"a": {"v": 1}, "n": 5, "b": {}, "m": [2]}), "twice.json": json.dumps({"a": {}})[:-1] + ', "b": {"v": 1}, "a": {"v": 2}}',
+        "inner.json": '{"a": {"v": 1, "v": 2}, "b": {}}', "cut.json": '{"a": {"v": "x', "empty.json": "{}", "none.json": "[]"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        pieces = files.archive_pieces(spark, [str(tmp_path / n) for n in texts]).withColumn("file", F.element_at(F.split("file", "/"), -1)).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert pieces.where("file = 'map.json'").select("block").distinct().count() > 10
+    records = files.large_archive_records(pieces)
+    found = {}
+    for r in records.orderBy("file", "pos").collect():
+        found.setdefault(r["file"], []).append((r["record_id"], None if r["contents"] is None else json.loads(r["contents"])))
+    for name in ("map.json", "list.json"):
+        assert sorted(found.pop(name)) == sorted(zip(ids, contents), key=lambda x: x[0])
+    assert sorted(found.pop("marked.json"), key=repr) == [("a", {"v": 1}), ("b", {}), ("m", [2]), ("n", 5)]
+    assert sorted(found.pop("twice.json"), key=repr) == [("a", {"v": 2}), ("a", {}), ("b", {"v": 1})]
+    violations = sorted(tuple(r) for r in files.large_archive_violations(pieces, records).distinct().collect())
+    assert violations == [("cut.json", "malformed_record"), ("cut.json", "unreadable"), ("inner.json", "malformed_record"), ("marked.json", "malformed_record"), ("twice.json", "repeated_id")]
+
+
 def test_append_is_idempotent_and_all_or_nothing(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType()), T.StructField("w", T.StringType())])
     table = sinks.VersionedTable(spark, str(tmp_path / "t"), ["k"], schema, required=["k", "v"])
@@ -206,22 +236,68 @@ def test_late_and_repeated_revisions_are_stored_once_and_counted(spark, tmp_path
     schema = T._parse_datatype_string(SCHEMA)
     log = {r["row_id"]: r["available_at"].day for r in streams.read_log(spark, folder, schema).collect()}
     assert log == {1: 20, 2: 21, 3: 2, 4: 22, 5: 1, 6: 27} and streams.read_log(spark, folder, schema).count() == 6
-    counts = {(r["batch"], r["code"]): r["rows"] for r in spark.read.option("basePath", f"{folder}/quality").parquet(f"{folder}/quality").collect()}
+    counts = {(r["batch"], r["code"]): r["rows"] for r in streams.read_quality(spark, folder).collect()}
     assert [counts[b, "received"] for b in range(4)] == [2, 3, 3, 3]
     assert [counts[b, "repeated"] for b in range(4)] == [0, 2, 1, 2]
     assert [counts[b, "late"] for b in range(4)] == [0, 1, 2, 0]
-    streams.compact_log(spark, folder, schema, f"{folder}-compact")
-    assert sorted(r["row_id"] for r in streams.read_log(spark, f"{folder}-compact", schema).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def stored_folders(folder, kind):
+    return sorted(p.name for p in (folder / kind).iterdir() if p.name.startswith("part="))
+
+
+def test_the_log_is_merged_while_the_stream_runs(spark, tmp_path):
+    source, folder = tmp_path / "in", tmp_path / "out"
+    schema = T._parse_datatype_string(SCHEMA)
+    for i in range(11):
+        spark.createDataFrame([revision("a", i, 1 + i), revision("b", i // 2, 1 + i)], SCHEMA).coalesce(1).write.parquet(str(source / f"part={i:02d}"))
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+    streams.append_stream(stream(), str(folder), f"{folder}-checkpoint", "row_id", fan=2).awaitTermination()
+    entries = LevelLog(spark, str(folder)).entries()
+    assert sorted(e[1] for e in entries if e[0] == "log") == [0, 1, 3]  # 11 = 8 + 2 + 1 batches
+    assert sorted(r["row_id"] for r in streams.read_log(spark, str(folder), schema).collect()) == list(range(11))
+    assert len(stored_folders(folder, "log")) <= 5  # those of the last two manifests
+    # The last batch again, as after a restart between the manifest and the checkpoint: nothing is stored twice.
+    (tmp_path / "out-checkpoint" / "commits" / "10").unlink()
+    for crc in (tmp_path / "out-checkpoint" / "commits").glob(".10.crc"):
+        crc.unlink()
+    streams.append_stream(stream(), str(folder), f"{folder}-checkpoint", "row_id", fan=2).awaitTermination()
+    assert sorted(r["row_id"] for r in streams.read_log(spark, str(folder), schema).collect()) == list(range(11))
+    assert sum(r["rows"] for r in streams.read_quality(spark, str(folder)).where("code = 'received'").collect()) == 22
 
 
 def test_stream_state_matches_the_batch_read(spark, arriving, tmp_path):
     batches, stream = arriving
-    folder = str(tmp_path / "state")
-    streams.state_stream(stream(), folder, f"{folder}-checkpoint", ["entity"], "row_id", "2024-01-10 00:00:00").awaitTermination()
+    folder, schema = str(tmp_path / "state"), T._parse_datatype_string(SCHEMA)
+    streams.state_stream(stream(), folder, f"{folder}-checkpoint", ["entity"], "row_id", "2024-01-10 00:00:00", fan=2).awaitTermination()
     everything = spark.createDataFrame([r for b in batches for r in b], SCHEMA).dropDuplicates(["row_id"])
-    streams.compact_state(spark, folder, f"{folder}-compact", ["entity"], "row_id")
     for day in (4, 5, 6, 9):
         at = f"2024-01-{day:02d} 12:00:00"
         expected = sorted(r["row_id"] for r in temporal.as_of_current(everything, ["entity"], "row_id", at, "2024-01-10 00:00:00").collect())
-        assert sorted(r["row_id"] for r in streams.current_state(spark, folder, ["entity"], "row_id", at).collect()) == expected
-        assert sorted(r["row_id"] for r in streams.current_state(spark, f"{folder}-compact", ["entity"], "row_id", at).collect()) == expected
+        assert sorted(r["row_id"] for r in streams.current_state(spark, folder, schema, ["entity"], "row_id", at).collect()) == expected
+
+
+def test_expiry_is_a_change_to_no_row(spark, tmp_path):
+    batches = [
+        [revision("a", 1, 1, 1, 4), revision("b", 2, 2, 1, 9), revision("c", 3, 2, 3)],
+        [revision("d", 4, 5)],  # a has expired by now, c has begun
+        [revision("b", 5, 6, 1, 6), revision("a", 6, 6, 6)],  # a correction lets b expire earlier
+        [revision("d", 7, 7, 7)],
+    ]
+    source, folder = tmp_path / "in", str(tmp_path / "state")
+    schema = T._parse_datatype_string(SCHEMA)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(source / f"part={i}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+    streams.state_stream(stream, folder, f"{folder}-checkpoint", ["entity"], "row_id", "2024-01-10 00:00:00", fan=2).awaitTermination()
+    found = sorted((r["batch"], r["entity"], r["was"], r["becomes"]) for r in streams.state_changes(spark, folder, schema, ["entity"], "row_id").collect())
+    assert found == [(0, "a", None, 1), (0, "b", None, 2), (1, "a", 1, None), (1, "c", None, 3), (1, "d", None, 4),
+                     (2, "a", None, 6), (2, "b", 2, None), (3, "d", 4, 7)]
+    # Applying the changes batch by batch gives what a batch read would give at that clock.
+    state, clocks = {}, (2, 5, 6, 7)
+    for number, day in enumerate(clocks):
+        state |= {e: after for b, e, _, after in found if b == number}
+        seen = spark.createDataFrame([r for b in batches[:number + 1] for r in b], SCHEMA)
+        at = f"2024-01-{day:02d} 00:00:00"
+        expected = {r["entity"]: r["row_id"] for r in temporal.as_of_current(seen, ["entity"], "row_id", at, at).collect()}
+        assert {e: x for e, x in state.items() if x is not None} == expected

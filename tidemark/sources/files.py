@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.digests import table_digest
+from tidemark.plans.ordered import running
+from tidemark.session import cut_lineage
 
 
 def scan_union(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -102,7 +104,7 @@ def archive_records(documents: DataFrame) -> DataFrame:
 
     Text that does not parse, or repeats a key inside one object, gives no record
     and is listed by ``archive_violations``.  A document above ``LARGEST_DOCUMENT`` bytes
-    is an error: it has to be split first.
+    is an error: ``archive_pieces`` and ``large_archive_records`` read files of any size.
     """
     too_large = F.raise_error(F.concat(F.col("file").cast("string"), F.lit(" is too large to be parsed as one document"))).cast("string")
     text = F.when(F.octet_length("text") > LARGEST_DOCUMENT, too_large).otherwise(F.col("text"))
@@ -113,6 +115,77 @@ def archive_records(documents: DataFrame) -> DataFrame:
     return rows.select("file", "pos", record_id.alias("record_id"), contents.alias("contents"))
 
 
+def archive_pieces(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Archives of any size cut after every closing brace, read in byte ranges by many tasks, with the state of each piece.
+
+    A piece has its ``file``, range (``block``), number in it (``seq``) and ``text`` without the brace.  Braces in
+    strings cut as well; whether a piece starts inside of a string follows from the quotes before it, and its depth
+    from the brackets outside of strings: both are running sums, carried from range to range.  ``closed`` tells
+    whether the brace is one of the structure, ``depth`` the depth behind it, ``record`` how many records (objects
+    that are closed at depth one) ended before.
+    """
+    rows = spark.read.option("lineSep", "}").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "^\ufeff", "").alias("text"), F.octet_length("value").alias("bytes"))
+    rows = cut_lineage(rows)
+    # The last piece of a file has no brace if the file does not end with one (three bytes may be a byte order mark).
+    ends = rows.groupBy("file").agg(F.sum(F.col("bytes") + 1).alias("read"), F.max("size").alias("whole"), F.max(F.struct("block", "seq")).alias("last"))
+    ends = ends.select("file", "last", F.col("read").isin(F.col("whole"), F.col("whole") - 3).alias("ends_closed"))
+    plain = F.regexp_replace("text", "(?s)\\\\.", "")  # without escaped characters
+    outside = F.array_join(F.filter(F.split(plain, '"', -1), lambda _, i: i % 2 == 0), "")
+    inside = F.array_join(F.filter(F.split(plain, '"', -1), lambda _, i: i % 2 == 1), "")
+
+    def opened(text: Column) -> Column:
+        return F.length(F.regexp_replace(text, "[^\\[{]", "")) - F.length(F.regexp_replace(text, "[^\\]]", ""))
+
+    quotes = F.length(F.regexp_replace(plain, '[^"]', ""))
+    rows = rows.join(ends, "file").select(
+        "file", "block", "seq", "text", quotes.alias("quotes"), opened(outside).alias("if_out"), opened(inside).alias("if_in"),
+        ((F.struct("block", "seq") != F.col("last")) | F.col("ends_closed")).alias("brace"))
+    order, bucket = ["block", "seq"], F.col("block")
+    rows = running(rows, ["file"], order, bucket, {"upto": F.col("quotes")})
+    within, after = (F.col("upto") - F.col("quotes")) % 2 == 1, F.col("upto") % 2 == 1
+    rows = rows.withColumn("closed", F.col("brace") & ~after)
+    rows = running(rows, ["file"], order, bucket, {"depth": F.when(within, F.col("if_in")).otherwise(F.col("if_out")) - F.col("closed").cast("int")})
+    rows = rows.withColumns({"open_string": after, "ends": F.col("closed") & (F.col("depth") == 1)})
+    rows = running(rows, ["file"], order, bucket, {"upto": F.col("ends").cast("int")})
+    return rows.select("file", "block", "seq", F.when(F.col("brace"), F.concat("text", F.lit("}"))).otherwise(F.col("text")).alias("text"),
+                       "closed", "depth", "open_string", (F.col("upto") - F.col("ends").cast("int")).alias("record"))
+
+
+def large_archive_records(pieces: DataFrame) -> DataFrame:
+    """Records of archives in the layouts of ``archive_records``, put together from ``archive_pieces`` record by record.
+
+    ``record_id`` is null where the text does not parse, or repeats a key inside one record's object.  Memory
+    grows with the largest record, not with the archive.
+    """
+    part = F.struct("block", "seq", "text")
+    groups = pieces.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "").alias("text"))  # one record's pieces
+    first = groups.where("record = 0").select("file", F.regexp_extract("text", "^\\s*([\\[{])", 1).alias("opener"))
+    last = groups.groupBy("file").agg(F.max("record").alias("last"))
+    rows = groups.join(first, "file").join(last, "file")
+    closer = F.when(F.col("opener") == "{", "}").otherwise("]")
+    body = F.when(F.col("record") == 0, F.regexp_replace("text", "^\\s*[\\[{]", "")).otherwise(F.regexp_replace("text", "^\\s*,", ""))
+    rows = rows.withColumn("body", body)
+    # What follows the last record ends with the archive's own bracket.
+    tail = F.regexp_replace("body", "\\s*[\\]}]\\s*$", "")
+    rows = rows.withColumn("body", F.when(F.col("record") == F.col("last"), tail).otherwise(F.col("body"))).where(F.trim("body") != "")
+    parsed = rows.select("file", "record", F.try_parse_json(F.concat("opener", "body", closer)).alias("v"))
+    listed = parsed.sparkSession.sql("SELECT file, record, e.pos, e.key, e.value FROM {parsed}, LATERAL variant_explode_outer(v) AS e", parsed=parsed)
+    record_id = F.coalesce("key", F.try_variant_get("value", "$.id", "string"))
+    contents = F.when(F.col("key").isNotNull(), F.to_json("value")).otherwise(F.to_json(F.try_variant_get("value", "$.contents", "variant")))
+    return listed.select("file", (F.col("record") + F.coalesce("pos", F.lit(0))).alias("pos"), record_id.alias("record_id"), contents.alias("contents"))
+
+
+def large_archive_violations(pieces: DataFrame, records: DataFrame) -> DataFrame:
+    """Archives that do not end at depth zero outside of strings, malformed records, and ids that occur again."""
+    last = pieces.groupBy("file").agg(F.max_by(F.struct("depth", "open_string"), F.struct("block", "seq")).alias("end"), F.min("depth").alias("least"))
+    broken = last.where((F.col("end.depth") != 0) | F.col("end.open_string") | (F.col("least") < 0)).select("file", F.lit("unreadable").alias("code"))
+    malformed = records.where(F.col("record_id").isNull() | ~F.coalesce(F.col("contents").startswith("{"), F.lit(False))).select("file", F.lit("malformed_record").alias("code"))
+    again = records.where("record_id IS NOT NULL").groupBy("file", "record_id").agg(F.count("*").alias("n")).where("n > 1").select("file", F.lit("repeated_id").alias("code"))
+    return broken.unionByName(malformed).unionByName(again)
+
+
 def archive_violations(documents: DataFrame, records: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Unreadable files, malformed records, repeated ids and wrong record counts (``expected``: file, records)."""
     large = F.octet_length("text") > LARGEST_DOCUMENT

@@ -292,6 +292,15 @@ def test_encoder_equals_the_whole_text(texts):
     assert encoder.encode(texts) == whole
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(categories=("L",)), min_size=1, max_size=8), min_size=1, max_size=5))
+def test_letters_of_all_scripts_go_to_the_model(words):
+    encoder = _encoder()
+    assert encoder.letters is not None
+    text = " ".join(words)
+    assert encoder.encode([text]) == [np.array(encoder.tokenizer.encode(text).ids, np.uint32).tobytes()]
+
+
 _made = {}
 
 

@@ -138,13 +138,39 @@ _STOPS = ".,"
 LONGEST_KNOWN = 64
 
 
+class Memory:
+    """Ids of words in two generations of at most ``most`` words: the older one goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+        self.long: list[str] = []  # words of the texts at hand that are not worth keeping
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Words in neither generation; those of the older one become young."""
+        new = words.difference(self.young)
+        if self.old:
+            again = [w for w in new if w in self.old]
+            self.young.update([(w, self.old[w]) for w in again])
+            new.difference_update(again)
+        return new
+
+    def forget(self) -> None:
+        """Drop the long words, and the older generation if the younger is full."""
+        for w in self.long:
+            self.young.pop(w, None)
+        self.long.clear()
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
 class Encoder:
     """Encode texts with a tokenizers file, remembering the ids of words already met.
 
     A byte-level tokenizer never joins what stands before a space with the space after a visible
     character, so a text can be cut there and its parts encoded on their own.  A line feed between
     visible characters is a part of its own as well, so a text without neighbouring white space is cut
-    into lines first.  At most ``known`` words are remembered, and those of the texts at hand.
+    into lines first.  A new word of letters alone goes straight to the model where the tokenizer is plainly of
+    that kind.  At most twice ``known`` words are remembered, and those of the texts at hand.
     """
 
     def __init__(self, path: str, known: int = 800_000):
@@ -152,27 +178,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = known
-        self.known: dict[str, bytes] = {}  # words behind a space
-        self.heads: dict[str, bytes] = {}  # words at the start of a line
+        self.known = Memory(known)  # words behind a space
+        self.heads = Memory(known)  # words at the start of a line
         self.stops = dict(zip(_STOPS + "\n", self._ids([*_STOPS, "\n"])))
+        self.letters = self._byte_letters()
+
+    def _byte_letters(self) -> dict[int, str] | None:
+        """How the tokenizer's model writes bytes, if a word of letters is one piece to it and nothing else touches it."""
+        from tokenizers import models, pre_tokenizers
+
+        cutter = self.tokenizer.pre_tokenizer
+        plain = isinstance(cutter, pre_tokenizers.ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+        added = any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+        if not plain or added or self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.model, models.BPE):
+            return None
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in map(chr, range(128))}
+        # Bytes above 127 are met as the second byte of two: of U+0080 to U+00BF, and as the first of any longer code.
+        for byte in range(0x80, 0xC0):
+            letters[byte] = shown.pre_tokenize_str(chr(byte))[0][0][1]
+        for byte in range(0xC2, 0xF5):
+            code = bytes([byte]) + b"\xa0\x80\x80"[:1 if byte < 0xE0 else 2 if byte < 0xF0 else 3]
+            code = b"\xf4\x80\x80\x80" if byte == 0xF4 else b"\xed\x80\x80" if byte == 0xED else code
+            letters[byte] = shown.pre_tokenize_str(code.decode())[0][0][0]
+        return letters
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
+    def _word_ids(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words that stand alone or behind a space; those of letters alone go to the model itself."""
+        if self.letters is None:
+            return self._ids([before + w for w in words])
+        tokens, letters, mark = self.tokenizer.model.tokenize, self.letters, "".join(self.letters[ord(c)] for c in before)
+        found = {}
+        for w in words:
+            if w.isalpha():
+                found[w] = array("I", [t.id for t in tokens(mark + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]).tobytes()
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._ids([before + w for w in rest])))
+        return [found[w] for w in words]
+
+    def _learn(self, memory: Memory, words: set[str], before: str) -> None:
         """Remember words; those with a full stop or comma after a letter are put together from the bare word."""
+        new, known = memory.missing(words), memory.young
         ended = [w for w in new if w[-1:] in _STOPS and w[-2:-1].isalpha()]
-        bare = [w for w in new.difference(ended).union([w[:-1] for w in ended]) if w not in known]
-        known.update(zip(bare, self._ids([before + w for w in bare])))
+        bare = list(memory.missing(new.difference(ended).union([w[:-1] for w in ended])))
+        known.update(zip(bare, self._word_ids(bare, before)))
         known.update([(w, known[w[:-1]] + self.stops[w[-1]]) for w in ended])
+        memory.long += [w for w in (*bare, *ended) if len(w) > LONGEST_KNOWN]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        known, heads, feed = self.known, self.heads, self.stops["\n"]
-        for words in (known, heads):
-            if len(words) > self.most:
-                words.clear()
+        feed = self.stops["\n"]
         cut = []  # per text its lines, per line the first word and the words behind spaces
         for text in texts:
             if _SPACES.search(text):
@@ -181,16 +239,14 @@ class Encoder:
             else:
                 lines = [line.split(" ") for line in text.split("\n")]
                 cut.append([(words.pop(0), words) for words in lines])
-        new = {w for lines in cut for _, rest in lines for w in rest if w not in known}
-        self._learn(known, new, " ")
-        first = {w for lines in cut for w, _ in lines if w not in heads}
-        self._learn(heads, first, "")
-        get = known.__getitem__
-        out = [feed.join([heads[w] + b"".join(map(get, rest)) for w, rest in lines]) for lines in cut]
-        for words, added in ((known, new), (heads, first)):
-            for w in added:
-                if len(w) > LONGEST_KNOWN:
-                    del words[w]
+        words = set().union(*[rest for lines in cut for _, rest in lines])
+        first = {w for lines in cut for w, _ in lines}
+        self._learn(self.known, words, " ")
+        self._learn(self.heads, first, "")
+        get, head = self.known.young.__getitem__, self.heads.young
+        out = [feed.join([head[w] + b"".join(map(get, rest)) for w, rest in lines]) for lines in cut]
+        self.known.forget()
+        self.heads.forget()
         return out
 
 

@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality rules, near-duplicates, benchmark passages, source weights, token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet to the shared folder
-and read again as the next stage's documents.  All but the last return the columns of their input.  A stage
+and read again as the next stage's documents.  All but the last return the columns of their input, whatever
+further columns there are and however they are named; an empty table gives an empty one.  A stage
 starts by deleting the scratch tables of the stage before it, whose output has been written by then.
 """
 
@@ -38,7 +39,11 @@ def stage(function):
 
 @stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learnt cutoffs keep."""
+    """Documents that the base rules and the learnt cutoffs keep.
+
+    Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike and all stay or
+    all go; a language that has no proven cutoff, null included, is judged by the base rules alone.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # Names of its own, so that further columns of the documents cannot clash with the statistics.
     own = {c: f"doc_{k}" for k, c in enumerate(docs.columns)}
@@ -49,13 +54,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    A null id loses to any other.  Rows equal in id and text are one document; where several texts share the
+    smallest id, one of them stays, the same in every run.
+    """
     return simhash.keep_one(docs)
 
 
 @stage
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts hold none and stay, as do repeated rows; items without words match nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     named = docs.select(F.struct(*row_key("doc_id", "text")).alias("row"), "text")
     found = decontaminate.decontaminate(named, items, id_col="row")
@@ -69,7 +81,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target weights of their sources, shuffled."""
+    """Documents repeated towards the target weights of their sources, shuffled.
+
+    Rows of null source count for the source of empty name.  Rows of equal id draw the same count each.
+    """
     own = {c: f"doc_{k}" for k, c in enumerate(docs.columns)}
     mixed = mixing.mix(docs.withColumnsRenamed(own), id_col=own["doc_id"], source_col=own["source"], text_col=own["text"])
     return mixed.select(*[F.col(name).alias(c) for c, name in own.items()])
@@ -77,7 +92,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written in the binary format; one row per document as read back."""
+    """Token ids written in the binary format; one row per document as read back, in ascending order of ids.
+
+    Null ids come first; a null or empty text has the end id alone; every repeated row gets its own place.
+    """
     return token_output.tokenise(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_session
@@ -270,17 +270,24 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def plant_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) where one text in ten, by the hash of its id, repeats a stretch of its words to its end."""
-    words = F.filter(F.split(F.col(text_col).cast("string"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.crc32(F.col(id_col).cast("string").cast("binary")).alias("h"))
-    planted = rows.where("h % 10 = 0").withColumn("words", F.coalesce(words.cast("array<string>"), F.array().cast("array<string>")))
-    planted = planted.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10"))
-    planted = planted.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-    tail = "transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)]))"
-    planted = planted.select("id", F.when(F.col("n") > 0, F.array_join(F.expr(tail), " ")).otherwise(F.col("text")).alias("text"))
-    plain = rows.where("h is null or h % 10 <> 0").select("id", "text")
-    return plain.unionByName(planted).select(F.col("id").alias(id_col), F.col("text").alias(text_col))
+    """(id, text) where one text in ten, by the hash of its id, repeats a stretch of its words to its end.
+
+    Texts without words and rows of null id stay as they are.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(bound: Column) -> Column:
+        own, a = bound["words"], bound["a"]
+        p = 1 + F.floor((F.size(own) - a) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(own, lambda w, i: F.when(i < a, w).otherwise(F.get(own, (a + (i - a) % p).cast("int")))), " ")
+
+    # Arrays of one element bind what the inner steps read for every word.
+    bound = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.when(F.size(w) > 0, g % F.size(w)).otherwise(0).alias("a")))
+    planted = F.when(h % 10 == 0, F.transform(bound, repeated)[0]).otherwise(F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col), planted.alias(text_col))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

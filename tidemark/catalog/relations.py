@@ -361,12 +361,13 @@ def _(t):
     return rounded(day_text(rows.drop("recency")), 6, "count_log")
 
 
-CONTEXT = {"period": F.col("counterpart_id") % 9 / F.lit(12.0), "outs": F.col("counterpart_id") % 3 / F.lit(2.0)}
+CONTEXT = ("period", "outs")
 
 
 def fact_store(t):
     """All facts ever known, from their entry on; no window and no end."""
-    return relations.fact_segments(fact_history(t, None), "member", "counterpart", CONTEXT)
+    context = {"period": F.col("counterpart_id") % 9 / F.lit(12.0), "outs": F.col("counterpart_id") % 3 / F.lit(2.0)}
+    return relations.fact_segments(fact_history(t, None), "member", "counterpart", context)
 
 
 @query("g22_raw_fact_edges", f"""
@@ -377,7 +378,7 @@ def fact_store(t):
 def _(t):
     store = cut_lineage(fact_store(t))
     last = store.agg(F.max("from_day")).first()[0]
-    return rounded(day_text(relations.fact_totals(store, list(CONTEXT), F.lit(last))), 6, "period")
+    return rounded(day_text(relations.fact_totals(store, CONTEXT, F.lit(last))), 6, "period")
 
 
 @query("g22_fact_edges_of_a_day", f"""
@@ -387,7 +388,7 @@ def _(t):
 def _(t):
     folder = scratch_folder(t.spark, "fact-segments")
     segments.write_segments(fact_store(t), folder)
-    rows = relations.fact_edges(segments.segments_on(t.spark.read.parquet(folder), "1995-03-09"), list(CONTEXT))
+    rows = relations.fact_edges(segments.segments_on(t.spark.read.parquet(folder), "1995-03-09"), CONTEXT)
     return rounded(day_text(rows), 9, "period").select("day", "source", "destination", "fact_id", "attempts", "successes", "units", "period", "outs", "event_age", "publication_delay")
 
 

@@ -183,11 +183,11 @@ def apply_steps(df: DataFrame, steps: DataFrame, score: str = "score", slots: in
     firsts = marks.groupBy(spread(F.col("__at"), 1 / slots).alias("__slot")).agg(F.min_by("__block", "__at").alias("__first"))
     # One row per slot from here on.
     taken = both.select("__slot").distinct().join(firsts, "__slot", "left")
-    later = Window.partitionBy(F.lit(1)).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(F.lit(1)).orderBy(F.col("__slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
     last = steps.agg(F.struct(F.max_by("value", "high").alias("value")).alias("__last"))
-    carried = taken.select("__slot", F.first("__first", True).over(later).alias("__later"))
-    near = Window.partitionBy("__slot").orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("__near", F.first("__block", True).over(near)).where("__kind = 0")
+    carried = taken.select("__slot", F.last("__first", True).over(later).alias("__later"))
+    near = Window.partitionBy("__slot").orderBy(F.col("__at").desc(), F.col("__kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__near", F.last("__block", True).over(near)).where("__kind = 0")
     found = found.join(carried, found["__slot"].eqNullSafe(carried["__slot"]), "left").drop("__slot").crossJoin(F.broadcast(last))  # one row
     value = F.when(F.col("__at").isNotNull(), F.coalesce("__near", "__later", "__last")["value"])
     return found.withColumn("calibrated", value).drop("__at", "__kind", "__block", "__near", "__later", "__last")

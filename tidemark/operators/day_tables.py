@@ -66,7 +66,7 @@ def live_on(intervals: DataFrame, days: DataFrame) -> DataFrame:
     span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
     calendar = span.select(F.explode(F.sequence("a", "b")).alias("__at"))
     marked = calendar.join(days.select(F.col("day").alias("__at"), F.col("day").alias("__next")).distinct(), "__at", "left")
-    ahead = Window.partitionBy(F.lit(1)).orderBy("__at").rowsBetween(0, Window.unboundedFollowing)  # one row per calendar day
+    ahead = Window.partitionBy(F.lit(1)).orderBy(F.col("__at").desc()).rowsBetween(Window.unboundedPreceding, 0)  # one row per calendar day
     following = marked.select("__at", F.min("__next").over(ahead).alias("__next"))
     first = span.select(F.col("a").alias("__first"))
     # A row that began before the calendar starts to count with its first day.

@@ -123,15 +123,17 @@ def edge_totals(segments: DataFrame, by: Sequence[str], features: Sequence[str],
     of their event clocks, and recency likewise until it reaches zero.
     """
     event, cutoff = F.col("event_s"), _cutoff(tz)
+    seconds, rest = F.floor(event), F.col("event_s") - F.floor(event)  # whole seconds are summed as such
     ends = first_midnight_at_or_after(F.timestamp_seconds(event + F.lit(window_days * DAY_SECONDS)), tz)
-    values = {"edges": F.lit(1), "facts": F.col("facts"), **{f: F.col(f) for f in features}, "__events": event,
-              "publication_delay": F.greatest(F.lit(0.0), F.col("available_s") - event), "__fresh": F.lit(1), "__fresh_events": event}
-    days = day_totals(segments, by, values, *_span(first_day, last_day), until={"__fresh": ends, "__fresh_events": ends})
+    values = {"edges": F.lit(1), "facts": F.col("facts"), **{f: F.col(f) for f in features}, "__events": seconds, "__rest": rest,
+              "publication_delay": F.greatest(F.lit(0.0), F.col("available_s") - event), "__fresh": F.lit(1), "__fresh_events": seconds, "__fresh_rest": rest}
+    days = day_totals(segments, by, values, *_span(first_day, last_day), until={c: ends for c in ("__fresh", "__fresh_events", "__fresh_rest")},
+                      whole=["edges", "facts", "__events", "__fresh", "__fresh_events"])
     days = days.withColumns({c: F.col(c).cast("double") for c in values})
     return days.select(
         "day", *by, F.col("edges").cast("bigint").alias("edges"), F.col("facts").cast("bigint").alias("facts"), *features,
-        (F.col("__fresh") - (F.col("__fresh") * cutoff - F.col("__fresh_events")) / F.lit(window_days * DAY_SECONDS)).alias("recency"),
-        (F.col("edges") * cutoff - F.col("__events")).alias("event_age"), "publication_delay")
+        (F.col("__fresh") - (F.col("__fresh") * cutoff - F.col("__fresh_events") - F.col("__fresh_rest")) / F.lit(window_days * DAY_SECONDS)).alias("recency"),
+        (F.col("edges") * cutoff - F.col("__events") - F.col("__rest")).alias("event_age"), "publication_delay")
 
 
 EDGE_FEATURES = ("count_log", "success_rate", "walk_rate", "strike_rate", "units_rate", "recency")
@@ -204,14 +206,16 @@ def entity_totals(segments: DataFrame, roles: Sequence[str], window_days: int, t
     """Per day: entities, the sums of all features of the daily node table, and of ``extra`` columns."""
     features = [f"{r}_{c}" for r in roles for c in ROLE_FEATURES[:-1]]
     values, until = {"entities": F.lit(1), **{f: F.col(f) for f in features}, **(extra or {})}, {}
+    whole = ["entities"]
     for r in roles:
         event = F.col(f"{r}_event_s")
         ends = F.when(event.isNotNull(), first_midnight_at_or_after(F.timestamp_seconds(event + F.lit(window_days * DAY_SECONDS)), tz))
-        values |= {f"__{r}": event.isNotNull().cast("int"), f"__{r}_events": event}
-        until |= {f"__{r}": ends, f"__{r}_events": ends}
-    days = day_totals(segments, [], values, *_span(first_day, last_day), until=until)
+        values |= {f"__{r}": event.isNotNull().cast("int"), f"__{r}_events": F.floor(event), f"__{r}_rest": event - F.floor(event)}
+        until |= {f"__{r}{c}": ends for c in ("", "_events", "_rest")}
+        whole += [f"__{r}", f"__{r}_events"]
+    days = day_totals(segments, [], values, *_span(first_day, last_day), until=until, whole=whole)
     days = days.withColumns({c: F.col(c).cast("double") for c in values})
-    fresh = {f"{r}_recency": F.col(f"__{r}") - (F.col(f"__{r}") * _cutoff(tz) - F.col(f"__{r}_events")) / F.lit(window_days * DAY_SECONDS) for r in roles}
+    fresh = {f"{r}_recency": F.col(f"__{r}") - (F.col(f"__{r}") * _cutoff(tz) - F.col(f"__{r}_events") - F.col(f"__{r}_rest")) / F.lit(window_days * DAY_SECONDS) for r in roles}
     return days.withColumns(fresh).select(
         "day", F.col("entities").cast("bigint").alias("entities"), *[f"{r}_{c}" for r in roles for c in ROLE_FEATURES], *(extra or {}))
 
@@ -311,9 +315,9 @@ def fact_edges(rows: DataFrame, context: Sequence[str], tz: str = "UTC") -> Data
 
 def fact_totals(segments: DataFrame, context: Sequence[str], last_day: Column | None = None, tz: str = "UTC") -> DataFrame:
     """Per day: number of fact edges and the sums of their values, ages and delays, however long the history is."""
-    values = {"edges": F.lit(1), **{c: F.col(c) for c in (*FACT_VALUES, *context)}, "__events": F.col("event_s"),
-              "publication_delay": F.greatest(F.lit(0.0), F.col("available_s") - F.col("event_s"))}
-    days = day_totals(segments, [], values, None, last_day)
+    values = {"edges": F.lit(1), **{c: F.col(c) for c in (*FACT_VALUES, *context)}, "__events": F.floor("event_s"),
+              "__rest": F.col("event_s") - F.floor("event_s"), "publication_delay": F.greatest(F.lit(0.0), F.col("available_s") - F.col("event_s"))}
+    days = day_totals(segments, [], values, None, last_day, whole=["edges", "__events"])
     days = days.withColumns({c: F.col(c).cast("double") for c in values})
     return days.select("day", F.col("edges").cast("bigint").alias("edges"), *FACT_VALUES, *context,
-                       (F.col("edges") * _cutoff(tz) - F.col("__events")).alias("event_age"), "publication_delay")
+                       (F.col("edges") * _cutoff(tz) - F.col("__events") - F.col("__rest")).alias("event_age"), "publication_delay")

@@ -16,6 +16,7 @@ from tidemark.plans.intervals import days_of
 
 BLOCK_DAYS = 32
 EXACT = "decimal(28,18)"
+_HIGH, _LOW = float(1 << 16), float(1 << 36)
 
 
 def state_segments(intervals: DataFrame, keys: Sequence[str], sums: Sequence[str], latest: Sequence[str] = (), *,
@@ -59,7 +60,7 @@ def state_segments(intervals: DataFrame, keys: Sequence[str], sums: Sequence[str
     daily = daily.withColumn("__block", F.floor(F.unix_date("__day") / block_days))
     whole, block = Window.partitionBy(*key).orderBy("__day"), Window.partitionBy(*key, "__block").orderBy("__day")
     upto, near = whole.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, 0)
-    far = block.rowsBetween(0, Window.unboundedFollowing)
+    far = Window.partitionBy(*key, "__block").orderBy(F.col("__day").desc()).rowsBetween(Window.unboundedPreceding, 0)
     state = daily.select(*key, F.col("__day").alias("from_day"), "__change", *[F.sum(c).over(upto).alias(c) for c in counted], *[
         F.greatest(F.max(f"__ever_{c}").over(upto), F.max(f"__near_{c}").over(near), F.max(f"__far_{c}").over(far), F.col(f"__day_{c}")).alias(c)
         for c in latest])
@@ -77,32 +78,48 @@ def _runs(by: Sequence[str]) -> Window:
 
 
 def day_totals(segments: DataFrame, by: Sequence[str], values: Mapping[str, Column], first_day: Column | None = None,
-               last_day: Column | None = None, until: Mapping[str, Column] | None = None, exact: str = EXACT) -> DataFrame:
+               last_day: Column | None = None, until: Mapping[str, Column] | None = None, whole: Sequence[str] = (),
+               exact: str | None = None) -> DataFrame:
     """Per day and ``by``: the sum of each value over the segments around the day (a row for every day that has one).
 
     Every segment adds its values at its first day and takes them back after its last; ``until`` names days at
-    which single values end earlier.  Values are summed as decimals (``exact``), so nothing is left over by
-    the differences.  One row per change day and group is kept, so the running window is no larger than the
-    calendar; segments without an end need ``last_day``.
+    which single values end earlier.  So that nothing is left over by the differences, no floats are summed: the
+    ``whole`` values are whole numbers, all others two, of 2**-16 and of 2**-52 (or decimals ``exact``).  One row
+    per change day and group is kept, so the running window is no larger than the calendar; segments without an
+    end need ``last_day``.
     """
-    by, until = list(by), dict(until or {})
-    names = [*values, "__n"]
+    by, until, whole = list(by), dict(until or {}), {*whole, "__n"}
+    parts: dict[str, tuple[str, Column]] = {}  # column to sum: the value it belongs to, and itself
+    for name, value in {**values, "__n": F.lit(1)}.items():
+        if exact is not None or name in whole:
+            parts[name] = (name, F.coalesce(value, F.lit(0)).cast(exact or "bigint"))
+            continue
+        scaled = F.coalesce(value.cast("double"), F.lit(0.0)) * F.lit(_HIGH)
+        parts[f"{name}__high"] = (name, F.floor(scaled).cast("bigint"))
+        parts[f"{name}__low"] = (name, F.round((scaled - F.floor(scaled)) * F.lit(_LOW)).cast("bigint"))
+    kind = exact or "bigint"
 
     def change(day: Column, sign: int, of: Sequence[str]) -> Column:
         return F.struct(day.alias("day"), *[
-            ((F.coalesce(F.col(f"__v_{n}"), F.lit(0)) * sign) if n in of else F.lit(0)).cast(exact).alias(n) for n in names])
+            (F.col(f"__v_{c}") if sign > 0 else -F.col(f"__v_{c}")).cast(kind).alias(c) if name in of else F.lit(0).cast(kind).alias(c)
+            for c, (name, _) in parts.items()])
 
-    rows = segments.withColumns({f"__v_{n}": v.cast(exact) for n, v in {**values, "__n": F.lit(1)}.items()})
+    rows = segments.withColumns({f"__v_{c}": v for c, (_, v) in parts.items()})
     rows = rows.withColumns({f"__u_{n}": F.when(u > F.col("from_day"), F.least(u, F.col("to_day"))).otherwise(F.col("from_day")) for n, u in until.items()})
+    names = [*values, "__n"]
     usual = [n for n in names if n not in until]
     changes = [change(F.col("from_day"), 1, names), F.when(F.col("to_day").isNotNull(), change(F.col("to_day"), -1, usual))]
-    changes += [F.when(F.col(f"__u_{n}").isNotNull(), change(F.col(f"__u_{n}"), -1, [n])) for n in until]
+    ends: dict[str, list[str]] = {}
+    for n, u in until.items():
+        ends.setdefault(str(u), []).append(n)  # values that end on the same day leave together
+    changes += [F.when(F.col(f"__u_{group[0]}").isNotNull(), change(F.col(f"__u_{group[0]}"), -1, group)) for group in ends.values()]
     listed = rows.select(*by, F.explode(F.array_compact(F.array(*changes))).alias("__c")).select(*by, "__c.*")
-    daily = listed.groupBy(*by, "day").agg(*[F.sum(n).alias(n) for n in names])
+    daily = listed.groupBy(*by, "day").agg(*[F.sum(c).alias(c) for c in parts])
     order = _runs(by).orderBy("day")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    state = daily.select(*by, F.col("day").alias("from_day"), F.lead("day").over(order).alias("to_day"), *[F.sum(n).over(upto).alias(n) for n in names])
-    return segment_days(state.where(F.col("__n") > 0).drop("__n"), first_day, last_day)
+    state = daily.select(*by, F.col("day").alias("from_day"), F.lead("day").over(order).alias("to_day"), *[F.sum(c).over(upto).alias(c) for c in parts])
+    joined = [F.col(n) if n in parts else (F.col(f"{n}__high") / F.lit(_HIGH) + F.col(f"{n}__low") / F.lit(_HIGH * _LOW)).alias(n) for n in values]
+    return segment_days(state.where(F.col("__n") > 0).select(*by, "from_day", "to_day", *joined), first_day, last_day)
 
 
 def season_pieces(segments: DataFrame) -> DataFrame:

@@ -85,3 +85,18 @@ def test_a_day_is_read_from_its_blocks(spark, tmp_path):
     for at in (0, 63, 150, 400):
         found = sorted((tuple(r) for r in segments.segments_on(stored, str(day(at))).select("k", "v", "m").collect()), key=repr)
         assert found == sorted(((r[0], r[3], r[4]) for r in rows if r[1] <= day(at) and (r[2] is None or r[2] > day(at))), key=repr)
+
+
+@pytest.mark.parametrize("combine", [True, False])
+def test_states_are_found_across_batches_without_cutting_intervals(spark, monkeypatch, combine):
+    from decimal import Decimal
+
+    monkeypatch.setattr(segments, "BATCH_ROWS", 3)
+    rows = [(r[0] if r[0] != "m" else None, *r[1:], Decimal(r[3]) / 4, r[3] / 7) for r in intervals(11, 400, 90, 0.1)]
+    df = spark.createDataFrame(rows, "k string, active_from date, active_to date, v int, m int, d decimal(9,2), f double")
+    state = segments.state_segments(df, ["k"], ["v", "d", "f"], ["m"], combine=combine)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1 + combine  # intervals are not listed by block or day
+    days = segments.segment_days(state, None, F.to_date(F.lit(str(day(300))))).collect()
+    assert {(r["k"] or "m", r["day"]): (r["versions"], r["v"], r["m"]) for r in days} == brute_days([(r[0] or "m", *r[1:]) for r in rows], 300)
+    assert all(r["d"] * 4 == r["v"] and r["f"] == pytest.approx(r["v"] / 7) for r in days)

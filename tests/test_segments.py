@@ -100,3 +100,28 @@ def test_states_are_found_across_batches_without_cutting_intervals(spark, monkey
     days = segments.segment_days(state, None, F.to_date(F.lit(str(day(300))))).collect()
     assert {(r["k"] or "m", r["day"]): (r["versions"], r["v"], r["m"]) for r in days} == brute_days([(r[0] or "m", *r[1:]) for r in rows], 300)
     assert all(r["d"] * 4 == r["v"] and r["f"] == pytest.approx(r["v"] / 7) for r in days)
+
+
+def test_totals_of_side_edges_are_those_of_the_listed_days(spark):
+    from tidemark.operators import relations
+
+    rng = random.Random(4)
+    rows = [(k, day(rng.randint(0, 60)), rng.randint(0, 3), rng.randint(4, 6)) for k in range(40)]
+    games = spark.createDataFrame(rows, "group_id bigint, day date, home_id int, away_id int").withColumns({
+        "event_at": F.expr("timestampadd(SECOND, 86399, CAST(day AS TIMESTAMP))"), "available_at": F.expr("timestampadd(HOUR, 24 + group_id % 30, CAST(day AS TIMESTAMP))")})
+    live = relations.live_intervals(games.drop("day"), 9)
+    totals = relations.side_group_totals(live)
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1 and plan.index("sequence(") < plan.index("Window")  # only totals are listed by day
+    by = ["day", "source", "is_current", "is_home", "is_away", "is_historical"]
+    listed = relations.side_group_edges(live, None, None).groupBy(*by).agg(
+        F.count("*").alias("edges"), F.sum(F.col("destination").cast("bigint")).alias("destinations"), F.sum("event_age").alias("event_age"), F.sum("publication_delay").alias("publication_delay"))
+    assert sorted(map(tuple, totals.select(*listed.columns).collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_digests_are_added_up_as_plain_numbers(spark):
+    from tidemark.functions.digests import segment_digest
+
+    df = spark.createDataFrame([("k", day(0), day(9), 3), ("l", day(4), day(6), 1)], "k string, from_day date, to_day date, v int")
+    found = segment_digest(df, ["k", "v"], counts={"ls": (F.col("k") == "l").cast("int")})
+    assert {r["day"]: (r["row_count"], r["ls"]) for r in found.collect()} == {day(d): (2, 1) if 4 <= d < 6 else (1, 0) for d in range(9)}

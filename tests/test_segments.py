@@ -125,3 +125,15 @@ def test_digests_are_added_up_as_plain_numbers(spark):
     df = spark.createDataFrame([("k", day(0), day(9), 3), ("l", day(4), day(6), 1)], "k string, from_day date, to_day date, v int")
     found = segment_digest(df, ["k", "v"], counts={"ls": (F.col("k") == "l").cast("int")})
     assert {r["day"]: (r["row_count"], r["ls"]) for r in found.collect()} == {day(d): (2, 1) if 4 <= d < 6 else (1, 0) for d in range(9)}
+
+
+def test_shuffle_partitions_grow_with_the_stored_tables(spark, tmp_path):
+    from tidemark.catalog.tables import Tables
+
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for megabytes in (1, 9):
+        (tmp_path / f"{megabytes}.parquet").write_bytes(bytes(megabytes << 20))
+        Tables(spark, str(tmp_path))
+        assert [spark.conf.get(n) for n in names] == [str(max(4, megabytes + (megabytes > 1))), "16m"]
+    for n in names:
+        spark.conf.unset(n)

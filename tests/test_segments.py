@@ -130,10 +130,10 @@ def test_digests_are_added_up_as_plain_numbers(spark):
 def test_shuffle_partitions_grow_with_the_stored_tables(spark, tmp_path):
     from tidemark.catalog.tables import Tables
 
-    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
     for megabytes in (1, 9):
         (tmp_path / f"{megabytes}.parquet").write_bytes(bytes(megabytes << 20))
         Tables(spark, str(tmp_path))
-        assert [spark.conf.get(n) for n in names] == [str(max(4, megabytes + (megabytes > 1))), "16m"]
+        assert [spark.conf.get(n) for n in names] == [str(max(4, megabytes + (megabytes > 1))), "16m", "4m"]
     for n in names:
         spark.conf.unset(n)

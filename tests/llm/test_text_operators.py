@@ -301,6 +301,17 @@ def test_letters_of_all_scripts_go_to_the_model(words):
     assert encoder.encode([text]) == [np.array(encoder.tokenizer.encode(text).ids, np.uint32).tobytes()]
 
 
+def test_words_with_stops_are_not_remembered_beside_the_bare_word():
+    encoder = token_output.Encoder(vocabulary(), known=50)
+    words = ["".join(chr(97 + d) for d in divmod(k, 20)) for k in range(400)]
+    texts = [" ".join(f"start {w} {w}. {w}, 7{w}." for w in words[k:k + 20]) for k in range(0, 400, 20)]
+    for text in texts:
+        assert encoder.encode([text]) == [np.array(encoder.tokenizer.encode(text).ids, np.uint32).tobytes()]
+        held = [*encoder.known.young, *encoder.known.old]
+        assert not [w for w in held if w[-1:] in ".," and w[-2:-1].isalpha()]
+        assert len(held) <= 2 * 50 + 2 * 20 + 1
+
+
 _made = {}
 
 

@@ -143,7 +143,7 @@ class Memory:
 
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
-        self.long: list[str] = []  # words of the texts at hand that are not worth keeping
+        self.passing: list[str] = []  # words of the texts at hand that are not worth keeping
 
     def missing(self, words: set[str]) -> set[str]:
         """Words in neither generation; those of the older one become young."""
@@ -155,10 +155,10 @@ class Memory:
         return new
 
     def forget(self) -> None:
-        """Drop the long words, and the older generation if the younger is full."""
-        for w in self.long:
+        """Drop the passing words, and the older generation if the younger is full."""
+        for w in self.passing:
             self.young.pop(w, None)
-        self.long.clear()
+        self.passing.clear()
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
 
@@ -173,7 +173,7 @@ class Encoder:
     that kind.  At most twice ``known`` words are remembered, and those of the texts at hand.
     """
 
-    def __init__(self, path: str, known: int = 800_000):
+    def __init__(self, path: str, known: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -220,13 +220,14 @@ class Encoder:
         return [found[w] for w in words]
 
     def _learn(self, memory: Memory, words: set[str], before: str) -> None:
-        """Remember words; those with a full stop or comma after a letter are put together from the bare word."""
+        """Remember words; those with a full stop or comma after a letter are put together from the bare word each time."""
         new, known = memory.missing(words), memory.young
         ended = [w for w in new if w[-1:] in _STOPS and w[-2:-1].isalpha()]
         bare = list(memory.missing(new.difference(ended).union([w[:-1] for w in ended])))
         known.update(zip(bare, self._word_ids(bare, before)))
         known.update([(w, known[w[:-1]] + self.stops[w[-1]]) for w in ended])
-        memory.long += [w for w in (*bare, *ended) if len(w) > LONGEST_KNOWN]
+        memory.passing += ended
+        memory.passing += [w for w in bare if len(w) > LONGEST_KNOWN]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""

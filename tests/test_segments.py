@@ -137,3 +137,17 @@ def test_shuffle_partitions_grow_with_the_stored_tables(spark, tmp_path):
         assert [spark.conf.get(n) for n in names] == [str(max(4, megabytes + (megabytes > 1))), "16m", "4m"]
     for n in names:
         spark.conf.unset(n)
+
+
+def test_shuffled_rows_are_not_put_together_beyond_a_few_stored_megabytes(spark, tmp_path):
+    from tidemark.catalog.tables import Tables
+
+    with open(tmp_path / "t.parquet", "wb") as stored:
+        stored.truncate(200 << 20)
+    Tables(spark, str(tmp_path))
+    rows = spark.range(1_000_000).select("id", *[F.xxhash64("id", F.lit(i)).alias(f"v{i}") for i in range(3)]).repartition("id")  # some 30 MB
+    found = rows.select(F.spark_partition_id().alias("p"), (F.col("v0") + F.col("v1") % 7 + F.col("v2") % 7).alias("v")).groupBy("p").agg(F.max("v"), F.count("*").alias("n")).collect()
+    assert max(r["n"] for r in found) < 100_000 and sum(r["n"] for r in found) == 1_000_000
+    for n in ("coalescePartitions.initialPartitionNum", "coalescePartitions.minPartitionNum", "advisoryPartitionSizeInBytes"):
+        spark.conf.unset(f"spark.sql.adaptive.{n}")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -196,3 +196,16 @@ def test_cutoffs_are_compared_as_moments():
     stats.check_model_cutoff("2024-01-02T00:00:00+09:00", "2024-01-01T20:00:00Z")
     with pytest.raises(ValueError):
         stats.check_model_cutoff("2024-01-01T20:00:01+00:00", "2024-01-02T05:00:00+09:00")
+
+
+def test_buckets_are_carried_over_without_a_join(spark):
+    df = spark.createDataFrame([("k", t, t * 10) for t in range(1, 8)] + [(None, 3, 5), (None, 9, None)], "k string, t int, v int")
+    bucket = F.floor(F.col("t") / 2)
+    summed = running(df, ["k"], ["t"], bucket, {"s": F.col("v")}, {"m": F.col("v")})
+    near = neighbour(df, ["k"], ["t"], bucket, ["v"], "p")
+    for plan in (summed, near):
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()  # a join shuffles all rows once more
+    assert {(r["k"], r["t"]): (r["s"], r["m"]) for r in summed.collect()} == {
+        **{("k", t): (5 * t * (t + 1), t * 10) for t in range(1, 8)}, (None, 3): (5, 5), (None, 9): (5, 5)}
+    assert {(r["k"], r["t"]): r["p"] and r["p"]["v"] for r in near.collect()} == {
+        ("k", 1): None, **{("k", t): (t - 1) * 10 for t in range(2, 8)}, (None, 3): None, (None, 9): 5}

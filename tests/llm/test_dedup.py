@@ -194,6 +194,11 @@ def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert [found.get(p, p) for p in prints] == [smallest[c] for c in classes]
 
 
+def test_what_an_explode_lists_is_not_broadcast(spark):
+    prints = spark.createDataFrame([(i * 7,) for i in range(100)], "fingerprint long")
+    assert "Broadcast" not in simhash.links(prints, 4)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1400)] + [(5000, 5000)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

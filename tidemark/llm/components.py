@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     A round lets every node hand its smallest neighbour to its larger ones (large star) and then to its
     smaller ones (small star).  Only minima are aggregated per node, so a hub is never gathered.  The
-    rounds needed grow with the logarithm of a component's length.
+    rounds needed grow with the logarithm of a component's length.  Edges are as many as the rows they come
+    from or more, whatever size Spark estimates for them, so no side of a join is broadcast.
     """
     now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -25,8 +26,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -125,7 +125,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     placed = prints.select("fingerprint", F.inline(tables))
     crowded = placed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = placed.join(crowded, ["table", "key"]).withColumn("blocks", blocks).withColumn(
+    # Sizes are not known after an explode: without the hint, a table of this many rows can be taken for one to broadcast.
+    met = placed.join(crowded.hint("merge"), ["table", "key"]).withColumn("blocks", blocks).withColumn(
         "own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint")
@@ -164,8 +165,8 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFr
     nodes = seen.groupBy("fingerprint").agg(F.min("id").alias("least"))
     parts = components(links(nodes.select("fingerprint"), radius))
     # Both are stored, so that the join reads plain rows and a component of many fingerprints can be split.
-    named = stored(nodes.join(parts, F.col("fingerprint") == F.col("node"), "left").select(
+    named = stored(nodes.join(parts.hint("merge"), F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "nodes")
     smallest = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    classes = stored(named.join(smallest, "component").select("fingerprint", "component", "component_id"), "classes")
-    return seen.join(classes, "fingerprint")
+    classes = stored(named.join(smallest.hint("merge"), "component").select("fingerprint", "component", "component_id"), "classes")
+    return seen.join(classes.hint("merge"), "fingerprint")

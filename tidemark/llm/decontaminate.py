@@ -248,7 +248,8 @@ def _with_items(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """Items in place of classes: listed once for each set of classes, however many rows have that set."""
     hit = rows.where(F.size("classes") > 0)
     sets = hit.select("classes").distinct().select("classes", F.explode("classes").alias("class"))
-    lists = sets.join(listed, "class").groupBy("classes").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # The sets are listed by an explode, so their size is not known: neither side is broadcast.
+    lists = sets.hint("merge").join(listed, "class").groupBy("classes").agg(F.sort_array(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
     named = hit.join(lists, "classes", "left").select("id", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
     return named.unionByName(rows.where(F.size("classes") == 0).select("id", "n_words", "n_hit", none.alias("items")))

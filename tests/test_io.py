@@ -3,12 +3,15 @@
 import datetime as dt
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import catalog
 from tidemark.operators import temporal
+from tidemark.session import stored
 from tidemark.sources import files, sinks
 from tidemark.streaming import revisions as streams
 from tidemark.streaming.levels import LevelLog
@@ -301,3 +304,25 @@ def test_expiry_is_a_change_to_no_row(spark, tmp_path):
         at = f"2024-01-{day:02d} 00:00:00"
         expected = {r["entity"]: r["row_id"] for r in temporal.as_of_current(seen, ["entity"], "row_id", at, at).collect()}
         assert {e: x for e, x in state.items() if x is not None} == expected
+
+
+def test_revisions_stream_from_a_folder_of_files(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i), i % 3, "view", float(i)) for i in range(20)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.queries()["t1_stream_append"](spark, str(tmp_path)).collect()
+    assert sorted(r["row_id"] for r in found) == list(range(20))
+
+
+def test_shuffles_of_a_written_step_are_removed(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    assert stored(spark.range(1000).groupBy(F.col("id") % 7).count(), "step").count() == 7
+    until = time.time() + 20
+    while (left := {f for f in shuffled() - before if f.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
